@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("line_dedup", "mixing", "sharding")
+_MODULES = ("line_dedup", "mixing", "bpe", "sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
