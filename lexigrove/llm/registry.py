@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("line_dedup", "toxicity", "mixing", "bpe", "sharding")
+_MODULES = ("line_dedup", "toxicity", "mixing", "bpe", "pii", "sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
