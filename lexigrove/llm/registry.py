@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("line_dedup", "toxicity", "mixing", "bpe", "pii", "near_dedup", "sharding")
+_MODULES = ("line_dedup", "toxicity", "mixing", "bpe", "top_k", "pii", "near_dedup", "sharding", "embedding_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
