@@ -146,32 +146,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, first, Isotonic().fit(first.raw(x[use]), y[use]))
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, predicted) for each row: nothing but the text decides.
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, score, predicted, then the carried columns) for each row: nothing but the text decides.
 
     Defined cases: null texts score as empty ones; repeated rows score alike; a null id is carried along; an
-    empty table gives an empty one; columns that are not named are ignored.
+    empty table gives an empty one; columns that are not named are ignored, and a carried column named like a
+    result column is left out.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    carry = tuple(c for c in carry if c not in (id_col, "score", "predicted"))
+    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         measured = Features(model.lexicon)
         held: list = []
 
         def flush() -> Iterator[tuple]:
-            for (i, _), s in zip(held, model.score([f for _, f in held])):
-                yield i, float(s), int(s >= 0.5)
+            for (row, _), s in zip(held, model.score([f for _, f in held])):
+                yield row["id"], float(s), int(s >= 0.5), *(row[f"c{i}"] for i in range(len(carry)))
 
         for row in rows:
-            held.append((row["id"], measured(row["text"] or "")))
-            if len(held) == 512:
+            features = measured(row.pop("text") or "")
+            held.append((row, features))
+            if len(held) == 256:
                 yield from flush()
                 held.clear()
         if held:
             yield from flush()
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_rows(src, run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    return map_rows(src, run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int{kinds}").toDF(id_col, "score", "predicted", *carry)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
