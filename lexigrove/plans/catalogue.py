@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.plans import search
+from lexigrove.plans import content, search
 
-_PLANS = (search,)
+_PLANS = (search, content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
