@@ -257,5 +257,6 @@ def find_pii(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: st
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir), train())
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
