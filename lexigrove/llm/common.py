@@ -113,7 +113,7 @@ def partitions(spark: SparkSession, rows: int, each: int) -> int:
 def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
     """(id, component) for the ends of edges (a, b): component is the smallest id reachable.
 
-    Large-star and small-star steps alternate until nothing changes; each step is written to the shared folder.
+    Large-star and small-star steps alternate until every node hangs on its root; each step is written to the shared folder.
     Nothing is gathered: a hub's edges are an ordinary join and minimum.
     """
     spark = edges.sparkSession
@@ -131,21 +131,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
             out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where(F.col("a") != F.col("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-
-    now = edges.select("a", "b").where(F.col("a") != F.col("b"))
-    seen, last = None, None
-    for k in range(rounds):
+    def unsettled(e: DataFrame) -> bool:
+        """Whether some node has two parents, or is both child and parent."""
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select(F.col("b"), F.lit(0), F.lit(1)))
+        seen = ends.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        return not seen.where("child > 1 or (child = 1 and parent = 1)").isEmpty()
+
+    now = scratch.save(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    last, k = f"{name}-edges", 0
+    while unsettled(now):
+        if k == rounds:
+            raise RuntimeError("components did not settle")
         now = scratch.save(star(star(now, False), True), f"{name}-{k}")
-        if last:
-            scratch.drop(last)
-        last = f"{name}-{k}"
-        if (found := mark(now)) == seen:
-            break
-        seen = found
-    else:
-        raise RuntimeError("components did not settle")
+        scratch.drop(last)
+        last, k = f"{name}-{k}", k + 1
     parents = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return parents.union(roots)

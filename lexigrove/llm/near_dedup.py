@@ -7,9 +7,10 @@
 2. Documents with equal sets are one class. Classes meet in buckets, one for each band of the sketch.
 3. In a bucket, members in order of set size are paired with the first and with the one before, not all with all.
    Pairs are verified on full sets, and linked ones joined to components.
-4. Buckets of four or more that still hold several components then give all pairs across components whose set
-   sizes allow a link; these are verified too, and the components joined anew. So no link that bucket members
-   could have between components is lost, while a group of near copies costs a few pairs a member.
+4. Buckets of four or more that still hold several components then give pairs across components: first a few
+   likely ones for each member, and when those have joined components, all that are left and could be linked by
+   their set sizes and by the shingles that no other member has. So no link that bucket members could have between
+   components is lost, while a group of near copies costs a few pairs a member.
 """
 
 from __future__ import annotations
@@ -133,27 +134,37 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Members sorted by (bucket, size, node), with components, in. All pairs across components that sizes allow out."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int = 0) -> Iterator[pa.RecordBatch]:
+    """Members sorted by (bucket, size, node), with components and lone shingles, in; pairs across components out.
+
+    A pair is left out only where it can't be linked: shingles that no other member has are in no intersection, so
+    that is at most the lesser rest. With few, each member outside the bucket's largest component is paired with
+    the few that have the least lone shingles.
+    """
 
     def pairs(members: list[tuple]) -> Iterator[pa.RecordBatch]:
-        n, node, comp = (np.array(v, np.int64) for v in zip(*members))
+        n, node, comp, lone = (np.array(v, np.int64) for v in zip(*members))
         names, code, count = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
         main = code == np.argmax(count)
+        rest = n - lone
         for i in np.flatnonzero(~main):
             lo = np.searchsorted(n, -(-n[i] * percent // 100), "left")
             hi = np.searchsorted(n, n[i] * 100 // percent, "right")
             j = np.arange(lo, hi)
-            j = j[(code[j] != code[i]) & (main[j] | (j > i))]
+            most = np.minimum(rest[j], rest[i])
+            able = (code[j] != code[i]) & (100 * most >= percent * (n[j] + n[i] - most))
+            j = j[able & (main[j] | (j > i) | bool(few))]
+            if few:
+                j = j[np.argsort(lone[j], kind="stable")[:few]]
             if len(j):
                 other = node[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["a", "b"])
 
     bucket, members = None, []
     for batch in batches:
-        for h, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "a", "comp"))):
+        for h, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "a", "comp", "lone"))):
             if h != bucket:
                 if members:
                     yield from pairs(members)
@@ -163,6 +174,10 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield from pairs(members)
 
 
+def _across_with(percent: int, few: int):
+    return lambda batches: _across(batches, percent, few)
+
+
 class NearDedup:
     """Settings, and the steps as tables in the shared folder."""
 
@@ -185,9 +200,9 @@ class NearDedup:
         src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
         return map_rows(src, run, "id long, n_shingles long, cls binary, bands array<long>", flush=64)
 
-    def verify(self, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are similar. Texts travel as compressed words, once for each end of a pair."""
-        percent, width = self.percent, self.width
+    def words(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, words) for nodes (node, cls): the class's words, compressed."""
+        width = self.width
 
         def pack(batch: Iterator[dict]) -> Iterator[tuple]:
             shingles, zip_ = Shingles(width), zstandard.ZstdCompressor(3)
@@ -197,6 +212,13 @@ class NearDedup:
                 if xxhash.xxh3_128_digest(x.tobytes()) == row["cls"]:  # else another row of the same id
                     yield row["node"], zip_.compress(b" ".join(words))
 
+        texts = docs.join(nodes, F.col("id") == F.col("node")).select("node", "cls", "text")
+        return map_rows(texts, pack, "node long, words binary").dropDuplicates(["node"])
+
+    def verify(self, pairs: DataFrame, packed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets are similar. Words travel once for each end of a pair."""
+        percent, width = self.percent, self.width
+
         def check(batch: Iterator[dict]) -> Iterator[tuple]:
             shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
             held: tuple = (None, None)
@@ -209,16 +231,23 @@ class NearDedup:
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     yield row["a"], row["b"]
 
-        ends = pairs.select("a").union(pairs.select("b")).distinct()
-        needed = ends.join(nodes.select(F.col("node"), "cls"), F.col("a") == F.col("node")).select("node", "cls")
-        texts = docs.join(needed, F.col("id") == F.col("node")).select("node", "cls", "text")
-        packed = map_rows(texts, pack, "node long, words binary").dropDuplicates(["node"])
-        packed = scratch.save(packed, f"{name}-words")
         one = pairs.join(packed.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
         both = one.join(packed.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
-        linked = scratch.save(map_rows(both, check, "a long, b long"), f"{name}-links")
-        scratch.drop(f"{name}-words")
-        return linked
+        return scratch.save(map_rows(both, check, "a long, b long"), f"{name}-links")
+
+    def lone(self, packed: DataFrame, members: DataFrame) -> DataFrame:
+        """(node, lone): how many of a member's shingles no other member has; members without any are left out."""
+        width = self.width
+
+        def spread(batch: Iterator[dict]) -> Iterator[tuple]:
+            shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
+            for row in batch:
+                for h in shingles.of_words(unzip.decompress(row["words"]).split()).view(np.int64).tolist():
+                    yield h, row["node"]
+
+        held = packed.join(members, packed["node"] == members["a"], "left_semi")
+        once = map_rows(held, spread, "h long, node long").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        return once.groupBy(F.col("node").alias("lone_node")).agg(F.count("*").alias("lone"))
 
     def __call__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id_col, n_shingles, component_id, kept) for each row.
@@ -246,23 +275,38 @@ class NearDedup:
             out = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
             return out.where(close).select("a", "b")
 
-        tried = scratch.save(feasible(met.where("bucket is null").select("a", "b").distinct()), "pairs-1")
-        links = self.verify(tried, src, nodes, scratch, "first")
+        meeting = met.where("bucket is null").select("a", "b").distinct()
+        ends = meeting.select("a").union(meeting.select("b")).distinct()
+        packed = scratch.save(self.words(src, ends.join(nodes.select("node", "cls"), F.col("a") == F.col("node")).select("node", "cls")), "words")
+        tried = scratch.save(feasible(meeting), "pairs-0")
+        links = self.verify(tried, packed, scratch, "links-0")
         # rows that share an id are one document: their classes are linked
         shared = usable.join(nodes.select("cls", "node"), "cls").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where("size(all) > 1")
-        shared = scratch.save(shared.select("a", F.explode("all").alias("b")).where("a <> b"), "shared")
-        comp = scratch.save(components(links.union(shared), scratch, "comp-1"), "comp-1")
+        shared = shared.select("a", F.explode("all").alias("b")).where("a <> b")
+        comp = scratch.save(components(links.union(shared), scratch, "comp-0"), "comp-0")
 
         big = met.where("bucket is not null").select("bucket", "n", "a")
-        big = big.join(comp.withColumnRenamed("id", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
-        split = big.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        left = big.join(split, "bucket").select("bucket", "n", "a", "comp")
-        percent = self.percent
-        more = left.repartition("bucket").sortWithinPartitions("bucket", "n", "a").mapInArrow(lambda b: _across(b, percent), "a long, b long")
-        more = scratch.save(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs-2")
-        if not more.isEmpty():
-            links = links.union(self.verify(more, src, nodes, scratch, "second"))
-            comp = scratch.save(components(links.union(shared), scratch, "comp-2"), "comp-2")
+        lone = None
+        for k, few in ((1, 4), (2, 0)):  # a few likely pairs for each first, then all that are left
+            at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
+            split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+            at = scratch.save(at.join(split, "bucket"), f"split-{k}")
+            if at.isEmpty():
+                break
+            if lone is None:
+                lone = scratch.save(self.lone(packed, at.select("a").distinct()), "lone")
+            at = at.join(lone, F.col("a") == F.col("lone_node"), "left").select("bucket", "n", "a", "comp", F.coalesce("lone", F.lit(0)).alias("lone"))
+            more = at.repartition("bucket").sortWithinPartitions("bucket", "n", "a").mapInArrow(_across_with(self.percent, few), "a long, b long")
+            more = scratch.save(more.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
+            tried = tried.union(more)
+            found = self.verify(more, packed, scratch, f"links-{k}")
+            if found.isEmpty():
+                continue
+            up = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+            joined = found.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            wider = scratch.save(components(joined, scratch, f"comp-{k}"), f"wider-{k}")
+            risen = comp.join(wider.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+            comp = scratch.save(risen.union(wider.join(comp.select("id"), "id", "left_anti").select("id", "component")), f"comp-{k}")
 
         placed = nodes.join(comp, F.col("node") == F.col("id"), "left").select("cls", F.coalesce("component", "node").alias("component_id"))
         out = rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(placed, "cls", "left")
