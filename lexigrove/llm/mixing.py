@@ -82,14 +82,13 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     when their texts agree.
     """
     words = F.pandas_udf(count_words, "long")
-    keys = [F.col(id_col), F.col(source_col), F.col("_size")]
-    sized = docs.withColumn("_size", words(F.col(text_col).cast("binary")))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col).cast("binary")).alias("size"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.xxhash64(F.col("row")[text_col]))))
     taken = mix_sources(docs, id_col, text_col, source_col, **settings).select(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "copies")
     taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_src", "_sz").orderBy(F.desc("copies")))).where("copies > 0")
-    on = [F.col(id_col).eqNullSafe(F.col("_id")), F.col(source_col).eqNullSafe(F.col("_src")), F.col("_size") == F.col("_sz"), F.col("_nth") == F.col("_n")]
-    out = sized.withColumn("_nth", nth).join(taken, on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    on = [F.col("id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_src")), F.col("size") == F.col("_sz"), F.col("nth") == F.col("_n")]
+    out = rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("row.*")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
