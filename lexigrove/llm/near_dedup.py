@@ -6,11 +6,14 @@
    coordinates concentrates about the Jaccard similarity as t independent MinHashes would.
 2. Documents with equal sets are one class. Classes meet in buckets, one for each band of the sketch.
 3. In a bucket, members in order of set size are paired with the first and with the one before, not all with all.
-   Pairs are verified on full sets, and linked ones joined to components.
-4. Buckets of four or more that still hold several components then give pairs across components: first a few
-   likely ones for each member, and when those have joined components, all that are left and could be linked by
-   their set sizes and by the shingles that no other member has. So no link that bucket members could have between
-   components is lost, while a group of near copies costs a few pairs a member.
+   Pairs whose sizes and sketches allow a link are verified on full sets, and linked ones joined to components.
+4. Buckets of four or more that still hold several components are settled: members outside a bucket's largest
+   component meet all others, in pairs of blocks of bounded size, and full sets are compared inside the task. Only
+   links that join components leave it, so no link that bucket members could have between components is lost,
+   while a group of near copies costs a few rows a member and no pairs.
+
+A sketch allows a link unless its equal coordinates fall short of the threshold's expectation by 6.5 standard
+deviations, which a linked pair does less often than it misses all bands.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import Scratch, components, documents, map_rows
 
 _U = np.uint64
+_BLOCK = 2048
 _MULT = tuple(_U(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -134,48 +139,54 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int = 0) -> Iterator[pa.RecordBatch]:
-    """Members sorted by (bucket, size, node), with components and lone shingles, in; pairs across components out.
-
-    A pair is left out only where it can't be linked: shingles that no other member has are in no intersection, so
-    that is at most the lesser rest. With few, each member outside the bucket's largest component is paired with
-    the few that have the least lone shingles.
-    """
-
-    def pairs(members: list[tuple]) -> Iterator[pa.RecordBatch]:
-        n, node, comp, lone = (np.array(v, np.int64) for v in zip(*members))
-        names, code, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        main = code == np.argmax(count)
-        rest = n - lone
-        for i in np.flatnonzero(~main):
-            lo = np.searchsorted(n, -(-n[i] * percent // 100), "left")
-            hi = np.searchsorted(n, n[i] * 100 // percent, "right")
-            j = np.arange(lo, hi)
-            most = np.minimum(rest[j], rest[i])
-            able = (code[j] != code[i]) & (100 * most >= percent * (n[j] + n[i] - most))
-            j = j[able & (main[j] | (j > i) | bool(few))]
-            if few:
-                j = j[np.argsort(lone[j], kind="stable")[:few]]
-            if len(j):
-                other = node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["a", "b"])
-
-    bucket, members = None, []
-    for batch in batches:
-        for h, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "a", "comp", "lone"))):
-            if h != bucket:
-                if members:
-                    yield from pairs(members)
-                bucket, members = h, []
-            members.append(rest)
-    if members:
-        yield from pairs(members)
+def least_equal(coordinates: int, percent: int) -> int:
+    """Equal coordinates below which a pair isn't verified."""
+    p = percent / 100
+    return int(coordinates * p - 6.5 * (coordinates * p * (1 - p)) ** 0.5)
+
+
+def shared_counts(x: np.ndarray, values: np.ndarray, first: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """How many of x's elements each owner holds. owner[first[k] : first[k + 1]] hold the k-th of the sorted values."""
+    k = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    k = k[values[k] == x]
+    lo, size = first[k], first[k + 1] - first[k]
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(k) else np.zeros(0, np.int64)
+    return np.bincount(owner[at], minlength=owners)
+
+
+def _settle(pdf: pd.DataFrame, percent: int, width: int) -> pd.DataFrame:
+    """One pair of blocks of a bucket: links that join components which nothing in this pair has joined before."""
+    shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
+    kind, i, j = (int(pdf[c].iloc[0]) for c in ("kind", "i", "j"))
+    part = pdf["part"].to_numpy()
+    left, right = (part == "o" + str(i), part == ("m" if kind else "o") + str(j))
+    node, comp = pdf["a"].to_numpy(np.int64), np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)[1]
+    sets = [shingles.of_words(unzip.decompress(w).split()) for w in pdf["words"]]
+    others = np.flatnonzero(right)
+    out = []
+    if len(others) and left.any():
+        sizes = np.array([len(sets[k]) for k in others])
+        values = np.concatenate([sets[k] for k in others])
+        order = np.argsort(values, kind="stable")
+        owner = np.repeat(np.arange(len(others)), sizes)[order]
+        values, first = np.unique(values[order], return_index=True)
+        first = np.append(first, len(owner))
+        for k in np.flatnonzero(left):
+            apart = comp[others] != comp[k]
+            if not apart.any():
+                continue
+            both = shared_counts(sets[k], values, first, owner, len(others))
+            for m in np.flatnonzero(apart & (100 * both >= percent * (sizes + len(sets[k]) - both))):
+                if comp[others[m]] != comp[k]:
+                    out.append((node[k], node[others[m]]))
+                    comp[comp == comp[others[m]]] = comp[k]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _across_with(percent: int, few: int):
-    return lambda batches: _across(batches, percent, few)
+def least_equal(coordinates: int, percent: int) -> int:
+    """Equal coordinates below which a pair isn't verified."""
+    p = percent / 100
+    return int(coordinates * p - 6.5 * (coordinates * p * (1 - p)) ** 0.5)
 
 
 class NearDedup:
@@ -185,7 +196,8 @@ class NearDedup:
         self.percent, self.width, self.bands, self.rows = percent, width, bands, rows
 
     def classes(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, n_shingles, cls, bands) for each row; cls is a digest of the set, null for an empty one."""
+        """(id, n_shingles, cls, bands, sketch) for each row; cls is a digest of the set, null for an empty one; sketch
+        has the last byte of each coordinate."""
         bands, rows, width = self.bands, self.rows, self.width
 
         def run(batch: Iterator[dict]) -> Iterator[tuple]:
@@ -193,12 +205,13 @@ class NearDedup:
             for row in batch:
                 x = shingles(row["text"] or b"")
                 if len(x):
-                    yield row["id"], len(x), xxhash.xxh3_128_digest(x.tobytes()), band_hashes(fast_sketch(x, bands * rows), bands).tolist()
+                    sketch = fast_sketch(x, bands * rows)
+                    yield row["id"], len(x), xxhash.xxh3_128_digest(x.tobytes()), band_hashes(sketch, bands).tolist(), sketch.astype(np.uint8).tobytes()
                 else:
-                    yield row["id"], 0, None, None
+                    yield row["id"], 0, None, None, None
 
         src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-        return map_rows(src, run, "id long, n_shingles long, cls binary, bands array<long>", flush=64)
+        return map_rows(src, run, "id long, n_shingles long, cls binary, bands array<long>, sketch binary", flush=64)
 
     def words(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, words) for nodes (node, cls): the class's words, compressed."""
@@ -235,19 +248,40 @@ class NearDedup:
         both = one.join(packed.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
         return scratch.save(map_rows(both, check, "a long, b long"), f"{name}-links")
 
-    def lone(self, packed: DataFrame, members: DataFrame) -> DataFrame:
-        """(node, lone): how many of a member's shingles no other member has; members without any are left out."""
-        width = self.width
+    def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches allow a link."""
+        least = least_equal(self.bands * self.rows, self.percent)
 
-        def spread(batch: Iterator[dict]) -> Iterator[tuple]:
-            shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
-            for row in batch:
-                for h in shingles.of_words(unzip.decompress(row["words"]).split()).view(np.int64).tolist():
-                    yield h, row["node"]
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                    yield batch.filter(pa.array((x == y).sum(1) >= least)).select(["a", "b"])
 
-        held = packed.join(members, packed["node"] == members["a"], "left_semi")
-        once = map_rows(held, spread, "h long, node long").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-        return once.groupBy(F.col("node").alias("lone_node")).agg(F.count("*").alias("lone"))
+        end = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        out = pairs.where("a < b").join(end("a"), "a").join(end("b"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        return out.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+
+    def settle(self, big: DataFrame, comp: DataFrame, packed: DataFrame, scratch: Scratch) -> DataFrame:
+        """Links (a, b) between components of one bucket. big: (bucket, a); comp: (id, component)."""
+        percent, width = self.percent, self.width
+        at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("comp"))
+        each = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        # rows are dealt anew by (bucket, member): a bucket of any size spreads over tasks
+        blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
+        each = scratch.save(each.where("all > most").select("bucket", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("outs")), "split")
+        at = at.join(each, "bucket").withColumn("out", F.col("comp") != F.col("main"))
+        at = at.withColumn("blk", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+        b = F.col("blk")
+        meets = F.when(F.col("out"), F.concat(F.transform(every("outs"), lambda x: pair(0, F.least(b, x), F.greatest(b, x))), F.transform(every("mains"), lambda x: pair(1, b, x)))).otherwise(
+            F.transform(every("outs"), lambda x: pair(1, x, b))
+        )
+        met = at.select("bucket", "a", "comp", F.concat(F.when(F.col("out"), "o").otherwise("m"), b.cast("string")).alias("part"), F.explode(meets).alias("meet"))
+        met = met.join(packed.withColumnRenamed("node", "a"), "a").select("bucket", "meet.*", "a", "comp", "part", "words")
+        found = met.groupBy("bucket", "kind", "i", "j").applyInPandas(lambda p: _settle(p, percent, width), "a long, b long")
+        return scratch.save(found.distinct(), "settled")
 
     def __call__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id_col, n_shingles, component_id, kept) for each row.
@@ -262,51 +296,28 @@ class NearDedup:
         src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
         rows = scratch.save(self.classes(docs, id_col, text_col), "rows")
         usable = rows.where("cls is not null and id is not null")
-        nodes = usable.groupBy("cls").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        nodes = usable.groupBy("cls").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         nodes = scratch.save(nodes, "nodes")
 
         members = nodes.select("node", "n", F.explode("bands").alias("h"))
         met = members.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_pair_up, "bucket long, n long, a long, b long")
         met = scratch.save(met, "met")
-        close = F.expr(f"a < b and 100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
-
-        def feasible(pairs: DataFrame) -> DataFrame:
-            out = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-            return out.where(close).select("a", "b")
-
-        meeting = met.where("bucket is null").select("a", "b").distinct()
-        ends = meeting.select("a").union(meeting.select("b")).distinct()
+        tried = scratch.save(self.likely(met.where("bucket is null").select("a", "b").distinct(), nodes), "pairs-0")
+        big = met.where("bucket is not null").select("bucket", "a")
+        ends = tried.select("a").union(tried.select("b")).union(big.select("a")).distinct()
         packed = scratch.save(self.words(src, ends.join(nodes.select("node", "cls"), F.col("a") == F.col("node")).select("node", "cls")), "words")
-        tried = scratch.save(feasible(meeting), "pairs-0")
         links = self.verify(tried, packed, scratch, "links-0")
         # rows that share an id are one document: their classes are linked
         shared = usable.join(nodes.select("cls", "node"), "cls").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where("size(all) > 1")
         shared = shared.select("a", F.explode("all").alias("b")).where("a <> b")
         comp = scratch.save(components(links.union(shared), scratch, "comp-0"), "comp-0")
 
-        big = met.where("bucket is not null").select("bucket", "n", "a")
-        lone = None
-        for k, few in ((1, 4), (2, 0)):  # a few likely pairs for each first, then all that are left
-            at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
-            split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            at = scratch.save(at.join(split, "bucket"), f"split-{k}")
-            if at.isEmpty():
-                break
-            if lone is None:
-                lone = scratch.save(self.lone(packed, at.select("a").distinct()), "lone")
-            at = at.join(lone, F.col("a") == F.col("lone_node"), "left").select("bucket", "n", "a", "comp", F.coalesce("lone", F.lit(0)).alias("lone"))
-            more = at.repartition("bucket").sortWithinPartitions("bucket", "n", "a").mapInArrow(_across_with(self.percent, few), "a long, b long")
-            more = scratch.save(more.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
-            tried = tried.union(more)
-            found = self.verify(more, packed, scratch, f"links-{k}")
-            if found.isEmpty():
-                continue
-            up = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-            joined = found.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            wider = scratch.save(components(joined, scratch, f"comp-{k}"), f"wider-{k}")
-            risen = comp.join(wider.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-            comp = scratch.save(risen.union(wider.join(comp.select("id"), "id", "left_anti").select("id", "component")), f"comp-{k}")
+        found = self.settle(big, comp, packed, scratch)
+        up = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        joined = found.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        wider = scratch.save(components(joined, scratch, "comp-1"), "wider")
+        risen = comp.join(wider.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        comp = scratch.save(risen.union(wider.join(comp.select("id"), "id", "left_anti").select("id", "component")), "comp-1")
 
         placed = nodes.join(comp, F.col("node") == F.col("id"), "left").select("cls", F.coalesce("component", "node").alias("component_id"))
         out = rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(placed, "cls", "left")
