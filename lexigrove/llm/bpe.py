@@ -61,7 +61,7 @@ class Codec:
             ids = known.get(piece)
             if ids is None:
                 ids = np.array(self.bpe.encode_ordinary(piece), "<u4").tobytes()
-                if len(known) > 300_000:
+                if len(known) > 60_000:
                     known.clear()
                 if len(piece) <= 64:
                     known[piece] = ids

@@ -53,7 +53,7 @@ class Features:
         found = self.known.get(word)
         if found is None:
             found = max((self.lexicon.get(t, 0) for t in terms(word)), default=0)
-            if len(self.known) > 200_000:
+            if len(self.known) > 60_000:
                 self.known.clear()
             if len(word) <= 40:
                 self.known[word] = found
