@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,9 @@ FEATURES = (
     "word_length", "densest",
 )
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[@$!|*0134578]+[^\W\d_]+)+|[@$0134578]+[^\W\d_]{2,}")
+_MASK = re.compile(r"[@$!|*0134578][^\W\d_]")  # in every masked word
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[@$!|*0134578]++[^\W\d_]++)+|[@$0134578]+[^\W\d_]{2,}")
+_CAPITAL_WORD = re.compile(r"(?<![^\W_])[^\W_a-z]++(?![^\W_])")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _REPEATED = re.compile(r"[!?.*#%&$]{2,}")
 _PLAIN = str.maketrans("@$!|0134578", "asiloieastb")
@@ -42,6 +45,15 @@ def terms(word: str) -> list[str]:
     return out
 
 
+@lru_cache(1)
+def marks() -> np.ndarray:
+    """For each code point, whether it is neither a word character nor white space."""
+    out = np.zeros(0x110000, bool)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out[np.frombuffer(re.sub(r"[\w\s]+", "", every).encode("utf-32-le"), "<u4")] = True
+    return out
+
+
 class Features:
     """A text's features under a lexicon {term: strength}, 2 for strong and 1 for weak terms."""
 
@@ -63,9 +75,9 @@ class Features:
         lower = text.lower()
         words = _WORD.findall(lower)
         n, chars = max(len(words), 1), max(len(text), 1)
-        strength = self.strength
-        levels = [strength(w) for w in words]
-        strong = [i for i, s in enumerate(levels) if s == 2]
+        strength, known = self.strength, self.known.get
+        levels = [s if (s := known(w)) is not None else strength(w) for w in words]
+        strong = [i for i, s in enumerate(levels) if s == 2] if 2 in levels else []
         weak = levels.count(1)
         near = sum(1 for i in strong if not SECOND_PERSON.isdisjoint(words[max(0, i - 4) : i + 5])) if strong else 0
         densest = 0
@@ -74,16 +86,20 @@ class Features:
             while last + 1 < len(strong) and strong[last + 1] < i + 50 and last - k < 50:
                 last += 1
             densest = max(densest, last - k + 1)
-        masked = [m for m in _MASKED.findall(lower)]
+        lengths = list(map(len, words))
+        masked = _MASKED.findall(lower) if _MASK.search(lower) else []
         masked_hits = sum(1 for m in masked if "@" not in m[1:] or "." not in m for w in (m.translate(_PLAIN),) if strength(w) == 2 and len(w) < 40)
-        spaced_hits = sum(1 for m in _SPACED.findall(lower) if strength(re.sub(r"[ .\-_*]", "", m)) == 2)
-        upper = sum(map(str.isupper, _WORD.findall(text))) if text != lower else 0
-        capitals = chars - sum(map(str.__eq__, text, lower)) if text != lower and len(text) == len(lower) else 0
+        spaced = _SPACED.findall(lower) if lengths.count(1) >= 4 else []
+        spaced_hits = sum(1 for m in spaced if strength(re.sub(r"[ .\-_*]", "", m)) == 2)
+        upper = sum(map(str.isupper, _CAPITAL_WORD.findall(text))) if text != lower else 0
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        punctuation = int(marks()[points].sum())
+        capitals = int((points != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), "<u4")).sum()) if text != lower and len(text) == len(lower) else 0
         return [
             np.log1p(len(words)), np.log1p(len(strong)), 100 * len(strong) / n, np.log1p(weak), 100 * weak / n, len({words[i] for i in strong}),
-            near, capitals / chars, upper / n, text.count("!") / n, text.count("?") / n, (chars - len(re.sub(r"[^\w\s]", "", text))) / chars,
+            near, capitals / chars, upper / n, text.count("!") / n, text.count("?") / n, punctuation / chars,
             len(_REPEATED.findall(text)) / n, len(masked) / n, masked_hits, spaced_hits, sum(map(text.count, "0123456789")) / chars,
-            sum(map(len, words)) / n, densest,
+            sum(lengths) / n, densest,
         ]
 
 
