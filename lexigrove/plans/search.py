@@ -23,11 +23,27 @@ def questions(spark, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("question"), F.col("text").alias("evidence"))
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with n, a row's place from 1 by an integer key: its place in a range of keys, after the rows of the ranges before.
+
+    The ranges' bounds are fixed on the driver, a number for each shuffle partition; any bounds give the same places.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b < F.col(key)))
+    df = df.withColumn("part", part)
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    sizes = df.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = df.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(key))).join(sizes, "part")
+    return placed.withColumn("n", F.col("n") + F.col("before")).drop("part", "before")
+
+
 def query_vectors(spark, d: str) -> DataFrame:
-    """The n-th passage asks with the n-th smallest vector: both orders are over the passages' few rows."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.row_number().over(Window.orderBy("item_id")).alias("n"))
-    vectors = table(spark, d, "embeddings").orderBy("vec_id").limit(200).select(F.col("embedding").alias("query_vector"), F.row_number().over(Window.orderBy("vec_id")).alias("n"))
-    return items.join(vectors, "n").select("query_id", "query_vector")
+    """The n-th passage asks with the n-th smallest vector, as far as there are vectors."""
+    items = numbered(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("query_vector"))
+    places = numbered(vectors.select("vec_id"), "vec_id")
+    return items.join(places, "n").join(vectors, "vec_id").select("query_id", "query_vector")
 
 
 def chunks(spark, d: str) -> DataFrame:
