@@ -87,7 +87,7 @@ def segments(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _send_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashed = WordHashes()
-    names, held, size = ["a", "s", "id", "lo", "hi"], [], 0
+    names, held, size = ["a", "s", "id", "d", "lo", "hi"], [], 0
 
     def pack() -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*held)]
@@ -95,11 +95,12 @@ def _send_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 
     for batch in batches:
         for i in range(batch.num_rows):
-            words = (batch.column(1)[i].as_py() or b"").split()
+            words = (batch.column(2)[i].as_py() or b"").split()
             if len(words) < width:
                 continue
             a, s, lo, hi = segments(hashed(words), width)
-            held.append((a.view(np.int64), s.view(np.int64), np.full(len(a), batch.column(0)[i].as_py(), np.int64), lo.astype(np.int32), hi.astype(np.int32)))
+            doc = [np.full(len(a), batch.column(c)[i].as_py(), np.int64) for c in (0, 1)]
+            held.append((a.view(np.int64), s.view(np.int64), *doc, lo.astype(np.int32), hi.astype(np.int32)))
             size += len(a)
             if size > 50_000:
                 yield pack()
@@ -210,28 +211,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window over it also starts at a smaller id, or earlier in the same document. Windows are
     judged on the input.
 
-    Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows that repeat
-    an id are one document, whose windows at one place come from any of them: a row repeated as it is keeps what
-    its first place keeps; a null id is larger than all others; a text of any length is one row; an empty table
+    Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows with one id,
+    or none, and different texts are documents of their own, in the order of their texts' hashes; a row repeated
+    as it is is one document with the first, and keeps what that keeps; a null id is larger than all others; a
+    text of any length is one row; an empty table
     gives an empty one; columns that are not named are ignored. Ids are integers.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    # (id, d) is a document: an id alone may stand for several texts
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("d"), text.alias("text"))
 
-    sent = src.mapInArrow(lambda b: _send_segments(b, width), "a long, s long, id long, lo int, hi int")
+    sent = src.mapInArrow(lambda b: _send_segments(b, width), "a long, s long, id long, d long, lo int, hi int")
     by = Window.partitionBy("a")
-    met = sent.withColumns({"before": F.lag("s").over(by.orderBy("s", "id", "lo")), "low": F.min("s").over(by), "high": F.max("s").over(by), "n": F.count("*").over(by)})
+    met = sent.withColumns({"before": F.lag("s").over(by.orderBy("s", "id", "d", "lo")), "low": F.min("s").over(by), "high": F.max("s").over(by), "n": F.count("*").over(by)})
     first_seen = Window.partitionBy("a", "s")
-    met = met.withColumn("first", F.min(F.struct("id", "lo")).over(first_seen)).where("n > 1")
-    own = (F.col("first.id") == F.col("id")) & (F.col("first.lo") == F.col("lo"))
-    met = met.select("a", "id", "lo", "hi", own.alias("own"), (~F.col("before").eqNullSafe(F.col("s"))).alias("one"), (F.col("low") < F.col("high")).alias("several"))
+    met = met.withColumn("first", F.min(F.struct("id", "d", "lo")).over(first_seen)).where("n > 1")
+    own = F.col("first") == F.struct("id", "d", "lo")
+    met = met.select("a", "id", "d", "lo", "hi", own.alias("own"), (~F.col("before").eqNullSafe(F.col("s"))).alias("one"), (F.col("low") < F.col("high")).alias("several"))
     met = scratch.save(met.where("not own or several"), "met")
-    copied = met.where("not own").select("id", "lo", "hi")
+    copied = met.where("not own").select("id", "d", "lo", "hi")
 
-    owners = met.where("own and one").select("a", "id", "lo", "hi")
+    owners = met.where("own and one").select("a", "id", "d", "lo", "hi")
     crowded = owners.groupBy(F.col("a").alias("crowd")).count().where(F.col("count") > _CROWD).select("crowd")
-    wanted = owners.join(crowded, F.col("a") == F.col("crowd"), "left").groupBy(F.col("id").alias("own_id")).agg(F.collect_list(F.struct("a", "lo", "hi", F.col("crowd").isNotNull().alias("hot"))).alias("want"))
+    wanted = owners.join(crowded, F.col("a") == F.col("crowd"), "left").groupBy(F.col("id").alias("own_id"), F.col("d").alias("own_d")).agg(F.collect_list(F.struct("a", "lo", "hi", F.col("crowd").isNotNull().alias("hot"))).alias("want"))
 
     def cut(rows: Iterator[dict]) -> Iterator[tuple]:
         hashed = WordHashes()
@@ -240,30 +244,32 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             x = None
             for p in row["want"]:
                 if not p["hot"]:
-                    yield p["a"], None, row["id"], p["lo"], b" ".join(words[p["lo"] : p["hi"] + width])
+                    yield p["a"], None, row["id"], row["d"], p["lo"], b" ".join(words[p["lo"] : p["hi"] + width])
                     continue
                 x = hashed(words) if x is None else x
                 starts = np.arange(p["lo"], p["hi"] + 1)
                 starts = starts[starts + width <= len(x)]
                 for lo, w in zip(starts.tolist(), span_hashes(x, starts, starts + width).view(np.int64).tolist()):
-                    yield p["a"], w, row["id"], lo, None
+                    yield p["a"], w, row["id"], row["d"], lo, None
 
-    pieces = map_rows(src.join(wanted, F.col("id") == F.col("own_id")), cut, "a long, w long, id long, lo int, words binary")
+    pieces = map_rows(src.join(wanted, (F.col("id") == F.col("own_id")) & (F.col("d") == F.col("own_d"))), cut, "a long, w long, id long, d long, lo int, words binary")
     pieces = scratch.save(pieces, "pieces")
     plain = pieces.where("w is null")
     shards = max(1, -(-int(plain.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // (6 * _SHARD_WORDS)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [w.split() for w in pdf["words"]]
-        found = repeated_windows(pdf["id"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64), words, width)
-        return pd.DataFrame(found, columns=["id", "lo", "hi"]).astype({"id": "int64", "lo": "int32", "hi": "int32"})
+        docs_here, doc = np.unique(pdf[["id", "d"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        found = np.array(list(repeated_windows(doc.ravel(), pdf["lo"].to_numpy(np.int64), words, width)), np.int64).reshape(-1, 3)
+        ends = found[:, 1:].astype(np.int32)
+        return pd.DataFrame({"id": docs_here[found[:, 0], 0], "d": docs_here[found[:, 0], 1], "lo": ends[:, 0], "hi": ends[:, 1]})
 
-    matched = plain.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).select("shard", "id", "lo", "words").groupBy("shard").applyInPandas(search, "id long, lo int, hi int")
-    windows = pieces.where("w is not null").select("a", "w", "id", "lo")
-    firsts = windows.groupBy(F.col("a").alias("fa"), F.col("w").alias("fw")).agg(F.min(F.struct("id", "lo")).alias("first"))
-    crowd = windows.join(firsts, (F.col("a") == F.col("fa")) & (F.col("w") == F.col("fw"))).where(F.struct("id", "lo") > F.col("first")).select("id", "lo", F.col("lo").alias("hi"))
+    matched = plain.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).select("shard", "id", "d", "lo", "words").groupBy("shard").applyInPandas(search, "id long, d long, lo int, hi int")
+    windows = pieces.where("w is not null").select("a", "w", "id", "d", "lo")
+    firsts = windows.groupBy(F.col("a").alias("fa"), F.col("w").alias("fw")).agg(F.min(F.struct("id", "d", "lo")).alias("first"))
+    crowd = windows.join(firsts, (F.col("a") == F.col("fa")) & (F.col("w") == F.col("fw"))).where(F.struct("id", "d", "lo") > F.col("first")).select("id", "d", "lo", F.col("lo").alias("hi"))
 
-    gone = copied.unionByName(matched).unionByName(crowd).groupBy(F.col("id").alias("gone_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = copied.unionByName(matched).unionByName(crowd).groupBy(F.col("id").alias("gone_id"), F.col("d").alias("gone_d")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
     def rebuild(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
@@ -278,7 +284,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0)]
             yield None if row["id"] == _NO_ID else row["id"], b" ".join(kept).decode("utf-8", "replace"), n, n - len(kept)
 
-    joined = src.join(gone, F.col("id") == F.col("gone_id"), "left").select("id", "text", "gone")
+    joined = src.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("d") == F.col("gone_d")), "left").select("id", "text", "gone")
     return map_rows(joined, rebuild, "id long, text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
 
 
