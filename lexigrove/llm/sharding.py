@@ -1,8 +1,10 @@
 """K-d tree partitioning of documents into shards of near-equal bytes.
 
-Points are groups of equal texts, weighed by their bytes; the dimensions are the text's length, its source, its
-language and a hash. A node with several shards is split at the weighted median of its widest dimension, in the
-ratio of the shards each side is to have, until every leaf has one shard and so the target bytes.
+Points are groups of equal texts, weighed by their bytes; the dimensions are the logarithm of the text's length, and
+its source's and its language's places among all sources and languages in order. A node with several shards is split
+at the weighted median of its widest dimension, in the ratio of the shards each side is to have, until every leaf has
+one shard and so the target bytes. Widths are shares of the whole table's; a hash breaks ties within a dimension, and
+is the dimension of nodes that are alike in all others.
 
 A node's median is found without gathering rows: a histogram of weights over the dimension's sortable 64-bit key
 (value, then a hash that breaks ties) names the cell in which the median lies; that cell is refined until it is
@@ -17,21 +19,24 @@ from pyspark.sql.window import Window
 
 from lexigrove.llm.common import Scratch, documents, partitions, ranked
 
-_DIMS = ("length", "source", "lang", "hash")
+_META = ("length", "source", "lang")
+_DIMS = (*_META, "hash")
 _STEP = 12  # bits that one histogram settles
 _TIE = 31  # low bits of a key: the hash that breaks ties
 
 
-def _code(c: Column) -> Column:
-    """A string's place by its first four bytes, 0 to 2^32."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 4)), 8, "0"), 16, 10).cast("long"), F.lit(0))
+def _places(rows: DataFrame, scratch: Scratch, c: str) -> DataFrame:
+    """(value, place from 1) of the distinct values of a column in order."""
+    values = rows.select(F.col(c).alias(f"{c}_value")).where(F.col(c).isNotNull()).distinct()
+    out = ranked(values, scratch, f"{c}-dealt", [], [f"{c}_value"], partitions(rows.sparkSession, 0, 1))
+    return scratch.save(out.select(f"{c}_value", (F.col("rank") + 1).alias(f"{c}_place")), f"{c}-places")
 
 
 def _keys(tie: Column) -> dict[str, Column]:
     """Each dimension as a key of 63 bits: 32 of value, 31 of the tie's hash."""
     scaled = {
         "length": F.least(F.log2(F.col("each").cast("double")) * F.lit(float(1 << 26)), F.lit(float((1 << 32) - 1))).cast("long"),
-        "source": _code(F.col("source")), "lang": _code(F.col("lang")), "hash": F.shiftrightunsigned(F.col("h2"), 32),
+        "source": F.coalesce("source_place", F.lit(0)), "lang": F.coalesce("lang_place", F.lit(0)), "hash": F.shiftrightunsigned(F.col("h2"), 32),
     }
     return {k: F.shiftleft(v, _TIE).bitwiseOR(F.shiftrightunsigned(tie, 64 - _TIE)) for k, v in scaled.items()}
 
@@ -39,13 +44,16 @@ def _keys(tie: Column) -> dict[str, Column]:
 def split_tree(points: DataFrame, shards: int) -> list[Column]:
     """points: (one column for each dimension, weight). Returns each leaf as a condition on the dimensions."""
     nodes: list[tuple[Column, int]] = [(F.lit(True), shards)]  # a node's condition and the shards it is to have
+    whole: dict[str, int] = {}  # each dimension's width at the root
     while any(n > 1 for _, n in nodes):
         split_here = [k for k, (_, n) in enumerate(nodes) if n > 1]
         at = points.withColumn("node", _which([(k, nodes[k][0]) for k in split_here])).where("node is not null")
         spread = at.groupBy("node").agg(F.sum("weight").alias("w"), *[f(F.shiftrightunsigned(d, _TIE)).alias(f"{n}_{d}") for d in _DIMS for n, f in (("lo", F.min), ("hi", F.max))])
         chosen = {}
         for r in spread.collect():  # one row for each node to split
-            dim = max(_DIMS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], -_DIMS.index(d)))
+            width = {d: r[f"hi_{d}"] - r[f"lo_{d}"] for d in _META}
+            whole = whole or width
+            dim = max(_META, key=lambda d: (width[d] / max(1, whole[d]), -_META.index(d))) if any(width.values()) else "hash"
             n = nodes[r["node"]][1]
             chosen[r["node"]] = {"dim": dim, "whole": r["w"], "goal": r["w"] * (n // 2) / n, "base": 0, "lo": 0}
         if not chosen:
@@ -105,6 +113,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
     rows = scratch.save(rows, "rows")
     points = rows.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), F.max("size").alias("each"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    for c in ("source", "lang"):
+        points = points.join(_places(rows, scratch, c), F.col(c) == F.col(f"{c}_value"), "left")
     points = scratch.save(points.select("h1", "h2", "weight", *[v.alias(k) for k, v in _keys(F.col("h1")).items()]), "points")
     leaves = split_tree(points, shards)
     placed = points.select("h1", "h2", _which(list(enumerate(leaves))).cast("int").alias("shard"))
