@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -25,11 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor never makes an earlier step run again."""
+    """Tables in the shared folder that cut lineage: a lost executor never makes an earlier step run again.
+
+    An operator's result reads its tables, so they stay until `release`.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lexigrove/{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
+
+    @classmethod
+    def release(cls, since: int = 0) -> None:
+        """Delete the tables of all Scratches made after the first `since`, once their results are written elsewhere."""
+        for one in cls.made[since:]:
+            one.drop("")
+        del cls.made[since:]
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -40,7 +53,7 @@ class Scratch:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -48,7 +61,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, flush: int = 512) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str | T.StructType, flush: int = 512) -> DataFrame:
     """fn over each partition's rows, which reach Python as Arrow batches; it yields tuples of the schema.
 
     Rows are unpacked a few at a time, so that a batch of long texts is never held twice.
@@ -75,10 +88,34 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], sch
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def _arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T.StructType.fromDDL(schema))
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def with_fields(schema: str, df: DataFrame, columns: tuple[str, ...]) -> T.StructType:
+    """schema, then c0, c1 and so on of the types of df's columns."""
+    out = T.StructType.fromDDL(schema)
+    for i, c in enumerate(columns):
+        out = out.add(f"c{i}", df.schema[c].dataType)
+    return out
+
+
+_HOT = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, and in `weight` how many rows of left have it.
+
+    A key is hot if it has more than one in 10 000 of all rows, so there are fewer than 10 000 hot keys: these are
+    broadcast, and their rows of left stay where they are. All other rows are shuffled by key. left is read twice
+    and should be a saved table.
+    """
+    least = (right.agg(F.sum(weight)).first()[0] or 0) // _HOT
+    hot = F.broadcast(right.where(F.col(weight) > least))
+    apart = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(apart.join(right.where(F.col(weight) <= least), on, how), allowMissingColumns=True)
 
 
 def _pack(rows: list[tuple], to: pa.Schema) -> pa.RecordBatch:
@@ -148,7 +185,3 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     parents = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return parents.union(roots)
-
-
-def long_col(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")

@@ -5,15 +5,20 @@ square of the corpus, so equal windows are brought to one shard first:
 
 1. A window's anchor is its least hashed 8-word run; equal windows have equal anchors. Consecutive windows with one
    anchor form a segment; a document sends (anchor, segment hash, place) for each.
-2. Of segments with one content only the earliest, the owner, can hold a first window: the windows of the others
-   all start earlier there. An owner whose anchor has no other content repeats nothing.
-3. The words of the other owners go to the shard of their anchor. A shard builds an FM-index (suffix order, a
-   wavelet matrix over the transform, first places for interval minima) and searches each window backwards, all in
-   step. The interval left after `width` words has all occurrences; the least place in it tells whether the window
-   also starts earlier. Runs of such windows are reported.
+2. Equal segments are one pattern. Its earliest holder, the owner, stands for it; in all others, every window
+   starts earlier in the owner. An owner whose anchor has no other content repeats nothing.
+3. The words of the other owners go to the shard of their anchor. A shard builds an FM-index (bit planes of a
+   wavelet matrix over the transform, in machine words with counts), then the owners' segments are streamed past
+   it: backward search from each end gives the matching statistic, the number of words before that end which the
+   shard also has elsewhere. A search ends as soon as its interval has one suffix, its own. Where the statistic
+   reaches `width`, the least place in the interval tells whether the window also starts earlier; runs of such
+   windows are reported.
 4. An anchor with very many contents (the edges of a passage that stands in a third of all documents) would make a
    shard of its own; the windows of its segments are compared by hash, with the first places aggregated before.
 5. Documents take back the runs of windows and lose the words that they cover.
+
+Hot anchors and contents, with more than one in 10 000 of all segments, are joined by broadcast, so that none is one
+task's work.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import Scratch, documents, map_rows
+from lexigrove.llm.common import Scratch, documents, join_hot, map_rows
 from lexigrove.llm.near_dedup import _MULT, mix
 
 _U = np.uint64
@@ -110,13 +115,15 @@ def _send_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 
 
 class FmIndex:
-    """An FM-index over integers; 0 separates texts. Suffixes are ordered by their first 32 symbols at least."""
+    """An FM-index over integers, 0 parting texts. Suffixes are in the order of their first `depth` symbols at least,
+    so intervals of up to that many symbols are right."""
 
-    def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
+    def __init__(self, text: np.ndarray, depth: int):
+        n = len(text)
+        self.size = n
         rank, step = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
-        while step < 32:
+        while step < depth:
             ahead = np.full(n, -1, np.int64)
             ahead[: n - step] = rank[step:] if step < n else ahead[:0]
             key = rank * (int(rank.max()) + 2) + ahead + 1
@@ -127,18 +134,18 @@ class FmIndex:
             if ranked[-1] == n - 1:
                 break
             step *= 2
-        self.order = order
+        self.order = order.astype(np.int32)
         symbols = int(text.max()) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
         # wavelet matrix: a bit plane for each bit of a symbol, highest first, with counts before every word
         self.planes = []
-        left = text[order - 1]
+        left = text[self.order - 1]
         for bit in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
             on = ((left >> bit) & 1).astype(bool)
             padded = np.zeros(-(-(n + 1) // 64) * 64, bool)
             padded[:n] = on
             words = np.packbits(padded, bitorder="little").view(_U)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)])
             self.planes.append((bit, words, counts, n - int(on.sum())))
             left = np.concatenate([left[~on], left[on]])
         self.origin = self._down(np.arange(symbols), np.zeros(symbols, np.int64))
@@ -154,53 +161,55 @@ class FmIndex:
         """How often each symbol stands before each place of the transform."""
         return self._down(symbol, place) - self.origin[symbol]
 
-    def intervals(self, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes that begin as text[start : start + width], for many starts: backward search in step."""
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(self.text), np.int64)
-        for j in range(width - 1, -1, -1):
-            c = self.text[start + j]
-            lo, hi = self.before[c] + self.rank(c, lo), self.before[c] + self.rank(c, hi)
-        return lo, hi
-
-
-def least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(values[lo:hi]) for many non-empty ranges."""
-    table = [values]
-    longest = int((hi - lo).max(initial=1))
-    while 2 << (len(table) - 1) <= longest:
-        half = 1 << (len(table) - 1)
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-    level = np.frexp((hi - lo).astype(float))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for k in np.unique(level):
-        own = level == k
-        out[own] = np.minimum(table[k][lo[own]], table[k][hi[own] - (1 << int(k))])
-    return out
+    def matching_statistics(self, text: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end: how many symbols before it, `most` at most and none of them 0, the index has elsewhere too,
+        and the interval of suffixes that begin with them. text is of the indexed texts and starts with 0."""
+        length = np.zeros(len(end), np.int32)
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.size, np.int64)
+        live = np.arange(len(end))
+        for j in range(1, most + 1):
+            c = text[end[live] - j]
+            live, c = live[c > 0], c[c > 0]
+            new_lo, new_hi = self.before[c] + self.rank(c, lo[live]), self.before[c] + self.rank(c, hi[live])
+            shared = new_hi - new_lo > 1
+            live = live[shared]
+            lo[live], hi[live], length[live] = new_lo[shared], new_hi[shared], j
+            if not len(live):
+                break
+        return length, lo, hi
 
 
 def repeated_windows(ids: np.ndarray, places: np.ndarray, pieces: list[list[bytes]], width: int) -> Iterator[tuple[int, int, int]]:
     """(id, first, last) for runs of windows that also start at a smaller (id, place) in another of the pieces."""
     codes: dict[bytes, int] = {}
-    text, owner = [], []
+    text = [0]
     for words in pieces:
-        owner.append(len(text))
         text += [codes.setdefault(w, len(codes) + 1) for w in words]
         text.append(0)
+    text = np.array(text, np.int32)
     sizes = np.array([len(p) for p in pieces])
-    index = FmIndex(np.array(text, np.int64))
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    offset = np.arange(len(text)) - np.array(owner)[piece]
+    starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)[:-1]])
+    piece = np.concatenate([[0], np.repeat(np.arange(len(pieces)), sizes + 1)])
+    offset = np.arange(len(text)) - starts[piece]
     place = places[piece] + offset
     order = np.lexsort((place, ids[piece]))
     same = (ids[piece][order][1:] == ids[piece][order][:-1]) & (place[order][1:] == place[order][:-1])
-    rank = np.empty(len(text), np.int64)
+    rank = np.empty(len(text), np.int32)
     rank[order] = np.concatenate([[0], np.cumsum(~same)])  # one place may lie in two segments
-    start = np.flatnonzero(offset + width <= sizes[piece])
-    lo, hi = index.intervals(start, width)
-    gone = start[least_in(rank[index.order], lo, hi) < rank[start]]
+    index = FmIndex(text, width)
+    least, gone = np.append(rank[index.order], 0), []
+    ends = np.flatnonzero((offset >= width) & (offset <= sizes[piece]))
+    for at in range(0, len(ends), 1 << 16):
+        end = ends[at : at + (1 << 16)]
+        length, lo, hi = index.matching_statistics(text, end, width)
+        end, lo, hi = (x[length == width] for x in (end, lo, hi))
+        if len(end):
+            lo, first, which = np.unique(lo, return_index=True, return_inverse=True)  # intervals of one length are equal or apart
+            low = np.minimum.reduceat(least, np.stack([lo, hi[first]], 1).ravel())[::2]
+            gone.append((end - width)[low[which] < rank[end - width]])
+    gone = np.concatenate(gone) if gone else np.zeros(0, np.int64)
     if len(gone):
-        first = np.r_[True, (gone[1:] != gone[:-1] + 1)]
-        runs = np.flatnonzero(first)
+        runs = np.flatnonzero(np.r_[True, gone[1:] != gone[:-1] + 1])
         for a, b in zip(gone[runs], gone[np.r_[runs[1:] - 1, len(gone) - 1]]):
             yield int(ids[piece[a]]), int(place[a]), int(place[b])
 
@@ -214,28 +223,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows with one id,
     or none, and different texts are documents of their own, in the order of their texts' hashes; a row repeated
     as it is is one document with the first, and keeps what that keeps; a null id is larger than all others; a
-    text of any length is one row; an empty table
-    gives an empty one; columns that are not named are ignored. Ids are integers.
+    text of any length is one row; an empty table gives an empty one; columns that are not named are ignored. Ids
+    are integers, and width is at least 8 words, the length of an anchor.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
+    if width < _RUN:
+        raise ValueError(f"width must be at least {_RUN}")
+    scratch = Scratch(docs.sparkSession, "substrings")
     text = F.col(text_col).cast("binary")
     # (id, d) is a document: an id alone may stand for several texts
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("d"), text.alias("text"))
 
-    sent = src.mapInArrow(lambda b: _send_segments(b, width), "a long, s long, id long, d long, lo int, hi int")
-    by = Window.partitionBy("a")
-    met = sent.withColumns({"before": F.lag("s").over(by.orderBy("s", "id", "d", "lo")), "low": F.min("s").over(by), "high": F.max("s").over(by), "n": F.count("*").over(by)})
-    first_seen = Window.partitionBy("a", "s")
-    met = met.withColumn("first", F.min(F.struct("id", "d", "lo")).over(first_seen)).where("n > 1")
-    own = F.col("first") == F.struct("id", "d", "lo")
-    met = met.select("a", "id", "d", "lo", "hi", own.alias("own"), (~F.col("before").eqNullSafe(F.col("s"))).alias("one"), (F.col("low") < F.col("high")).alias("several"))
-    met = scratch.save(met.where("not own or several"), "met")
-    copied = met.where("not own").select("id", "d", "lo", "hi")
-
-    owners = met.where("own and one").select("a", "id", "d", "lo", "hi")
-    crowded = owners.groupBy(F.col("a").alias("crowd")).count().where(F.col("count") > _CROWD).select("crowd")
-    wanted = owners.join(crowded, F.col("a") == F.col("crowd"), "left").groupBy(F.col("id").alias("own_id"), F.col("d").alias("own_d")).agg(F.collect_list(F.struct("a", "lo", "hi", F.col("crowd").isNotNull().alias("hot"))).alias("want"))
+    sent = scratch.save(src.mapInArrow(lambda b: _send_segments(b, width), "a long, s long, id long, d long, lo int, hi int"), "segments")
+    anchors = sent.groupBy("a").agg(F.count("*").alias("n"), (F.min("s") < F.max("s")).alias("several")).where("n > 1")
+    shared = scratch.save(join_hot(sent, scratch.save(anchors, "anchors"), ["a"], "n").drop("n"), "shared")
+    contents = shared.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "d", "lo", "hi")).alias("first"), F.max("several").alias("several"))
+    contents = scratch.save(contents, "contents")
+    held = join_hot(shared.drop("several"), contents.where("n > 1").select("a", "s", "n", "first"), ["a", "s"], "n")
+    copied = held.where(F.struct("id", "d", "lo", "hi") != F.col("first")).select("id", "d", "lo", "hi")
+
+    owners = scratch.save(contents.where("several").select("a", "first.*"), "owners")
+    crowds = owners.groupBy("a").agg(F.count("*").alias("n"))
+    owners = join_hot(owners, scratch.save(crowds, "crowds"), ["a"], "n").withColumn("hot", F.col("n") > _CROWD)
+    wanted = owners.groupBy(F.col("id").alias("own_id"), F.col("d").alias("own_d")).agg(F.collect_list(F.struct("a", "lo", "hi", "hot")).alias("want"))
 
     def cut(rows: Iterator[dict]) -> Iterator[tuple]:
         hashed = WordHashes()

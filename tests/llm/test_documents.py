@@ -76,13 +76,31 @@ def test_substrings_across_shards_and_crowds(spark, monkeypatch):
     assert sorted(got) == brute.substrings(rows)
 
 
-def test_fm_index():
-    text = np.array([1, 2, 1, 2, 3, 0, 1, 2, 0], np.int64)
-    index = substring_dedup.FmIndex(text)
-    lo, hi = index.intervals(np.array([0, 4, 1]), 1)
-    assert (hi - lo).tolist() == [3, 1, 3]
-    lo, hi = index.intervals(np.array([0]), 2)
-    assert sorted(index.order[lo[0] : hi[0]].tolist()) == [0, 2, 6]
+def test_matching_statistics():
+    text = np.array([0, 1, 2, 1, 2, 3, 0, 1, 2, 0], np.int32)
+    index = substring_dedup.FmIndex(text, 4)
+    length, lo, hi = index.matching_statistics(text, np.array([3, 6, 5, 9]), 4)
+    assert length.tolist() == [2, 0, 2, 2]
+    assert sorted(index.order[lo[0] : hi[0]].tolist()) == [1, 3, 7]
+    rng = np.random.default_rng(9)
+    words = rng.integers(1, 4, 400)
+    words[rng.integers(0, 400, 20)] = 0
+    text = np.r_[0, words, 0].astype(np.int32)
+    length, lo, hi = substring_dedup.FmIndex(text, 12).matching_statistics(text, np.arange(1, len(text)), 12)
+    plain = text.tolist()
+    for end, n in enumerate(length.tolist(), 1):
+        often = lambda k: sum(plain[i : i + k] == plain[end - k : end] for i in range(len(plain) - k + 1))
+        best = max((k for k in range(1, 13) if k <= end and 0 not in plain[end - k : end] and often(k) > 1), default=0)
+        assert n == best
+
+
+@pytest.mark.parametrize("width", [8, 20, 40])
+def test_substrings_of_any_width(spark, width):
+    rng = np.random.default_rng(width)
+    head = [f"h{i}" for i in range(35)]  # alike for 35 words, then not
+    rows = [(i, " ".join(head + [f"r{x}" for x in rng.integers(0, 9, 60)] + head[: i % 36])) for i in range(40)]
+    got = [tuple(r) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), width=width).select("doc_id", "n_words", "n_removed", "text").collect()]
+    assert sorted(got) == brute.substrings(rows, width)
 
 
 def test_substrings_defined_cases(odd):
