@@ -51,8 +51,8 @@ def test_top_k(spark, small):
 
 @pytest.mark.parametrize("spread", [0.02, 2.0])
 def test_top_k_over_many_buckets(spark, monkeypatch, spread):
-    monkeypatch.setattr(top_k, "_BUCKET", 40)
-    monkeypatch.setattr(top_k, "_BLOCK", 4)
+    for name, value in {"_BUCKET_ROWS": 40, "_BUCKET_BYTES": 40 * 12 * 8, "_BLOCK": 4, "_STREAM": 5}.items():
+        monkeypatch.setattr(top_k, name, value)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 12))
     rows = [(i, (centres[i % 6] + spread * rng.normal(size=12)) * rng.lognormal(0, 1)) for i in range(600)]
@@ -68,6 +68,19 @@ def test_top_k_defined_cases(spark):
     assert top_k.top_products(frame(spark, [(1, [1.0], 0)]).where("vec_id > 1")).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Components and scores beyond 64 bits are pinned to the ends."""
+    pin = lambda x: max(-(2**63), min(2**63 - 1, x))
+    rows = [(0, [1e9, 1e9]), (1, [1e9, -1e9]), (2, [3e9, 1e9]), (3, [1e300, -1e300]), (4, [-1e300, -1e300]), (5, [1e-3, 1.0]), (50, [1.0, 1.0])]
+    ints = {i: [pin(int(np.floor(256 * x))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scores = sorted((-pin(sum(a * b for a, b in zip(ints[q], ints[i]))), i) for i in ints if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    got = sorted(tuple(r) for r in top_k.top_products(frame(spark, [(*r, 0) for r in rows])).collect())
+    assert got == want
+
+
 def test_links(spark, small):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.op10_embedding_dedup(spark, DATA.replace("sf0.001", "sf0.01")).collect()}
     assert got == links(small)
