@@ -130,11 +130,13 @@ def _meet(pdf: pd.DataFrame, model: Quantiser, least: float, reach: float) -> pd
 
 
 def dedup_embeddings(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, sample: int = 16_000, per_list: int = 256
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, sample: int = 16_000, per_list: int = 512
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row: links are pairs with equal labels and cosine >= least.
 
-    The quantiser is fitted on at most `sample` distinct vectors; every vector is listed.
+    The quantiser is fitted on at most `sample` distinct vectors; every vector is listed. As only equal labels meet,
+    the lists are as many as the largest label needs for `per_list` vectors a list, and at most a sixteenth of the
+    sample: beyond that lists grow longer, and their pairs of blocks more.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows without a label
     and rows without an id have no links and are kept, being their own component; vectors of different dimensions
@@ -154,11 +156,11 @@ def dedup_embeddings(
     picked = classes.orderBy("cls").limit(sample).select("vec").collect()  # at most `sample` vectors
     if not picked:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    width = classes.agg(F.max(F.size("vec"))).first()[0]
-    width = -(-width // _SPACES) * _SPACES
+    largest = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).agg(F.max("n"), F.max("dim")).first()
+    width = -(-largest[1] // _SPACES) * _SPACES
     blank = Quantiser.__new__(Quantiser)
     blank.width = width
-    lists = max(1, min(1024, len(picked) // 16, classes.count() // per_list))
+    lists = max(1, min(len(picked) // 16, largest[0] // per_list))
     model = Quantiser(blank.unit([r["vec"] for r in picked]), lists)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
