@@ -5,8 +5,10 @@
 2. Hashes of two documents or more are dealt to shards. Each shard builds a minimal perfect hash (levels of bit
    arrays with ranks) and three arrays at its slots: fingerprint, count, last document.
 3. Documents send (shard, hash) probes; a task reads a shard's arrays, then streams the probes past them. Lines
-   are never joined with lines. Probes and a copy of the arrays are salted by document, so a line that a third
-   of all documents hold spreads over tasks.
+   are never joined with lines.
+   Hashes with more than one in 10 000 of all probes, fewer than 10 000 hashes, have a shard of their own, which
+   goes to every task (some 250 kB): their probes are answered where the document is read, so a line that a third of
+   all documents hold is never one task's work.
 4. What must go returns to the documents as one set of hashes for each.
 """
 
@@ -19,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Scratch, map_rows
+from lexigrove.llm.common import Scratch, map_rows, with_fields
 
 _AFTER_FIRST = bytes(range(0x80, 0xC0))  # UTF-8 bytes that do not begin a code point
-_SALTS = 8
+_HOT = 10_000  # a hash is hot with more than one in so many probes
 _KEYS_PER_SHARD = 65536
 
 
@@ -104,26 +106,58 @@ def _count_lines(rows: Iterator[dict], min_chars: int) -> Iterator[tuple]:
     yield from ((*h, *v) for h, v in held.items())
 
 
+class Arrays:
+    """A shard: a minimal perfect hash and, at its slots, fingerprints, counts, last documents and whether there is one."""
+
+    KINDS = (np.int64, np.uint64, np.uint64, np.uint32, np.int64, np.uint8)
+
+    def __init__(self, parts: list[np.ndarray]):
+        sizes, words, self.prints, self.counts, self.last, self.known = parts
+        self.hashed = PerfectHash(sizes, words)
+
+    @classmethod
+    def build(cls, h1: np.ndarray, h2: np.ndarray, n: np.ndarray, last: list) -> Arrays:
+        """Distinct hashes; last has None where no document has an id."""
+        key = _mix(h1, 77) ^ h2
+        hashed = PerfectHash.build(key)
+        at = hashed.slots(key)
+        prints, counts, lasts, known = (np.zeros(len(key), k) for k in cls.KINDS[2:])
+        prints[at], counts[at] = h1, np.minimum(n, 0xFFFFFFFF)
+        known[at], lasts[at] = [x is not None for x in last], [x or 0 for x in last]
+        return cls([hashed.sizes, hashed.words, prints, counts, lasts, known])
+
+    def parts(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.hashed.sizes, self.hashed.words, self.prints, self.counts, self.last, self.known)]
+
+    @classmethod
+    def read(cls, parts: list[bytes]) -> Arrays:
+        return cls([np.frombuffer(x, k) for x, k in zip(parts, cls.KINDS)])
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray, own: np.ndarray, has: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes the shard has, and which of their lines go, for lines of the documents `own` (with an id where `has`)."""
+        if not len(self.prints):
+            return np.zeros(len(h1), bool), np.zeros(len(h1), bool)
+        slot = self.hashed.slots(_mix(h1, 77) ^ h2)
+        here = (slot >= 0) & (self.prints[slot] == h1)
+        return here, here & (self.counts[slot] >= min_docs) & (self.known[slot] == 1) & (~has | (self.last[slot] != own))
+
+
 def _build_shard(pdf):
     import pandas as pd
 
-    h1 = pdf["h1"].to_numpy(np.int64).view(np.uint64)
-    hashed = PerfectHash.build(_mix(h1, 77) ^ pdf["h2"].to_numpy(np.int64).view(np.uint64))
-    at = hashed.slots(_mix(h1, 77) ^ pdf["h2"].to_numpy(np.int64).view(np.uint64))
-    prints, counts, last, known = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.uint32), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.uint8)
-    prints[at] = h1
-    counts[at] = np.minimum(pdf["n"].to_numpy(np.int64), 0xFFFFFFFF)
-    docs = pdf["last"]
-    known[at], last[at] = docs.notna().to_numpy(), docs.fillna(0).to_numpy(np.int64)
-    parts = [hashed.sizes, hashed.words, prints, counts, last, known]
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {f"p{i}": [x.tobytes()] for i, x in enumerate(parts)})
+    last = [None if pd.isna(x) else int(x) for x in pdf["last"].astype(object)]
+    made = Arrays.build(pdf["h1"].to_numpy(np.int64).view(np.uint64), pdf["h2"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), last)
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {f"p{i}": [x] for i, x in enumerate(made.parts())})
 
 
 def _probe(batches, min_docs: int):
-    """Arrow batches in, sorted so that a shard's arrays come before its probes; (id, hash) of lines to drop out."""
+    """Arrow batches in, sorted so that a shard's arrays come before its probes; (id, hash) of lines to drop out.
+
+    Shards below 0 hold hot hashes that have been answered before and only pass through.
+    """
     import pyarrow as pa
 
-    shard, index = None, None
+    shard, arrays = None, None
     for batch in batches:
         n = batch.num_rows
         shards = batch.column("shard").to_numpy(zero_copy_only=False)
@@ -131,25 +165,20 @@ def _probe(batches, min_docs: int):
         edges = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (is_probe[1:] != is_probe[:-1])])
         for lo, hi in zip(edges, [*edges[1:], n]):
             if not is_probe[lo]:
-                raw = [batch.column(f"p{i}")[int(lo)].as_py() for i in range(6)]
-                kinds = (np.int64, np.uint64, np.uint64, np.uint32, np.int64, np.uint8)
-                sizes, words, prints, counts, last, known = (np.frombuffer(x, k) for x, k in zip(raw, kinds))
-                shard, index = shards[lo], (PerfectHash(sizes, words), prints, counts, last, known)
+                shard, arrays = shards[lo], Arrays.read([batch.column(f"p{i}")[int(lo)].as_py() for i in range(6)])
                 continue
-            if shard != shards[lo]:
-                continue  # a shard without keys
-            hashed, prints, counts, last, known = index
             piece = batch.slice(lo, hi - lo)
-            h1, h2 = (piece.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
-            ids = piece.column("id")
-            slot = hashed.slots(_mix(h1, 77) ^ h2)
-            ok = (slot >= 0) & (prints[slot] == h1) & (counts[slot] >= min_docs)
-            has = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
-            own = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            ok &= np.where(has, (known[slot] == 1) & (last[slot] != own), known[slot] == 1)
-            if ok.any():
-                keep = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(h1[keep].view(np.int64))], ["id", "h"])
+            ids, h1 = piece.column("id"), piece.column("h1").to_numpy(zero_copy_only=False)
+            if shards[lo] < 0:
+                gone = np.arange(len(h1))
+            elif shard != shards[lo]:
+                continue  # a shard without keys
+            else:
+                has = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
+                own = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                gone = np.flatnonzero(arrays.probe(h1.view(np.uint64), piece.column("h2").to_numpy(zero_copy_only=False).view(np.uint64), own, has, min_docs)[1])
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(gone)), pa.array(h1[gone])], ["id", "h"])
 
 
 def _rebuild(rows: Iterator[dict], min_chars: int, carry: int) -> Iterator[tuple]:
@@ -184,31 +213,44 @@ def dedup_lines(
     counted = map_rows(src, lambda rows: _count_lines(rows, min_chars), f"h1 long, h2 long, n long, last {id_type}")
     keys = counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where("n >= 2")
     keys = scratch.save(keys, "keys")
-    shards = max(1, -(-keys.count() // _KEYS_PER_SHARD))
+    some, probed = keys.agg(F.count("*"), F.sum("n")).first()
+    least = (probed or 0) // _HOT
+    top = keys.where(F.col("n") > least).collect() if probed else []  # fewer than _HOT rows
+    unsigned = lambda v: np.array(v, np.int64).view(np.uint64)
+    hot = Arrays.build(unsigned([r["h1"] for r in top]), unsigned([r["h2"] for r in top]), np.array([r["n"] for r in top], np.int64), [r["last"] for r in top]).parts()
+    shards = max(1, -(-some // _KEYS_PER_SHARD))
     shard_of = F.pmod(F.xxhash64("h1"), F.lit(shards)).cast("int").alias("shard")
 
     arrays = ", ".join(f"p{i} binary" for i in range(6))
-    index = keys.select(shard_of, "h1", "h2", "n", "last").groupBy("shard").applyInPandas(_build_shard, f"shard int, {arrays}")
+    index = keys.where(F.col("n") <= least).select(shard_of, "h1", "h2", "n", "last").groupBy("shard").applyInPandas(_build_shard, f"shard int, {arrays}")
     index = scratch.save(index, "index")
-    blobs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(False).alias("probe"),
-                         F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *[f"p{i}" for i in range(6)])
+    blobs = index.select("shard", F.lit(0).alias("salt"), F.lit(False).alias("probe"), F.lit(None).cast(id_type).alias("id"),
+                         F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *[f"p{i}" for i in range(6)])
 
     def probes_of(rows: Iterator[dict]) -> Iterator[tuple]:
+        common = Arrays.read(hot)
         for row in rows:
-            for h in {line_hash(x, min_chars) for x in (row["text"] or b"").split(b"\n")} - {None}:
-                yield row["id"], *h
-
-    probes = map_rows(src, probes_of, f"id {id_type}, h1 long, h2 long")
-    probes = probes.select(shard_of, F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"), F.lit(True).alias("probe"),
-                           "id", "h1", "h2", *[F.lit(None).cast("binary").alias(f"p{i}") for i in range(6)])
-    routed = blobs.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe")
+            found = list({line_hash(x, min_chars) for x in (row["text"] or b"").split(b"\n")} - {None})
+            if not found:
+                continue
+            h = np.array(found, np.int64).view(np.uint64)
+            own, has = np.full(len(h), row["id"] or 0, np.int64), np.full(len(h), row["id"] is not None)
+            here, gone = common.probe(h[:, 0], h[:, 1], own, has, min_docs)
+            for k, x in enumerate(found):
+                if gone[k] or not here[k]:
+                    yield bool(here[k]), row["id"], *x
+
+    probes = map_rows(src, probes_of, f"hot boolean, id {id_type}, h1 long, h2 long")
+    probes = probes.select(F.when(F.col("hot"), -1).otherwise(shard_of).alias("shard"), F.when(F.col("hot"), F.pmod(F.xxhash64("id", "h1"), F.lit(1 << 20)).cast("int")).otherwise(0).alias("salt"),
+                           F.lit(True).alias("probe"), "id", "h1", "h2", *[F.lit(None).cast("binary").alias(f"p{i}") for i in range(6)])
+    routed = blobs.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "probe")
     hits = routed.mapInArrow(lambda b: _probe(b, min_docs), f"id {id_type}, h long")
     drops = hits.groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("h").alias("drop"))
 
     full = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     joined = full.join(drops, F.col("id").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
-    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = map_rows(joined, lambda rows: _rebuild(rows, min_chars, len(carry)), f"id {id_type}, text string, n_lines long, n_dropped long{kinds}")
+    to = with_fields(f"id {id_type}, text string, n_lines long, n_dropped long", docs, carry)
+    out = map_rows(joined, lambda rows: _rebuild(rows, min_chars, len(carry)), to)
     return out.toDF(id_col, text_col, "n_lines", "n_dropped", *carry)
 
 
