@@ -4,7 +4,8 @@
    in each, every element is hashed to one bin; a bin keeps the least (round, value). After as many rounds as there
    are bins, bin i takes the least of all elements in round t + i, so every coordinate is filled; the number of equal
    coordinates concentrates about the Jaccard similarity as t independent MinHashes would.
-2. Documents with equal sets are one class. Classes meet in buckets, one for each band of the sketch.
+2. Documents with equal sets are one class. Classes meet in buckets, one for each band of the sketch; a bucket of any
+   size is dealt over tasks by range.
 3. In a bucket, members in order of set size are paired with the first and with the one before, not all with all.
    Pairs whose sizes and sketches allow a link are verified on full sets, and linked ones joined to components.
 4. Buckets of four or more that still hold several components are settled: members outside a bucket's largest
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Scratch, components, documents, map_rows
+from lexigrove.llm.common import Scratch, components, documents, join_hot, map_rows
 
 _U = np.uint64
 _BLOCK = 2048
@@ -104,17 +105,34 @@ def band_hashes(sketch: np.ndarray, bands: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+_HEAD = -1  # in place of a pair's second node: the first member of a part of a bucket that may go on in another partition
+
+
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by (bucket, size, node) in. Pairs with the first and the previous member out; members of
-    buckets of four or more too, with the bucket."""
+    """Members in order of (bucket, size, node) in. Pairs with the first and the previous member out; members of
+    buckets of four or more too, with the bucket. A bucket may reach over several partitions: of the partition's first
+    and last one all members and the head are sent."""
     names = ["bucket", "n", "a", "b"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     sent: set = set()
     out: list[tuple] = []
-    bucket, seen, first, last = None, 0, [], None
+    bucket, seen, first, last, outer = None, 0, [], None, True
+
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
+
+    def close(end: bool) -> None:
+        if (outer or end) and first:
+            out.append((bucket, *first[0], _HEAD))
+            if seen < 4:
+                out.extend((bucket, *x, None) for x in first)
+
     for batch in batches:
         for h, n, node in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node"))):
             if h != bucket:
+                if bucket is not None:
+                    close(False)
+                    outer = False
                 bucket, seen, first, last = h, 0, [], None
             seen += 1
             if last is not None:
@@ -131,12 +149,13 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((h, n, node, None))
             last = node
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
-                out = []
+                yield pack()
+                out.clear()
         if len(sent) > 300_000:
             sent.clear()
+    close(True)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
+        yield pack()
 
 
 def least_equal(coordinates: int, percent: int) -> int:
@@ -183,12 +202,6 @@ def _settle(pdf: pd.DataFrame, percent: int, width: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def least_equal(coordinates: int, percent: int) -> int:
-    """Equal coordinates below which a pair isn't verified."""
-    p = percent / 100
-    return int(coordinates * p - 6.5 * (coordinates * p * (1 - p)) ** 0.5)
-
-
 class NearDedup:
     """Settings, and the steps as tables in the shared folder."""
 
@@ -214,7 +227,7 @@ class NearDedup:
         return map_rows(src, run, "id long, n_shingles long, cls binary, bands array<long>, sketch binary", flush=64)
 
     def words(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(node, words) for nodes (node, cls): the class's words, compressed."""
+        """(node, words) for nodes (node, least, cls): the class's words, compressed."""
         width = self.width
 
         def pack(batch: Iterator[dict]) -> Iterator[tuple]:
@@ -225,7 +238,7 @@ class NearDedup:
                 if xxhash.xxh3_128_digest(x.tobytes()) == row["cls"]:  # else another row of the same id
                     yield row["node"], zip_.compress(b" ".join(words))
 
-        texts = docs.join(nodes, F.col("id") == F.col("node")).select("node", "cls", "text")
+        texts = docs.join(nodes, F.col("id") == F.col("least")).select("node", "cls", "text")
         return map_rows(texts, pack, "node long, words binary").dropDuplicates(["node"])
 
     def verify(self, pairs: DataFrame, packed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -266,11 +279,12 @@ class NearDedup:
         """Links (a, b) between components of one bucket. big: (bucket, a); comp: (id, component)."""
         percent, width = self.percent, self.width
         at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("comp"))
+        at = scratch.save(at, "crowds")
         each = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         # rows are dealt anew by (bucket, member): a bucket of any size spreads over tasks
         blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-        each = scratch.save(each.where("all > most").select("bucket", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("outs")), "split")
-        at = at.join(each, "bucket").withColumn("out", F.col("comp") != F.col("main"))
+        each = scratch.save(each.where("all > most").select("bucket", "main", "all", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("outs")), "split")
+        at = join_hot(at, each, ["bucket"], "all").withColumn("out", F.col("comp") != F.col("main"))
         at = at.withColumn("blk", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -288,27 +302,32 @@ class NearDedup:
 
         Defined cases: a text without words is linked with nothing, and so is a row without an id, which has no
         component_id and is kept; fewer than five words are one shingle; rows that repeat an id count as one
-        document, and all are kept if that id is its component's smallest; an empty table gives an empty one;
-        columns that are not named are ignored. Ids are integers.
+        document, with all links that their texts have, and all are kept if that id is its component's smallest; a
+        text of any length is one row and one set; an empty table gives an empty one; columns that are not named are
+        ignored. Ids are integers.
         """
         spark = docs.sparkSession
         scratch = Scratch(spark, "near")
         src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
         rows = scratch.save(self.classes(docs, id_col, text_col), "rows")
         usable = rows.where("cls is not null and id is not null")
-        nodes = usable.groupBy("cls").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        nodes = scratch.save(nodes, "nodes")
+        nodes = usable.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # fixed once it is written
 
         members = nodes.select("node", "n", F.explode("bands").alias("h"))
-        met = members.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_pair_up, "bucket long, n long, a long, b long")
-        met = scratch.save(met, "met")
-        tried = scratch.save(self.likely(met.where("bucket is null").select("a", "b").distinct(), nodes), "pairs-0")
-        big = met.where("bucket is not null").select("bucket", "a")
+        pairs = lambda dealt: dealt.sortWithinPartitions("h", "n", "node").mapInArrow(_pair_up, "bucket long, n long, a long, b long")
+        # by range, so that a bucket of any size spreads over tasks; heads, at most two for each partition, join its parts
+        met = scratch.save(pairs(members.repartitionByRange("h", "n", "node")), "met")
+        heads = pairs(met.where(F.col("b") == _HEAD).select(F.col("bucket").alias("h"), "n", F.col("a").alias("node")).repartition("h"))
+        near = met.where("bucket is null").unionByName(heads.where("bucket is null"))
+        tried = scratch.save(self.likely(near.select("a", "b").distinct(), nodes), "pairs-0")
+        big = met.where("bucket is not null and b is null").select("bucket", "a")
         ends = tried.select("a").union(tried.select("b")).union(big.select("a")).distinct()
-        packed = scratch.save(self.words(src, ends.join(nodes.select("node", "cls"), F.col("a") == F.col("node")).select("node", "cls")), "words")
+        packed = scratch.save(self.words(src, ends.join(nodes.select("node", "least", "cls"), F.col("a") == F.col("node")).select("node", "least", "cls")), "words")
         links = self.verify(tried, packed, scratch, "links-0")
         # rows that share an id are one document: their classes are linked
-        shared = usable.join(nodes.select("cls", "node"), "cls").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where("size(all) > 1")
+        named = nodes.select("cls", "node", "copies")
+        shared = join_hot(usable.select("id", "cls"), named, ["cls"], "copies").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where("size(all) > 1")
         shared = shared.select("a", F.explode("all").alias("b")).where("a <> b")
         comp = scratch.save(components(links.union(shared), scratch, "comp-0"), "comp-0")
 
@@ -319,8 +338,11 @@ class NearDedup:
         risen = comp.join(wider.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
         comp = scratch.save(risen.union(wider.join(comp.select("id"), "id", "left_anti").select("id", "component")), "comp-1")
 
-        placed = nodes.join(comp, F.col("node") == F.col("id"), "left").select("cls", F.coalesce("component", "node").alias("component_id"))
-        out = rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(placed, "cls", "left")
+        placed = nodes.join(comp, F.col("node") == F.col("id"), "left").select("cls", "least", "copies", F.coalesce("component", "node").alias("root"))
+        placed = scratch.save(placed, "placed")
+        roots = placed.groupBy("root").agg(F.count("*").alias("classes"), F.min("least").alias("component_id"))
+        placed = scratch.save(join_hot(placed, roots, ["root"], "classes").select("cls", "copies", "component_id"), "components")
+        out = join_hot(rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")), placed, ["cls"], "copies", "left")
         component = F.coalesce("component_id", "id")
         return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
