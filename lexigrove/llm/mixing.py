@@ -9,85 +9,80 @@ size, so that a long one is never taken in place of many short ones, and by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexigrove.llm.common import Scratch, documents, partitions, ranked
+from lexigrove.llm.common import Scratch, documents, join_hot, partitions, ranked
 
 
-def count_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def word_count(text: Column) -> Column:
     """Runs of anything but ASCII white space."""
-    for texts in batches:
-        yield pd.Series([0 if x is None else len(x.split()) for x in texts], dtype="int64")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], total: float, most: float) -> DataFrame:
-    """sizes: one row (source, source_size) for each source. Adds `target`.
+def targets(sizes: DataFrame, weights: tuple[float, ...], total: float, most: float, scratch: Scratch) -> DataFrame:
+    """sizes: one row (source, source_size, rows) for each source. Adds `target`.
 
-    Filling is closed-form: sources reach their limit in the order of size over weight, so with sources in that
-    order the level is fixed by sums over those before and those after. Sources by code point, null last, take
-    the weights in turn.
+    Sources by code point, null last, take the weights in turn. The level that all open sources share by weight rises
+    as sources reach their limit and close; each round is one aggregation over the sources, until none closes.
     """
-    nth = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int")))
-    weighed = weighed.withColumns({"cap": F.col("source_size") * F.lit(float(most)), "fill": F.col("source_size") * F.lit(float(most)) / F.col("w")})
-    order = Window.orderBy("fill", F.col("source").isNull(), "source")
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # the level at which this source and all later ones would stand, were all earlier ones full
-    level = F.try_divide(F.sum("source_size").over(every) * F.lit(float(total)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("w").over(after))
-    weighed = weighed.withColumn("level", level)
-    weighed = weighed.withColumn("stop", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
-    return weighed.select("source", "source_size", F.least("cap", F.coalesce(F.col("stop") * F.col("w"), "cap")).alias("target"))
+    placed = ranked(sizes, scratch, "sources", [], ["source"], partitions(sizes.sparkSession, 0, 1))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    cap = F.col("source_size") * F.lit(float(most))
+    weighed = scratch.save(placed.withColumn("w", weight).withColumns({"cap": cap, "fill": cap / F.col("w")}), "weighed")
+    level, closed = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("fill") < F.lit(level)
+        got = weighed.agg(
+            F.sum("source_size").alias("all"), F.count_if(full).alias("closed"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("given"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("open")
+        ).first()
+        if not got["open"] or got["closed"] == closed:
+            break
+        level, closed = (got["all"] * float(total) - got["given"]) / got["open"], got["closed"]
+    target = F.col("cap") if not got["open"] else F.least("cap", F.lit(level) * F.col("w"))
+    return weighed.select("source", "source_size", "rows", target.alias("target"))
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0), total: float = 1.5, most: float = 2.0, seed: int = 17,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0), total: float = 1.5, most: float = 2.0, seed: int = 17, key_col: str | None = None,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often the mix takes each document.
+    """(id, source, size, source_size, target, copies): how often the mix takes each document; with key_col, its key too.
 
     Only ids, sources and sizes are shuffled. Places within a source come from a range partitioning and one count
     for each partition, so no source is one task's work. The offset is a hash of source and seed: reruns agree.
 
-    Defined cases: null text and text of white space have size 0 and are taken by the same rule, adding nothing;
-    a null source is a source of its own and stands last; a null id stands last among its size; repeated rows
-    each have their own place; a source without words has target 0 and no copies; an empty table gives an empty
-    one; columns that are not named are ignored.
+    Defined cases: null text and text of white space have size 0 and are taken by the same rule, adding nothing; a
+    text of any length is one row; a null source is a source of its own and stands last; documents of one size stand
+    by id, a null id last, and rows alike in source, size and id are interchangeable; repeated rows each have their
+    own place; a source without words has target 0 and no copies; an empty table gives an empty one; columns that
+    are not named are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    words = F.pandas_udf(count_words, "long")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col).cast("binary")).alias("size"))
+    key = [F.col(key_col).alias("key")] if key_col else []
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *key)
     sized = scratch.save(sized, "sizes")
-    per_source = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "targets")
-    placed = ranked(sized, scratch, "placed", ["source"], ["size", "id"], partitions(docs.sparkSession, sized.count(), 1_000_000))
-    to = per_source.withColumnRenamed("source", "of")
-    out = placed.join(to, F.col("source").eqNullSafe(F.col("of")), "left")
+    per_source = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, total, most, scratch), "targets")
+    placed = ranked(sized, scratch, "placed", ["source"], ["size", "id"], partitions(docs.sparkSession, per_source.agg(F.sum("rows")).first()[0] or 0, 1_000_000))
+    named = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("of")
+    out = join_hot(placed.select("*", named), per_source.select(named, "source_size", "rows", "target"), ["of"], "rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), "/null/").otherwise("/"), F.lit(str(seed)))
     offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor((F.col("rank") + 1) * rate + offset) - F.floor(F.col("rank") * rate + offset)
-    return out.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return out.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *(["key"] if key_col else []))
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, columns unchanged.
+    """The mix itself: each row of docs as often as it is taken, all columns unchanged, whatever their names.
 
-    Rows with one id, source and size are told apart by their order among themselves, which changes nothing
-    when their texts agree.
+    Rows are written once with a key of their own, and only those that are taken travel.
     """
-    words = F.pandas_udf(count_words, "long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col).cast("binary")).alias("size"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.xxhash64(F.col("row")[text_col]))))
-    taken = mix_sources(docs, id_col, text_col, source_col, **settings).select(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_src", "_sz").orderBy(F.desc("copies")))).where("copies > 0")
-    on = [F.col("id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_src")), F.col("size") == F.col("_sz"), F.col("nth") == F.col("_n")]
-    out = rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    scratch = Scratch(docs.sparkSession, "taken")
+    held = scratch.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    sized = held.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"), "key")
+    taken = mix_sources(sized, "id", "text", "source", key_col="key", **settings).where("copies > 0").select("key", "copies")
+    out = held.join(taken, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("row.*")
 
 
