@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.boost import Boosted, Isotonic
-from lexigrove.llm.common import Scratch, documents, map_rows
+from lexigrove.llm.common import Scratch, documents, map_rows, with_fields
 
 FEATURES = (
     "words", "strong_hits", "strong_density", "weak_hits", "weak_density", "strong_distinct", "near_second_person", "capital_letters",
@@ -88,7 +88,7 @@ class Features:
             densest = max(densest, last - k + 1)
         lengths = list(map(len, words))
         masked = _MASKED.findall(lower) if _MASK.search(lower) else []
-        masked_hits = sum(1 for m in masked if "@" not in m[1:] or "." not in m for w in (m.translate(_PLAIN),) if strength(w) == 2 and len(w) < 40)
+        masked_hits = sum(1 for m in masked if "@" not in m[1:] or "." not in m for w in (m.translate(_PLAIN),) if strength(w) == 2)
         spaced = _SPACED.findall(lower) if lengths.count(1) >= 4 else []
         spaced_hits = sum(1 for m in spaced if strength(re.sub(r"[ .\-_*]", "", m)) == 2)
         upper = sum(map(str.isupper, _CAPITAL_WORD.findall(text))) if text != lower else 0
@@ -108,7 +108,8 @@ class Model:
         self.lexicon, self.trees, self.calibration = lexicon, trees, calibration
 
     def score(self, features: list[list[float]]) -> np.ndarray:
-        return np.clip(self.calibration(self.trees.raw(np.array(features, float))), 0.0, 1.0)
+        raw = self.trees.raw(np.array(features, float))
+        return np.clip(self.calibration(raw), 0.0, 1.0) if len(self.calibration.x) else 1 / (1 + np.exp(-raw))
 
 
 def held_out(id_col: Column) -> Column:
@@ -119,7 +120,9 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_terms: int = 400) -> Model:
     """Learn from at most max_rows labelled rows that aren't held out, the first by a hash of the id.
 
-    Without any usable label, the model says 0.5 or what share of few labels is 1.
+    The lexicon has the max_terms terms that go most surely with the label. Every fourth row or so, by a hash of its
+    id, calibrates and isn't learned from by the trees; without such rows the trees' own probability is the score.
+    Without any usable label nothing speaks for label 1, and every score is 0.001.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -132,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(rows: Iterator[dict]) -> Iterator[tuple]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
         for row in rows:
-            held[row["y"] == 1].update({t for w in set(_WORD.findall(row["text"].lower())) if len(w) <= 40 for t in terms(w)})
+            held[row["y"] == 1].update({t for w in set(_WORD.findall(row["text"].lower())) for t in terms(w)})
             if len(held[0]) + len(held[1]) > 300_000:
                 yield from ((t, n, k) for k, c in enumerate(held) for t, n in c.items())
                 held = (Counter(), Counter())
@@ -155,22 +158,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = map_rows(texts, measure, f"id {texts.schema['id'].dataType.simpleString()}, y int, x array<double>").select("y", "x", F.pmod(F.xxhash64("id"), F.lit(4)).alias("fold")).orderBy("fold", "id").collect()  # at most max_rows rows of numbers
     x, y = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float)
     calibrate = np.array([r["fold"] == 0 for r in got], bool)
-    if not len(y):
-        return Model(lexicon, Boosted().fit(x, y), Isotonic().fit(np.zeros(0), np.zeros(0)))
-    first = Boosted().fit(x[~calibrate], y[~calibrate])
-    use = calibrate if calibrate.sum() >= 20 else np.ones(len(y), bool)
-    return Model(lexicon, first, Isotonic().fit(first.raw(x[use]), y[use]))
+    trees = Boosted().fit(x[~calibrate], y[~calibrate])
+    if calibrate.all():
+        trees.start = float(np.log(0.001 / 0.999))
+    return Model(lexicon, trees, Isotonic().fit(trees.raw(x[calibrate]), y[calibrate]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, score, predicted, then the carried columns) for each row: nothing but the text decides.
 
-    Defined cases: null texts score as empty ones; repeated rows score alike; a null id is carried along; an
-    empty table gives an empty one; columns that are not named are ignored, and a carried column named like a
-    result column is left out.
+    Defined cases: null texts score as empty ones; a text of any length is one row and scored whole; repeated rows
+    score alike; a null id is carried along; an empty table gives an empty one; columns that are not named are
+    ignored, and a carried column named like a result column is left out.
     """
     carry = tuple(c for c in carry if c not in (id_col, "score", "predicted"))
-    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         measured = Features(model.lexicon)
@@ -190,7 +191,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield from flush()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    return map_rows(src, run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int{kinds}").toDF(id_col, "score", "predicted", *carry)
+    to = with_fields(f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int", docs, carry)
+    return map_rows(src, run, to).toDF(id_col, "score", "predicted", *carry)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
