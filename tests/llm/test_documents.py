@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, line_dedup, mixing, near_dedup, pii, sharding, substring_dedup, toxicity
+from lexigrove.llm import bpe, common, line_dedup, mixing, near_dedup, pii, sharding, substring_dedup, toxicity
 from tests.conftest import DATA
 from tests.llm import brute
 
@@ -41,7 +41,9 @@ def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-def test_lines(spark, odd, small):
+@pytest.mark.parametrize("hot", [10_000, 50, 1])  # all, some and no lines in the index that every task has
+def test_lines(spark, odd, small, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "_HOT", hot)
     for rows, df in ((pairs(odd), odd), ([x[:2] for x in small], spark.read.parquet(f"{DATA}/documents.parquet"))):
         got = [tuple(r) for r in line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped", "text").collect()]
         order = lambda r: (r[0] is None, r[0] or 0, r[3])
@@ -56,7 +58,9 @@ def test_perfect_hash():
     assert sorted(made.slots(keys)) == list(range(len(keys)))
 
 
-def test_substrings(spark, small):
+@pytest.mark.parametrize("hot", [10_000, 50, 1])
+def test_substrings(spark, small, monkeypatch, hot):
+    monkeypatch.setattr(common, "_HOT", hot)
     got = [tuple(r) for r in substring_dedup.dedup_substrings(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "n_words", "n_removed", "text").collect()]
     assert sorted(got) == sorted(brute.substrings([x[:2] for x in small]))
 
@@ -116,8 +120,10 @@ def test_near_copies(spark, small):
     assert got == brute.near([x[:2] for x in small])
 
 
-def test_near_copies_in_crowded_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_near_copies_in_crowded_buckets(spark, monkeypatch, hot):
     monkeypatch.setattr(near_dedup, "_BLOCK", 8)
+    monkeypatch.setattr(common, "_HOT", hot)
     rng = np.random.default_rng(5)
     bases = [[f"w{x}" for x in rng.integers(0, 500, 150)] for _ in range(2)]
     rows = []
@@ -131,6 +137,15 @@ def test_near_copies_in_crowded_buckets(spark, monkeypatch):
     assert got == brute.near(rows)
 
 
+def test_rows_of_one_id_keep_all_links(spark):
+    """Two texts under one id: the links of both count."""
+    rng = np.random.default_rng(8)
+    a, b = ([f"w{x}" for x in rng.integers(0, 9999, 80)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (9, "z " * 9)]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.NearDedup()(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (7, 3), (3, 3), (9, 9)}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
@@ -182,17 +197,27 @@ def ids_of(encoding, text):
     return np.array(encoding.encode(text or "", disallowed_special=()), "<u4").tobytes()
 
 
-@pytest.mark.parametrize("chunk", [65536, 50])
-def test_bpe(spark, odd, small, reference_bpe, chunk):
+@pytest.mark.parametrize(("chunk", "overlap", "spread"), [(1024, 128, 262_144), (50, 25, 262_144), (64, 16, 100), (7, 7, 50)])
+def test_bpe(spark, odd, small, reference_bpe, chunk, overlap, spread):
     assert bpe.PATTERN == public_tokenizers.PATTERN
-    extra = [(20, "<|endoftext|> it's  \n\n 12  x" * 30, None, None), (21, "y" * 400, None, None), (22, "日本 語" * 50, None, None), (23, " " * 300 + "z", None, None)]
-    df = frame(spark, extra).unionByName(odd.where("doc_id is null or doc_id <> 13 and doc_id <> 4") if chunk == 50 else odd)
-    got = [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_texts(df, bpe.vocabulary(), chunk=chunk, overlap=min(1024, chunk // 2)).collect()]
+    extra = [
+        (20, "<|endoftext|> it's  \n\n 12  x" * 30, None, None), (21, "y" * 400, None, None), (22, "日本 語" * 50, None, None), (23, " " * 300 + "z", None, None),
+        (24, "a b " * 20 + "y" * 700 + " c d" * 30, None, None), (25, "x\x1c\x85y \u3000 z\u2028" * 60, None, None), (26, "\U00031350 𞤀𞤁 \u1c89 ꟑ\U0001ccf0 " * 40, None, None),
+    ]
+    df = frame(spark, extra).unionByName(odd.where("doc_id is null or doc_id <> 13 and doc_id <> 4") if spread < 1000 else odd)
+    got = [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_texts(df, bpe.vocabulary(), chunk=chunk, overlap=overlap, spread=spread).collect()]
     want = [(i, len(ids_of(reference_bpe, t)) // 4, ids_of(reference_bpe, t), (t or "").encode()) for i, t in pairs(df)]
     order = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+def test_bpe_pieces_are_many(small):
+    codec = bpe.Codec.at(bpe.vocabulary())
+    for _, text, _ in small:
+        pieces = list(codec.pieces(text or "", 256, 64))
+        assert "".join(pieces) == (text or "") and len(pieces) >= len(text or "") // 512
+
+
 def test_bpe_query(spark, small, reference_bpe):
     got = sorted(tuple(r) for r in bpe.op5_byte_bpe(spark, DATA).collect())
     assert got == sorted((i, len(ids_of(reference_bpe, t)) // 4, brute.sha(ids_of(reference_bpe, t)), brute.sha(t or "")) for i, t, _ in small)

@@ -23,7 +23,7 @@ def test_run(spark, reference_bpe):  # noqa: F811
     clean = {r["doc_id"] for r in toxicity.score_toxicity(docs, model).where("predicted = 0").collect()}
     rows = {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect() if r["doc_id"] in clean}
     texts = {i: t for i, _, _, t in brute.lines([(i, t) for i, (t, _) in rows.items()])}
-    kept = [i for i, (_, component) in brute.near(list(texts.items())).items() if i == component]
+    kept = [i for i, (_, component) in brute.near(list(texts.items()), 80).items() if i == component]
     mixed = brute.mix([(i, rows[i][1], len(brute.WORD.findall(texts[i]))) for i in kept])
     want = []
     for i, _, _, _, copies in mixed:
@@ -36,7 +36,7 @@ def test_run(spark, reference_bpe):  # noqa: F811
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_keep_the_columns_and_odd_rows(spark, tmp_path, empty):
     rows = [(1, "a b c d e f", "en", "s"), (2, None, None, None), (3, "", "en", None), (None, "x y z", "en", "s"), (4, "a b c d e f", "en", "s"), (4, "a b c d e f", "en", "s")]
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", F.col("n_chars"))
+    docs = frame(spark, rows).withColumns({"predicted": F.lit(7), "column 1": F.array(F.lit("x")), "text2": F.struct(F.lit(1).alias("a b")), "row": F.lit("r"), "key": F.lit(1.5)})
     docs = docs.where("doc_id < 0") if empty else docs
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     columns = docs.columns
@@ -46,5 +46,6 @@ def test_stages_keep_the_columns_and_odd_rows(spark, tmp_path, empty):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
+            assert all((r["predicted"], r["score"], r["h"], r["text2"]["a b"], r["column 1"], r["key"]) == (7, "s", 6, 1, ["x"], 1.5) for r in docs.collect())
     assert (docs.count() == 0) == empty
     assert np.all([r["decoded_sha256"] is not None for r in docs.collect()])
