@@ -24,10 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's default of rows that travel to Python at once, and what is set in its place: texts may be long.
+_BATCH, _SMALL_BATCH = "10000", "2000"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor never makes an earlier step run again.
 
-    An operator's result reads its tables, so they stay until `release`.
+    An operator's result reads its tables, so they stay until `release`. Unless the session says otherwise, rows
+    reach Python in small batches.
     """
 
     made: list[Scratch] = []
@@ -36,6 +42,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lexigrove/{label}-{uuid.uuid4().hex}"
         Scratch.made.append(self)
+        if spark.conf.get(_BATCH_ROWS, _BATCH) == _BATCH:
+            spark.conf.set(_BATCH_ROWS, _SMALL_BATCH)
 
     @classmethod
     def release(cls, since: int = 0) -> None:
