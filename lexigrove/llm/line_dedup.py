@@ -25,7 +25,8 @@ from lexigrove.llm.common import Scratch, map_rows, with_fields
 
 _AFTER_FIRST = bytes(range(0x80, 0xC0))  # UTF-8 bytes that do not begin a code point
 _HOT = 10_000  # a hash is hot with more than one in so many probes
-_KEYS_PER_SHARD = 65536
+_KEYS_PER_SHARD, _PROBES_PER_SHARD = 65_536, 262_144
+_TOGETHER = 4096  # lines that are probed at once in the index of hot ones
 
 
 def line_hash(line: bytes, min_chars: int) -> tuple[int, int] | None:
@@ -218,7 +219,9 @@ def dedup_lines(
     top = keys.where(F.col("n") > least).collect() if probed else []  # fewer than _HOT rows
     unsigned = lambda v: np.array(v, np.int64).view(np.uint64)
     hot = Arrays.build(unsigned([r["h1"] for r in top]), unsigned([r["h2"] for r in top]), np.array([r["n"] for r in top], np.int64), [r["last"] for r in top]).parts()
-    shards = max(1, -(-some // _KEYS_PER_SHARD))
+    # shards of about as many keys, and as many probes, as one task should have
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(parts, -(-some // _KEYS_PER_SHARD), -(-(probed or 0) // _PROBES_PER_SHARD))
     shard_of = F.pmod(F.xxhash64("h1"), F.lit(shards)).cast("int").alias("shard")
 
     arrays = ", ".join(f"p{i} binary" for i in range(6))
@@ -228,17 +231,22 @@ def dedup_lines(
                          F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *[f"p{i}" for i in range(6)])
 
     def probes_of(rows: Iterator[dict]) -> Iterator[tuple]:
-        common = Arrays.read(hot)
-        for row in rows:
-            found = list({line_hash(x, min_chars) for x in (row["text"] or b"").split(b"\n")} - {None})
-            if not found:
-                continue
-            h = np.array(found, np.int64).view(np.uint64)
-            own, has = np.full(len(h), row["id"] or 0, np.int64), np.full(len(h), row["id"] is not None)
+        common, held = Arrays.read(hot), []
+
+        def answer() -> Iterator[tuple]:
+            h = np.array([x[1:] for x in held], np.int64).view(np.uint64)
+            own, has = np.array([x[0] or 0 for x in held], np.int64), np.array([x[0] is not None for x in held])
             here, gone = common.probe(h[:, 0], h[:, 1], own, has, min_docs)
-            for k, x in enumerate(found):
-                if gone[k] or not here[k]:
-                    yield bool(here[k]), row["id"], *x
+            for k in np.flatnonzero(gone | ~here).tolist():
+                yield bool(here[k]), *held[k]
+            held.clear()
+
+        for row in rows:
+            held += [(row["id"], *h) for h in {line_hash(x, min_chars) for x in (row["text"] or b"").split(b"\n")} - {None}]
+            if len(held) >= _TOGETHER:
+                yield from answer()
+        if held:
+            yield from answer()
 
     probes = map_rows(src, probes_of, f"hot boolean, id {id_type}, h1 long, h2 long")
     probes = probes.select(F.when(F.col("hot"), -1).otherwise(shard_of).alias("shard"), F.when(F.col("hot"), F.pmod(F.xxhash64("id", "h1"), F.lit(1 << 20)).cast("int")).otherwise(0).alias("salt"),
