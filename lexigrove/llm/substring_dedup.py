@@ -4,7 +4,9 @@ A window is `width` consecutive words. Matching every document against an index
 square of the corpus, so equal windows are brought to one shard first:
 
 1. A window's anchor is its least hashed 8-word run; equal windows have equal anchors. Consecutive windows with one
-   anchor form a segment; a document sends (anchor, segment hash, place) for each.
+   anchor form a segment; a document sends (anchor, segment hash, place) for each. Anchors that are hot in a sample of
+   the documents are dealt by anchor and content, and equal segments of one task are one before they are dealt, so
+   that no anchor and no content is one task's work.
 2. Equal segments are one pattern. Its earliest holder, the owner, stands for it; in all others, every window
    starts earlier in the owner. An owner whose anchor has no other content repeats nothing.
 3. The words of the other owners go to the shard of their anchor. A shard builds an FM-index (bit planes of a
@@ -16,9 +18,6 @@ square of the corpus, so equal windows are brought to one shard first:
 4. An anchor with very many contents (the edges of a passage that stands in a third of all documents) would make a
    shard of its own; the windows of its segments are compared by hash, with the first places aggregated before.
 5. Documents take back the runs of windows and lose the words that they cover.
-
-Hot anchors and contents, with more than one in 10 000 of all segments, are joined by broadcast, so that none is one
-task's work.
 """
 
 from __future__ import annotations
@@ -40,6 +39,7 @@ _U = np.uint64
 _RUN = 8  # words of an anchor
 _CROWD = 1000  # contents of one anchor from which windows are compared by hash
 _SHARD_WORDS = 150_000
+_SAMPLE, _HOT, _FEW = 64, 10_000, 8  # one document in _SAMPLE names the anchors with over 1 / _HOT of its segments, and over _FEW
 _NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -90,13 +90,24 @@ def segments(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h[at[lo]], span_hashes(x, lo, hi + width), lo, hi
 
 
-def _send_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    hashed = WordHashes()
-    names, held, size = ["a", "s", "id", "d", "lo", "hi"], [], 0
+_SENT = ("k", "a", "s", "id", "d", "lo", "hi", "copy", "often")
+
+
+def _send_segments(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Segments of documents. k is what they meet by: the anchor or, of a hot one, anchor and content. Of equal
+    segments that are sent at once, all but the earliest are marked as copies and dealt anywhere."""
+    hashed, held, size = WordHashes(), [], 0
 
     def pack() -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*held)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        a, s, doc, d, lo, hi = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((lo, d, doc, s, a))
+        a, s, doc, d, lo, hi = (c[order] for c in (a, s, doc, d, lo, hi))
+        copy = np.r_[False, (a[1:] == a[:-1]) & (s[1:] == s[:-1])]
+        often = np.isin(a, hot)
+        k = np.where(often, mix(a ^ mix(s)), a)
+        k = np.where(copy, mix(mix(doc.view(_U)) ^ d.view(_U) + lo.astype(_U)), k)
+        cols = [c.view(np.int64) for c in (k, a, s)] + [doc, d, lo, hi, copy, often]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list(_SENT))
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -104,10 +115,9 @@ def _send_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
             if len(words) < width:
                 continue
             a, s, lo, hi = segments(hashed(words), width)
-            doc = [np.full(len(a), batch.column(c)[i].as_py(), np.int64) for c in (0, 1)]
-            held.append((a.view(np.int64), s.view(np.int64), *doc, lo.astype(np.int32), hi.astype(np.int32)))
+            held.append((a, s, *[np.full(len(a), batch.column(c)[i].as_py(), np.int64) for c in (0, 1)], lo.astype(np.int32), hi.astype(np.int32)))
             size += len(a)
-            if size > 50_000:
+            if size > 200_000:
                 yield pack()
                 held, size = [], 0
     if held:
@@ -233,17 +243,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # (id, d) is a document: an id alone may stand for several texts
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("d"), text.alias("text"))
 
-    sent = scratch.save(src.mapInArrow(lambda b: _send_segments(b, width), "a long, s long, id long, d long, lo int, hi int"), "segments")
-    anchors = sent.groupBy("a").agg(F.count("*").alias("n"), (F.min("s") < F.max("s")).alias("several")).where("n > 1")
-    shared = scratch.save(join_hot(sent, scratch.save(anchors, "anchors"), ["a"], "n").drop("n"), "shared")
-    contents = shared.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "d", "lo", "hi")).alias("first"), F.max("several").alias("several"))
-    contents = scratch.save(contents, "contents")
-    held = join_hot(shared.drop("several"), contents.where("n > 1").select("a", "s", "n", "first"), ["a", "s"], "n")
-    copied = held.where(F.struct("id", "d", "lo", "hi") != F.col("first")).select("id", "d", "lo", "hi")
-
-    owners = scratch.save(contents.where("several").select("a", "first.*"), "owners")
-    crowds = owners.groupBy("a").agg(F.count("*").alias("n"))
-    owners = join_hot(owners, scratch.save(crowds, "crowds"), ["a"], "n").withColumn("hot", F.col("n") > _CROWD)
+    send = lambda docs, hot: docs.mapInArrow(lambda b: _send_segments(b, width, hot), "k long, a long, s long, id long, d long, lo int, hi int, copy boolean, often boolean")
+    # Anchors that are hot in a sample of the documents. It only settles how segments are dealt: a hot anchor's meet by
+    # content, and count as several contents; the result is the same for any set of hot anchors.
+    some = send(src.where(F.pmod(F.xxhash64("d", "id"), F.lit(_SAMPLE)) == 0), np.zeros(0, _U))
+    counts = scratch.save(some.groupBy("a").agg(F.count("*").alias("n")), "sampled")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // _HOT
+    hot = np.array(sorted(r["a"] for r in counts.where(F.col("n") > max(least, _FEW)).collect()), np.int64).view(_U)  # fewer than _HOT numbers
+    by = Window.partitionBy("k", "a")
+    met = send(src, hot).withColumns({"before": F.lag("s").over(by.orderBy("s", "id", "d", "lo")), "low": F.min("s").over(by), "high": F.max("s").over(by), "n": F.count("*").over(by)})
+    met = met.withColumn("first", F.min(F.struct("id", "d", "lo")).over(Window.partitionBy("k", "a", "s")))
+    several = (F.col("low") < F.col("high")) | F.col("often")
+    own = ~F.col("copy") & (F.col("first") == F.struct("id", "d", "lo"))
+    met = met.select("a", "id", "d", "lo", "hi", own.alias("own"), (~F.col("before").eqNullSafe(F.col("s"))).alias("one"), several.alias("several"))
+    met = scratch.save(met.where("not own or several"), "met")
+    copied = met.where("not own").select("id", "d", "lo", "hi")
+
+    owners = met.where("own and one").select("a", "id", "d", "lo", "hi")
+    crowds = scratch.save(owners.groupBy("a").agg(F.count("*").alias("n")), "crowds")
+    owners = join_hot(owners, crowds, ["a"], "n").withColumn("hot", F.col("n") > _CROWD)
     wanted = owners.groupBy(F.col("id").alias("own_id"), F.col("d").alias("own_d")).agg(F.collect_list(F.struct("a", "lo", "hi", "hot")).alias("want"))
 
     def cut(rows: Iterator[dict]) -> Iterator[tuple]:

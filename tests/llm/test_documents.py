@@ -58,15 +58,19 @@ def test_perfect_hash():
     assert sorted(made.slots(keys)) == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("hot", [10_000, 50, 1])
-def test_substrings(spark, small, monkeypatch, hot):
-    monkeypatch.setattr(common, "_HOT", hot)
+@pytest.mark.parametrize(("sample", "few"), [(64, 8), (1, 0), (1, 2)])  # no, all and some anchors are hot
+def test_substrings(spark, small, monkeypatch, sample, few):
+    monkeypatch.setattr(substring_dedup, "_SAMPLE", sample)
+    monkeypatch.setattr(substring_dedup, "_FEW", few)
     got = [tuple(r) for r in substring_dedup.dedup_substrings(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "n_words", "n_removed", "text").collect()]
     assert sorted(got) == sorted(brute.substrings([x[:2] for x in small]))
 
 
-def test_substrings_across_shards_and_crowds(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_substrings_across_shards_and_crowds(spark, monkeypatch, few):
     monkeypatch.setattr(substring_dedup, "_CROWD", 3)
+    monkeypatch.setattr(substring_dedup, "_SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "_FEW", few)
     monkeypatch.setattr(substring_dedup, "_SHARD_WORDS", 200)
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(60)]
