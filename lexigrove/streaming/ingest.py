@@ -1,4 +1,4 @@
-"""Incremental ingestion, conversation memory and first-seen rows on streams."""
+"""Incremental ingestion, conversation memory, first-seen rows and windowed counts on streams."""
 
 from __future__ import annotations
 
@@ -8,37 +8,64 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
-from lexigrove.operators.manifest import merge
+MANIFEST = "document_id string, status string, checksum string, error_message string, version int"
 
 
 def merge_batches(files: DataFrame, manifest_dir: str, checkpoint: str):
-    """A stream of (document_id, checksum) merged into the manifest, batch by batch.
+    """A stream of (document_id, checksum) taken into the manifest, batch by batch. Returns the started query.
 
-    Each batch writes a new version of the manifest under its number; a batch that runs again after a failure
-    writes the same version from the same one before. Returns the started query.
+    A batch is an increment: its documents become new, unchanged or modified, and no others change. Each batch
+    writes its own rows only, under its number; one that runs again after a failure writes the same rows. Of a
+    document's rows in one batch the one with the latest `seen_at`, where there is such a column, then with the
+    largest checksum, counts.
     """
+    order = [c for c in ("seen_at", "checksum") if c in files.columns]
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = Window.partitionBy("document_id").orderBy(F.desc("checksum"))
-        batch = batch.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
-        old = read_manifest(spark, manifest_dir, number - 1)
-        merged = merge(old, batch) if old is not None else batch.select("document_id", F.lit("new").alias("status"), "checksum")
-        merged.write.mode("overwrite").parquet(f"{manifest_dir}/version={number}")
+        seen = batch.groupBy("document_id").agg(F.max_by("checksum", F.struct(*order)).alias("checksum"))
+        old = read_manifest(batch.sparkSession, manifest_dir, number - 1).select("document_id", F.col("checksum").alias("old"))
+        status = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("checksum"), "unchanged").otherwise("modified")
+        _write(seen.join(old, "document_id", "left").select("document_id", status.alias("status"), "checksum", F.lit(None).cast("string").alias("error_message")), manifest_dir, number)
 
     return files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_manifest(spark: SparkSession, manifest_dir: str, number: int) -> DataFrame | None:
-    return spark.read.parquet(f"{manifest_dir}/version={number}") if number >= 0 else None
+def _write(rows: DataFrame, manifest_dir: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{manifest_dir}/version={number}")
 
 
-def remember(turns: DataFrame, last: int = 12, idle: str = "1 hour") -> DataFrame:
+def read_manifest(spark: SparkSession, manifest_dir: str, number: int | None = None) -> DataFrame:
+    """(document_id, status, checksum, error_message): each document's last row, up to a version or of all."""
+    try:
+        rows = spark.read.schema(MANIFEST).option("basePath", manifest_dir).parquet(manifest_dir)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], MANIFEST)
+    if number is not None:
+        rows = rows.where(F.col("version") <= number)
+    last = rows.groupBy("document_id").agg(F.max_by(F.struct("status", "checksum", "error_message"), "version").alias("r"))
+    return last.select("document_id", "r.*")
+
+
+def mark_missing(spark: SparkSession, manifest_dir: str, scan: DataFrame, number: int) -> None:
+    """After a full scan (document_id): documents of the manifest that it doesn't have are missing, as version `number`."""
+    gone = read_manifest(spark, manifest_dir, number - 1).join(scan.select("document_id"), "document_id", "left_anti").where("status <> 'missing'")
+    _write(gone.select("document_id", F.lit("missing").alias("status"), "checksum", "error_message"), manifest_dir, number)
+
+
+def mark_failed(spark: SparkSession, manifest_dir: str, failed: DataFrame, number: int) -> None:
+    """failed (document_id, error_message): entries that are there take the message, as version `number`."""
+    known = read_manifest(spark, manifest_dir, number - 1).drop("error_message").join(failed.select("document_id", "error_message"), "document_id")
+    _write(known.select("document_id", F.lit("failed").alias("status"), "checksum", "error_message"), manifest_dir, number)
+
+
+def remember(turns: DataFrame, last: int = 12, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The last messages of each conversation after every batch; a conversation idle for long is forgotten.
 
-    turns has conv_id, turn, role and text. State is bounded by `last` for each conversation.
+    turns has conv_id, turn, role, text and ts. State is bounded by `last` for each conversation, and a conversation
+    ends when the watermark (`late` behind the newest ts) passes its newest message by `idle`.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -46,17 +73,18 @@ def remember(turns: DataFrame, last: int = 12, idle: str = "1 hour") -> DataFram
         if state.hasTimedOut:
             state.remove()
             return
-        held = [tuple(x) for x in zip(*state.get)] if state.exists else []
+        *old, newest = state.get if state.exists else ([], [], [], 0)
+        held = list(zip(*old))
         for pdf in frames:
-            held += list(zip(pdf["turn"], pdf["role"], pdf["text"]))
-            held = sorted(held)[-last:]
-        state.update(tuple(list(x) for x in zip(*held)))
-        state.setTimeoutDuration(idle_ms)
+            held = sorted(held + list(zip(pdf["turn"], pdf["role"], pdf["text"])))[-last:]
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+        state.update((*[list(x) for x in zip(*held)], newest))
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *m) for m in held], columns=["conv_id", "turn", "role", "text"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        update, "conv_id long, turn long, role string, text string", "turns array<long>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    state = "turns array<long>, roles array<string>, texts array<string>, newest long"
+    grouped = turns.withWatermark("ts", late).groupBy("conv_id")
+    return grouped.applyInPandasWithState(update, "conv_id long, turn long, role string, text string", state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_seen(rows: DataFrame, key: str, time_col: str, late: str = "1 hour") -> DataFrame:

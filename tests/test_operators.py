@@ -9,7 +9,6 @@ from lexigrove.functions import citations, dialogue
 from lexigrove.functions import text as X
 from lexigrove.operators import chunking, cleaning, evaluation, manifest, retrieval
 from lexigrove.sources import html, tables
-from lexigrove.streaming import ingest
 
 
 def value(spark, text, fn):
@@ -133,23 +132,3 @@ def test_chunk_lines(spark, tmp_path):
     assert tables.read_chunk_lines(spark, str(tmp_path / "c.jsonl")).count() == 3
     with pytest.raises(ValueError, match="missing columns: z"):
         tables.require_columns(spark.range(1), "id", "z")
-
-
-def test_stream_manifest(spark, tmp_path):
-    schema = "document_id string, checksum string"
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for n, rows in enumerate(([("a", "1"), ("b", "1")], [("b", "2"), ("c", "1")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
-        query = ingest.merge_batches(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck"))
-        query.awaitTermination()
-        got = {r["document_id"]: r["status"] for r in ingest.read_manifest(spark, out, n).collect()}
-    assert got == {"a": "missing", "b": "modified", "c": "new"}
-
-
-def test_stream_memory(spark, tmp_path):
-    schema = "conv_id long, turn long, role string, text string"
-    spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(5)] + [(2, 0, "user", "x")], schema).coalesce(1).write.json(str(tmp_path / "in"))
-    stream = ingest.remember(spark.readStream.schema(schema).json(str(tmp_path / "in")), last=2)
-    query = stream.writeStream.outputMode("update").format("memory").queryName("memory_rows").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted((r["conv_id"], r["turn"]) for r in spark.table("memory_rows").collect()) == [(1, 3), (1, 4), (2, 0)]
