@@ -36,6 +36,27 @@ def latency(records: DataFrame, value: str, *by: str) -> DataFrame:
     )
 
 
+def retrieval_summary(records: DataFrame, *by: str) -> DataFrame:
+    """records(query_id, source_rank, evidence_rank, retrieval_time_ms): recall at 1, 3, 5, 10 and reciprocal rank of
+    source and evidence, and latency, for each method or format."""
+    rates = []
+    for what in ("source", "evidence"):
+        rank = F.col(f"{what}_rank")
+        rates += [F.round(F.coalesce(F.avg(recall_at(rank, k)), F.lit(0.0)), 6).alias(f"{what}_recall_at_{k}") for k in (1, 3, 5, 10)]
+        rates.append(F.round(F.coalesce(F.avg(reciprocal(rank)), F.lit(0.0)), 6).alias(f"{what}_mrr"))
+    v = F.col("retrieval_time_ms")
+    times = {"mean": F.avg(v), "median": F.median(v), "p95": F.percentile(v, 0.95)}
+    ends = {"min": F.min(v), "max": F.max(v)}
+    return records.groupBy(*by).agg(
+        F.count("*").alias("n_questions"), *rates, *[F.round(x, 4).alias(f"{k}_retrieval_time_ms") for k, x in times.items()], *[x.alias(f"{k}_retrieval_time_ms") for k, x in ends.items()]
+    )
+
+
+def compare_methods(summaries: DataFrame) -> DataFrame:
+    """Best method first: by evidence reciprocal rank, then recall at 1 and at 5, then time."""
+    return summaries.orderBy(F.desc("evidence_mrr"), F.desc("evidence_recall_at_1"), F.desc("evidence_recall_at_5"), F.asc("mean_retrieval_time_ms"))
+
+
 def confusion(records: DataFrame, expected: Column, predicted: Column, *by: str) -> DataFrame:
     """The confusion matrix and the ratios over it; a ratio over nothing is 0."""
     e, p = expected, predicted

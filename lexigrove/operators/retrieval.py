@@ -5,12 +5,22 @@ Scores are rounded to six decimals before ranking and every order ends with an i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
-from lexigrove.functions.vectors import cosine
+from lexigrove.sources.shared import shared_dir
 
 K1, B = 1.2, 0.75
 
@@ -37,21 +47,84 @@ def phrases(questions: DataFrame) -> DataFrame:
     return asked.select("query_id", "phrase", F.size("terms").alias("parts"), F.posexplode("terms").alias("idx", "term"))
 
 
-def bm25(corpus: DataFrame, questions: DataFrame, top: int = 10, keep: Column | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, score): lower scores are better. A filter leaves the corpus statistics as they are."""
-    posted = postings(corpus)
-    lengths = doc_stats(posted)
-    whole = corpus.agg(F.count("*").cast("double").alias("n_all")).crossJoin(lengths.agg(F.sum("doc_len").alias("total")))  # one row each
-    whole = whole.select("n_all", (F.col("total") / F.col("n_all")).alias("avgdl"))
+FIELDS = ("content", "chunk_id", "source")
+
+
+class Index:
+    """A lexical index in a folder: postings (term, chunk_id, field, positions, doc_len), sorted by term, and one row
+    without a term for each chunk."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self.rows = spark.read.parquet(path)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.where("term is not null")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.rows.where("term is null").select("chunk_id", "doc_len")
+
+    def counts(self) -> DataFrame:
+        """One row: chunks and their mean length."""
+        return self.lengths.agg(F.count("*").cast("double").alias("n_all"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
+
+
+def build_index(corpus: DataFrame, path: str) -> Index:
+    """corpus(chunk_id, content, source), tokenised once. A chunk's postings are put together where it is read; one
+    shuffle sorts them by term, so that a question's terms are found in few row groups. An index that is there is
+    replaced, and the number of its chunks checked."""
+    spark = corpus.sparkSession
+    kind = corpus.schema["chunk_id"].dataType.simpleString()
+    read = corpus.select(F.col("chunk_id").alias("id"), *[X.index_terms(F.col(c).cast("string")).alias(f"f{i}") for i, c in enumerate(FIELDS)])
+
+    def post(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            ids, *fields = (batch.column(i).to_pylist() for i in range(4))
+            out: list[tuple] = []
+            for chunk, *terms in zip(ids, *fields):
+                length = sum(map(len, terms))
+                out.append((None, chunk, None, None, length))
+                for field, words in enumerate(terms):
+                    held: dict[str, list[int]] = {}
+                    for at, word in enumerate(words):
+                        held.setdefault(word, []).append(at)
+                    out += [(word, chunk, field, at, length) for word, at in held.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+
+    shape = f"term string, chunk_id {kind}, field int, positions array<int>, doc_len long"
+    to = to_arrow_schema(StructType.fromDDL(shape))
+    rows = read.mapInArrow(post, shape)
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", F.when(F.col("term").isNull(), F.xxhash64("chunk_id"))).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    made = Index(spark, path)
+    found, want = made.lengths.count(), corpus.count()
+    if found != want:
+        raise ValueError(f"the index has {found} chunks of {want}")
+    return made
+
+
+def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, score): lower scores are better. corpus is a table or its index.
+
+    keep (chunk_id) leaves only these chunks as results; the statistics remain those of the corpus.
+    """
+    if isinstance(corpus, DataFrame):
+        corpus = build_index(corpus, f"{shared_dir(corpus.sparkSession)}/lexigrove/index-{uuid.uuid4().hex}")
     asked = phrases(questions)
     wanted = asked.select("phrase", "parts", "idx", "term").distinct()
-    found = posted.join(wanted, "term").groupBy("phrase", "parts", "chunk_id", "field", (F.col("pos") - F.col("idx")).alias("at")).agg(F.count_distinct("idx").alias("hit"))
-    freq = found.where("hit = parts").groupBy("phrase", "chunk_id").agg(F.count("*").cast("double").alias("tf"))
+    found = corpus.postings.join(wanted, "term")
+    one = found.where("parts = 1").select("phrase", "chunk_id", "doc_len", F.size("positions").alias("tf"))
+    at = found.where("parts > 1").select("phrase", "parts", "chunk_id", "doc_len", "field", "idx", F.explode("positions").alias("pos"))
+    whole = at.groupBy("phrase", "parts", "chunk_id", "doc_len", "field", (F.col("pos") - F.col("idx")).alias("at")).agg(F.count_distinct("idx").alias("hit"))
+    many = whole.where("hit = parts").groupBy("phrase", "chunk_id", "doc_len").agg(F.count("*").cast("int").alias("tf"))
+    freq = one.unionByName(many).groupBy("phrase", "chunk_id", "doc_len").agg(F.sum("tf").cast("double").alias("tf"))
     spread = freq.groupBy("phrase").agg(F.count("*").cast("double").alias("n"))
     pairs = asked.select("query_id", "phrase").distinct().join(freq, "phrase").join(spread, "phrase")
     if keep is not None:
-        pairs = pairs.join(corpus.where(keep).select("chunk_id"), "chunk_id", "left_semi")
-    pairs = pairs.join(lengths, "chunk_id").crossJoin(F.broadcast(whole))  # one row
+        pairs = pairs.join(keep.select("chunk_id"), "chunk_id", "left_semi")
+    pairs = pairs.crossJoin(F.broadcast(corpus.counts()))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
     scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(-F.sum(part), 6).alias("score"))
@@ -65,14 +138,66 @@ def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     return out.select("query_id", "rank", *[c for c in scored.columns if c != "query_id"])
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """chunks(chunk_id, embedding), queries(query_id, query_vector): exact neighbours by cosine.
+_ASKED_BYTES = 64 << 20  # question vectors that go to every task at once
 
-    The questions are a stated set: they are held against all chunks, without a shuffle of the chunks' vectors.
+
+def nearest(chunks: DataFrame, queries: DataFrame, top: int = 10, keep: Column | None = None, measure: str = "cosine") -> DataFrame:
+    """chunks(chunk_id, embedding), queries(query_id, query_vector): exact neighbours, by "cosine" or by "inner" product
+    of unit vectors, which ranks alike.
+
+    The questions are a stated set. They go to every task in blocks of bounded size, as one matrix; chunks are read
+    once for each block and never shuffled, a batch keeps its best for each question, and only these are ranked.
+    A zero vector, or one with components that are null or no numbers, or of another dimension, is nobody's
+    neighbour. keep is a condition on chunks, for example on their format.
     """
-    scored = chunks.crossJoin(queries).select("query_id", "chunk_id", F.round(cosine("embedding", "query_vector"), 6).alias("cosine_similarity"))
-    scored = scored.where("cosine_similarity is not null").withColumn("cosine_distance", F.round(1 - F.col("cosine_similarity"), 6))
-    return ranked(scored, top, F.col("cosine_similarity").desc(), F.col("chunk_id"))
+    if keep is not None:
+        chunks = chunks.where(keep)
+    queries = queries.where("query_vector is not null")
+    many, width = queries.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    width = width or 1  # without questions nothing is asked
+    blocks = max(1, -(-many * width * 8 // _ASKED_BYTES))
+    name, kind, ask = ("cosine_similarity" if measure == "cosine" else "inner_product"), chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Places of usable vectors, and the vectors at length 1."""
+        good = [i for i, v in enumerate(rows) if v is not None and len(v) == width and None not in v]
+        x = np.array([rows[i] for i in good], np.float64).reshape(-1, width)
+        length = np.sqrt((x * x).sum(1))
+        fine = np.isfinite(length) & (length > 0)
+        return np.array(good, np.int64)[fine], x[fine] / length[fine, None]
+
+    def block(part: list) -> DataFrame:
+        place, matrix = unit([r["query_vector"] for r in part])
+        asks = [part[i]["query_id"] for i in place]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, x = unit(batch.column(1).to_pylist())
+                if not len(at) or not asks:
+                    continue
+                scores = np.round(np.clip(matrix @ x.T, -1, 1), 6)
+                k = min(top, len(at))
+                least = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k]
+                q, c = np.nonzero(scores >= least[:, None])  # ties too: ids decide later
+                yield pa.RecordBatch.from_arrays([pa.array([asks[i] for i in q], to[0].type), batch.column(0).take(pa.array(at[c])), pa.array(scores[q, c])], schema=to)
+
+        return chunks.select("chunk_id", "embedding").mapInArrow(best, shape)
+
+    shape = f"query_id {ask}, chunk_id {kind}, {name} double"
+    to = to_arrow_schema(StructType.fromDDL(shape))
+    dealt = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    parts = [block(dealt.where(F.col("block") == i).collect()) for i in range(blocks)]  # each at most _ASKED_BYTES or so
+    scored = reduce(DataFrame.unionByName, parts)
+    scored = scored.withColumn(f"{measure}_distance" if measure == "cosine" else "distance", F.round(1 - F.col(name), 6))
+    return ranked(scored, top, F.col(name).desc(), F.col("chunk_id"))
+
+
+def hyde_vectors(questions: DataFrame, hypothetical: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+    """questions(query_id, question), hypothetical(query_id, hyde_document): the vector of both texts for each question.
+    A question without a hypothetical document fails."""
+    both = questions.join(hypothetical.select("query_id", "hyde_document"), "query_id", "left")
+    text = F.when(F.col("hyde_document").isNull(), F.raise_error(F.lit("a question has no hypothetical document"))).otherwise(F.concat_ws("\n", "question", "hyde_document"))
+    return both.select("query_id", encode(text).alias("query_vector"))
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, top: int = 10, k: int = 60) -> DataFrame:
@@ -88,15 +213,47 @@ def fuse(vector: DataFrame, lexical: DataFrame, top: int = 10, k: int = 60) -> D
     return ranked(merged, top, F.col("rrf_score").desc(), first, F.col("chunk_id"))
 
 
-def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, top: int = 5) -> DataFrame:
-    """Lexical stand-in for a cross-encoder: the share of the question's terms that the chunk has."""
-    asked = questions.select("query_id", X.query_terms(F.col("question")).alias("ask"))
-    joined = candidates.withColumnRenamed("rank", "hybrid_rank").join(asked, "query_id").join(corpus.select("chunk_id", "content"), "chunk_id", "left")
-    shared = F.size(F.array_intersect("ask", X.index_terms(F.col("content"))))
-    scored = joined.withColumn("reranker_score", F.round(X.divide(shared, F.size("ask")), 6)).drop("ask", "content")
+def lexical_share(question: Column, content: Column) -> Column:
+    """A stand-in for a cross-encoder: the share of the question's terms that the content has."""
+    ask = X.query_terms(question)
+    return X.divide(F.size(F.array_intersect(ask, X.index_terms(content))), F.size(ask))
+
+
+def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, top: int = 5, scorer: Callable[[Column, Column], Column] = lexical_share) -> DataFrame:
+    """Candidates in the order of scorer(question, content), which may be a pandas UDF over a model; a score that is no
+    finite number fails."""
+    joined = candidates.withColumnRenamed("rank", "hybrid_rank").join(questions.select("query_id", "question"), "query_id").join(corpus.select("chunk_id", "content"), "chunk_id", "left")
+    score = F.coalesce(scorer(F.col("question"), F.col("content")).cast("double"), F.lit(0.0))
+    checked = F.when(F.isnan(score) | (F.abs(score) == F.lit(float("inf"))), F.raise_error(F.lit("a reranker's score is not finite"))).otherwise(score)
+    scored = joined.withColumn("reranker_score", F.round(checked, 6)).drop("question", "content")
     return ranked(scored, top, F.col("reranker_score").desc(), F.col("hybrid_rank"), F.col("chunk_id"))
 
 
+def relevance_ranks(results: DataFrame, gold: DataFrame, corpus: DataFrame, least: float = 0.6) -> DataFrame:
+    """gold(query_id, expected_source, evidence): (query_id, source_rank, evidence_rank) of the first results that are
+    relevant, null if none is.
+
+    A result's source is relevant if its file is the expected one; its evidence, if besides its content holds the
+    gold evidence or at least that share of its terms.
+    """
+    held = results.select("query_id", "rank", "chunk_id").join(gold, "query_id").join(corpus.select("chunk_id", "content", "source"), "chunk_id")
+    same = X.canonical_filename("source") == X.canonical_filename("expected_source")
+    terms = F.array_distinct(X.index_terms(F.col("evidence")))
+    share = X.divide(F.size(F.array_intersect(terms, X.index_terms(F.col("content")))), F.size(terms))
+    hit = same & (F.contains(X.evaluation_form(F.col("content")), X.evaluation_form(F.col("evidence"))) | (share >= least))
+    first = lambda when: F.min(F.when(when, F.col("rank")))
+    found = held.groupBy("query_id").agg(first(same).alias("source_rank"), first(hit).alias("evidence_rank"))
+    return gold.select("query_id").join(found, "query_id", "left")
+
+
+def export_candidates(candidates: DataFrame, questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row for each question: its candidates in order with their content, as nested rows ready for JSON lines."""
+    full = candidates.join(corpus.select("chunk_id", "content", "source"), "chunk_id", "left")
+    cols = [c for c in full.columns if c not in ("query_id", "rank")]
+    nested = full.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("candidates"))
+    return questions.join(nested, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.from_json(F.lit("[]"), nested.schema["candidates"].dataType)))
+
+
 def evidence_rank(results: DataFrame, gold: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, rank): the first result whose content holds the gold evidence, null if none does."""
     held = results.select("query_id", "rank", "chunk_id").join(gold, "query_id").join(corpus.select("chunk_id", "content"), "chunk_id")
@@ -105,7 +262,19 @@ def evidence_rank(results: DataFrame, gold: DataFrame, corpus: DataFrame) -> Dat
     return gold.select("query_id").join(found, "query_id", "left").select("query_id", "rank")
 
 
-def hash_embedding(text: Column, width: int = 64) -> Column:
-    """Deterministic stand-in for an encoder: signed counts of hashed terms, normalised."""
-    cells = F.transform(X.index_terms(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(width)).alias("i"), F.when(F.crc32(t.cast("binary")) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(c["i"] == i, c["s"]).otherwise(0.0)))
+_WIDTH = 64
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _signed_counts(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in terms:
+        out = []
+        for words in batch:
+            hashed = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+            out.append(np.bincount(hashed % _WIDTH, np.where(hashed >> 16 & 1, 1.0, -1.0), _WIDTH) if len(hashed) else np.zeros(_WIDTH))
+        yield pd.Series(out)
+
+
+def hash_embedding(text: Column) -> Column:
+    """Deterministic stand-in for an encoder: signed counts of hashed terms. Any function of a column will do in its place."""
+    return _signed_counts(X.index_terms(text))
