@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from lexigrove.functions import text as X
 
@@ -20,14 +22,31 @@ def _starts(length, size: int, overlap: int):
     return F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
 
 
-def fixed_characters(docs: DataFrame, size: int = 1024, overlap: int = 204, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_index, start, chunk_id, content): windows of characters, stripped; blank ones take no index."""
-    text = X.text_of(text_col)
-    cut = docs.select(id_col, text.alias("t"), F.explode(_starts(F.length(text), size, overlap)).alias("start"))
-    cut = cut.select(id_col, "start", X.strip(F.substring("t", F.col("start") + 1, F.lit(size))).alias("content")).where("content <> ''")
-    cut = cut.withColumn("chunk_index", F.row_number().over(Window.partitionBy(id_col).orderBy("start")).cast("long") - 1)
-    name = F.concat(F.lit(f"fixed__{size}__"), F.col(id_col).cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string"))
-    return cut.select(id_col, "chunk_index", F.col("start").cast("long").alias("start"), name.alias("chunk_id"), "content")
+def fixed_characters(docs: DataFrame, size: int = 1024, overlap: int = 204, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, chunk_index, start, chunk_id, content, then the carried columns): windows of characters, stripped; blank ones
+    take no index. A text is cut where it is read, in time in proportion to its length, and nothing is shuffled."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    src = docs.select(F.col(id_col).alias("id"), X.text_of(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    kind = StructType([StructField("id", src.schema["id"].dataType), *StructType.fromDDL("chunk_index long, start long, content string"), *[src.schema[f"c{i}"] for i in range(len(carry))]])
+    to = to_arrow_schema(kind)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                last = max(-(-(len(text) - size) // (size - overlap)), 0)
+                cut = ((at, text[at : at + size].strip()) for at in range(0, (last + 1) * (size - overlap), size - overlap))
+                out += [(key, n, at, content, *rest) for n, (at, content) in enumerate(x for x in cut if x[1])]
+                if len(out) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+
+    cut = src.mapInArrow(windows, kind)
+    name = F.concat(F.lit(f"fixed__{size}__"), F.col("id").cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string"))
+    return cut.select(F.col("id").alias(id_col), "chunk_index", "start", name.alias("chunk_id"), "content", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def fixed_tokens(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as X
+from lexigrove.operators import blocks as B
 from lexigrove.operators import chunking as C
 from lexigrove.operators import cleaning as K
+from lexigrove.operators import sections as N
 from lexigrove.sources import html as H
 from lexigrove.sources import tables as S
 from lexigrove.sources.tables import table
@@ -106,8 +108,7 @@ def chunk_fixed_token(spark, d):
 
 
 def chunk_statistics(spark, d):
-    chunks = C.fixed_characters(docs(spark, d)).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return C.statistics(chunks, "lang")
+    return C.statistics(C.fixed_characters(table(spark, d, "documents"), carry=("lang",)), "lang")
 
 
 def chunk_validation(spark, d):
@@ -146,6 +147,30 @@ def markdown_sections(spark, d):
     return found.select("doc_id", "position", "heading", F.size("paragraphs").alias("paragraphs"), F.md5(H.section_text()).alias("digest"))
 
 
+def _cleaned(spark, d):
+    return N.clean(H.sections(table(spark, d, "pages"), "page_id", "html"), "page_id")
+
+
+def clean_sections(spark, d):
+    """Parsed pages after the default cleaners."""
+    return _cleaned(spark, d).select("page_id", "position", "heading", F.size("paragraphs").alias("paragraphs"), F.size("links").alias("links"), F.md5(H.section_text()).alias("digest"))
+
+
+def section_report(spark, d):
+    parsed = H.sections(table(spark, d, "pages"), "page_id", "html")
+    return N.report(parsed, N.clean(parsed, "page_id"), "page_id")
+
+
+def page_blocks(spark, d):
+    return B.build_blocks(_cleaned(spark, d), "page_id").select("page_id", "block_index", "block_type", "section_id", "block_id")
+
+
+def page_chunks(spark, d):
+    """Token windows over a page's blocks, with the section and the heading path that they share."""
+    made = B.chunk_blocks(B.build_blocks(_cleaned(spark, d), "page_id"), "page_id")
+    return made.select("page_id", "chunk_index", "start", "token_count", F.size("block_ids").alias("blocks"), "section_id", F.array_join("heading_path", " / ").alias("heading_path"), "chunk_id")
+
+
 def vector_checks(spark, d):
     return S.vector_checks(table(spark, d, "embeddings"))
 
@@ -235,5 +260,5 @@ ORACLE = {
     "vector_checks": """SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, max(len(embedding))::BIGINT AS width,
       count(*) FILTER (embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS unusable FROM embeddings""",
 }
-_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "evaluation_forms", "chunk_recursive", "chunk_semantic", "html_sections", "html_tables", "html_links", "markdown_sections")
+_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "evaluation_forms", "chunk_recursive", "chunk_semantic", "html_sections", "html_tables", "html_links", "markdown_sections", "clean_sections", "section_report", "page_blocks", "page_chunks")
 QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in _ROWS_ONLY}
