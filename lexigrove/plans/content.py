@@ -35,8 +35,10 @@ def clean_unicode(spark, d):
 
 
 def boilerplate_lines(spark, d):
-    """Lines that are boilerplate, counted by their compared form."""
-    lines = K.to_lines(docs(spark, d))
+    """Lines that are boilerplate, counted by their compared form: of documents, each with a line of navigation or a year."""
+    known = F.array(*[F.lit(b) for b in X.BOILERPLATE])
+    extra = F.concat(F.lit("\n  "), F.upper(F.element_at(known, (F.col("doc_id") % len(X.BOILERPLATE) + 1).cast("int"))), F.lit(" :\nCopyright 20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit(" all\nprinter"))
+    lines = K.to_lines(docs(spark, d).withColumn("text", F.concat(X.text_of("text"), extra)))
     return lines.where(X.is_boilerplate(F.col("line"))).groupBy(X.boilerplate_form(F.col("line")).alias("form")).agg(F.count("*").alias("lines"))
 
 
@@ -207,6 +209,7 @@ def _form(x: str) -> str:
 _LINES = f"lines AS MATERIALIZED (SELECT doc_id, unnest(string_split({_T}, chr(10))) AS line, generate_subscripts(string_split({_T}, chr(10)), 1) - 1 AS pos FROM documents)"
 
 
+_NAVIGATION = f"(coalesce(text, '') || chr(10) || '  ' || upper([{', '.join(repr(b) for b in X.BOILERPLATE)}][(doc_id % {len(X.BOILERPLATE)} + 1)::INT]) || ' :' || chr(10) || 'Copyright 20' || lpad((doc_id % 30)::VARCHAR, 2, '0') || ' all' || chr(10) || 'printer')"
 _BOILER = "(" + " OR ".join([f"f IN ({', '.join(repr(b) for b in X.BOILERPLATE)})", f"regexp_matches(f, '{X.BOILERPLATE_PATTERN}')"]) + ")"
 _DEDUP = f"lower({_re(_strip('line'), _S + '+', chr(39) + ' ' + chr(39))})"
 _KEPT = "SELECT doc_id, count(*) AS lines, sum(pos)::BIGINT AS places FROM kept GROUP BY doc_id"
@@ -220,7 +223,7 @@ _SENT = _re(_strip(_T), rf"([.!?]){_S}+", r"'\1' || chr(1)")
 ORACLE = {
     "clean_whitespace_inline": f"SELECT doc_id, md5({_inline(_T)}) AS cleaned FROM documents",
     "clean_whitespace_multiline": f"SELECT doc_id, md5({_multi(_T)}) AS cleaned FROM documents",
-    "boilerplate_lines": f"WITH {_LINES}, formed AS (SELECT {_form('line')} AS f FROM lines) SELECT f AS form, count(*) AS lines FROM formed WHERE f <> '' AND {_BOILER} GROUP BY f",
+    "boilerplate_lines": f"WITH {_LINES.replace(_T, _NAVIGATION)}, formed AS (SELECT {_form('line')} AS f FROM lines) SELECT f AS form, count(*) AS lines FROM formed WHERE f <> '' AND {_BOILER} GROUP BY f",
     "boilerplate_links": f"SELECT page_id, regexp_matches(lower({_strip('url')}), '{X.BOILERPLATE_URL}') AS boilerplate FROM pages",
     "dedup_lines_global": f"WITH {_LINES}, kept AS (SELECT doc_id, pos FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, {_DEDUP} ORDER BY pos) = 1 OR {_DEDUP} = '') {_KEPT}",
     "dedup_lines_local": f"WITH {_LINES}, kept AS (SELECT doc_id, pos FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, pos // 8, {_DEDUP} ORDER BY pos) = 1 OR {_DEDUP} = '') {_KEPT}",
@@ -252,7 +255,8 @@ ORACLE = {
         'chunk_' || sha256(concat_ws('|', doc_id::VARCHAR, 'fixed_size', '256', '32', chunk_index::VARCHAR, array_to_string(part, ' '))) AS chunk_id FROM c""",
     "chunk_statistics": f"""{_CHARS}, m AS (SELECT lang, length(content) AS c, len({_TOK.replace(_T, "content")}) AS w FROM chunks JOIN documents USING (doc_id))
       SELECT lang, count(*) AS chunks, {", ".join(f"round(avg({c}), 4) AS mean_{n}, median({c})::DOUBLE AS median_{n}, min({c})::BIGINT AS min_{n}, max({c})::BIGINT AS max_{n}, round(stddev_pop({c}), 4) AS std_{n}" for n, c in (("chars", "c"), ("words", "w")))} FROM m GROUP BY lang""",
-    "chunk_validation": f"""{_CHARS} SELECT count(*) AS chunks, 0::BIGINT AS empty, 0::BIGINT AS repeated_ids, count(*) FILTER (length(content) > 1024) AS oversized, count(*) FILTER (length(content) < 50) AS short FROM chunks""",
+    "chunk_validation": f"""{_CHARS} SELECT count(*) AS chunks, count(*) FILTER ({_strip("content")} = '') AS empty,
+      count(*) - count(DISTINCT 'fixed__1024__' || doc_id || '__chunk_' || chunk_index) AS repeated_ids, count(*) FILTER (length(content) > 1024) AS oversized, count(*) FILTER (length(content) < 50) AS short FROM chunks""",
     "html_metadata": r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1)), '') AS lang,
       nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '') AS title,
       nullif(trim(regexp_extract(html, '(?is)<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)["'']', 1)), '') AS description,

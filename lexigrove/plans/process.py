@@ -194,8 +194,13 @@ _CONV = f"""WITH c AS (SELECT *, {_M} AS m, count(*) OVER (PARTITION BY conv_id
 f AS (SELECT *, has_history AND m <> '' AND (regexp_matches(lower(m), {_q(L.DEPENDENT)}) OR regexp_matches(lower(m), {_q(L.REFERENCE)})
   OR (len(regexp_extract_all(lower(m), '[\\p{{L}}\\p{{N}}_]+')) <= 2 AND m LIKE '%?')) AS follow_up, {_LANG} AS l FROM c)"""
 _CONF = search.CONFUSION
-_ANS = """WITH b AS (SELECT item_id, length(text) AS n, item_id::VARCHAR AS i FROM benchmark),
-a AS (SELECT item_id, n % 5 = 0 AS none, CASE WHEN n % 5 = 0 THEN [] ELSE ['[a:' || i || ']', '[b:d__md__chunk_' || i || ']'] || CASE WHEN n % 3 = 0 THEN ['[c:9]'] ELSE [] END END AS c, i, n FROM b)"""
+_ANS = r"""WITH b AS (SELECT item_id, length(text) AS n, item_id::VARCHAR AS i FROM benchmark),
+given AS (SELECT item_id, CASE WHEN n % 5 = 0 THEN 'no citation' ELSE 'See [source: a:' || i || '] and [b:d__md__chunk_' || i || '] not [this]' || CASE WHEN n % 3 = 0 THEN ' nor [c:9]' ELSE '' END END AS answer,
+  ['[a:' || i || ']', '[b:d.md__chunk_' || i || ']'] AS allowed FROM b),
+raw AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '\[([^\[\]]+)\]', 1), lambda x: trim(regexp_replace(trim(x), '(?i)^(source|citation|reference|ref)\s*:\s*', ''))), lambda x: contains(x, ':')) AS r FROM given),
+a AS (SELECT *, list_transform(list_filter(r, lambda x, k: list_position(r, x) = k), lambda x: '[' || x || ']') AS c FROM raw),
+canon AS (SELECT *, list_transform(c, lambda x: regexp_replace(x, '__(md|pdf|html|htm|txt)__chunk_', '.\1__chunk_', 'g')) AS k FROM a),
+told AS (SELECT item_id, len(k) AS found, array_to_string(list_filter(k, lambda x: list_contains(allowed, x)), '|') AS good, array_to_string(list_filter(k, lambda x: NOT list_contains(allowed, x)), '|') AS wrong FROM canon)"""
 _CTX = """ctx AS MATERIALIZED (SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY rank) AS rank, source, chunk_id, text AS content FROM top5 JOIN documents ON doc_id = chunk_id)"""
 _EXC = _strip("substring(content, 1, 300)") + " || ' [' || source || ':' || chunk_id || ']'"
 _GATE = f"""gate AS (SELECT query_id, len({search._FAILED}) = 0 AS accepted FROM feat,
@@ -223,8 +228,8 @@ ORACLE = {
     "rewrite_fallback": f"""{_CONV}, g AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM f)
       SELECT conv_id, turn, md5(CASE WHEN follow_up AND u IS NOT NULL THEN 'Regarding ''' || u || ''': ' || coalesce(text, '') ELSE coalesce(text, '') END) AS digest FROM g""",
     "citation_extract": f"{_ANS} SELECT item_id, array_to_string(c, '|') AS citations FROM a",
-    "citation_validate": f"""{_ANS} SELECT item_id, NOT none AND n % 3 <> 0 AS valid, CASE WHEN none THEN '' ELSE '[a:' || i || ']|[b:d.md__chunk_' || i || ']' END AS right,
-      CASE WHEN NOT none AND n % 3 = 0 THEN '[c:9]' ELSE '' END AS wrong, CASE WHEN none THEN 'no_citation' WHEN n % 3 = 0 THEN 'unauthorized_citation' ELSE 'valid' END AS outcome FROM a""",
+    "citation_validate": f"""{_ANS} SELECT item_id, found > 0 AND wrong = '' AS valid, good AS right, wrong,
+      CASE WHEN found = 0 THEN 'no_citation' WHEN wrong <> '' THEN 'unauthorized_citation' ELSE 'valid' END AS outcome FROM told""",
     "prompt_context": search._sql("SELECT query_id, md5(string_agg('Source [' || source || ':' || chunk_id || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS digest FROM ctx WHERE rank <= 2 GROUP BY query_id", _CTX),
     "mock_answer": search._sql(f"SELECT query_id, md5({_EXC}) AS digest FROM ctx WHERE rank = 1", _CTX),
     "rag_answer": search._sql(
