@@ -85,11 +85,15 @@ def boilerplate_form(c) -> Column:
     return F.regexp_replace(c, r"^[ \t\r\n:;,.!?–—|\-]+|[ \t\r\n:;,.!?–—|\-]+$", "")
 
 
-def is_boilerplate(c) -> Column:
-    form = boilerplate_form(c)
+def is_boilerplate_form(form: Column) -> Column:
+    """Of a text in its compared form. Where there are many, keep the form in a column: it is used several times here."""
     return (form != "") & (form.isin(*BOILERPLATE) | form.rlike(BOILERPLATE_PATTERN))
 
 
+def is_boilerplate(c) -> Column:
+    return is_boilerplate_form(boilerplate_form(c))
+
+
 def is_boilerplate_url(c) -> Column:
     return F.lower(strip(text_of(c))).rlike(BOILERPLATE_URL)
 
@@ -98,12 +102,15 @@ def dedup_form(c) -> Column:
     return F.lower(F.regexp_replace(strip(text_of(c)), f"{SPACE}+", " "))
 
 
-def fingerprint(c) -> Column:
-    """SHA-256 of the compared form; empty where there is nothing to compare."""
-    form = dedup_form(c)
+def fingerprint_of(form: Column) -> Column:
+    """SHA-256 of a compared form; empty where there is nothing to compare."""
     return F.when(form == "", "").otherwise(F.sha2(form, 256))
 
 
+def fingerprint(c) -> Column:
+    return fingerprint_of(dedup_form(c))
+
+
 def evaluation_form(c) -> Column:
     """Dashes, quotes and spaces unified, lower case, single spaces; without compatibility folding."""
     c = F.translate(text_of(c), "‐‑‒–—−‘’‚“”„   ", "------'''\"\"\"   ")
@@ -159,6 +166,11 @@ def tokens(c) -> Column:
     return F.when(form == "", F.array().cast("array<string>")).otherwise(F.split(form, f"{SPACE}+"))
 
 
+def token_count(c) -> Column:
+    """The number of tokens, without making them."""
+    return F.regexp_count(text_of(c), F.lit(f"[^{SPACE[1:]}+"))
+
+
 def sentences(c) -> Column:
     """Cut after . ! or ? and white space."""
     cut = F.split(F.regexp_replace(strip(text_of(c)), f"([.!?]){SPACE}+", "$1\u0001"), "\u0001")

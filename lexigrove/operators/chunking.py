@@ -62,7 +62,9 @@ def fixed_tokens(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: st
 def statistics(chunks: DataFrame, *by: str) -> DataFrame:
     """Count, mean, median, extremes and population deviation of characters and words."""
     out = [F.count("*").alias("chunks")]
-    for name, v in (("chars", F.length("content")), ("words", F.size(X.tokens(F.col("content"))))):
+    chunks = chunks.select(*by, F.length("content").alias("chars"), X.token_count("content").alias("words"))
+    for name in ("chars", "words"):
+        v = F.col(name)
         out += [F.round(F.avg(v), 4).alias(f"mean_{name}"), F.median(v).alias(f"median_{name}"), F.min(v).cast("long").alias(f"min_{name}"), F.max(v).cast("long").alias(f"max_{name}"), F.round(F.stddev_pop(v), 4).alias(f"std_{name}")]
     return chunks.groupBy(*by).agg(*out)
 

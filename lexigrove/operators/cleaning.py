@@ -20,7 +20,7 @@ def drop_boilerplate(lines: DataFrame) -> DataFrame:
 
 def drop_repeats(lines: DataFrame, id_col: str = "doc_id", within: int | None = None) -> DataFrame:
     """The first of equal lines in a document, or in each run of `within` lines; blank lines all stay."""
-    marked = lines.withColumn("fp", X.fingerprint(F.col("line")))
+    marked = lines.withColumn("form", X.dedup_form(F.col("line"))).withColumn("fp", X.fingerprint_of(F.col("form"))).drop("form")
     scope = [id_col, "fp"] + ([F.floor(F.col("pos") / within)] if within else [])
     nth = F.row_number().over(Window.partitionBy(*scope).orderBy("pos"))
     return marked.withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("fp") == "")).drop("nth", "fp")
@@ -39,21 +39,21 @@ def join_lines(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The smallest id of documents with one fingerprint, and how many there are."""
-    fp = X.fingerprint(F.col("text"))
-    return docs.select(id_col, fp.alias("fp")).groupBy("fp").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
+    formed = docs.select(id_col, X.dedup_form(F.col("text")).alias("form"))
+    return formed.select(id_col, X.fingerprint_of(F.col("form")).alias("fp")).groupBy("fp").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row: documents, lines and characters in and out, lines removed by each step."""
     lines = to_lines(docs, id_col).select(id_col, "pos", X.clean_inline(F.col("line")).alias("line"))
-    marked = lines.withColumn("boiler", X.is_boilerplate(F.col("line")))
-    fp = X.fingerprint(F.col("line"))
-    nth = F.row_number().over(Window.partitionBy(id_col, "boiler", fp).orderBy("pos"))
-    marked = marked.withColumn("repeat", (nth > 1) & (fp != "") & ~F.col("boiler"))
+    formed = lines.select(id_col, "pos", F.length("line").alias("chars"), X.boilerplate_form(F.col("line")).alias("form"), X.dedup_form(F.col("line")).alias("same"))
+    marked = formed.select(id_col, "pos", "chars", X.is_boilerplate_form(F.col("form")).alias("boiler"), X.fingerprint_of(F.col("same")).alias("fp"))
+    nth = F.row_number().over(Window.partitionBy(id_col, "boiler", "fp").orderBy("pos"))
+    marked = marked.withColumn("repeat", (nth > 1) & (F.col("fp") != "") & ~F.col("boiler"))
     out = ~F.col("boiler") & ~F.col("repeat")
     return marked.agg(
         F.count_distinct(id_col).alias("documents"), F.count("*").alias("lines_in"), F.count_if(out).alias("lines_out"), F.count_if("boiler").alias("boilerplate_removed"),
-        F.count_if("repeat").alias("repeats_removed"), F.sum(F.length("line")).alias("characters_in"), F.sum(F.when(out, F.length("line")).otherwise(0)).alias("characters_out"),
+        F.count_if("repeat").alias("repeats_removed"), F.sum("chars").alias("characters_in"), F.sum(F.when(out, F.col("chars")).otherwise(0)).alias("characters_out"),
     )
 
 

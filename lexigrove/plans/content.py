@@ -82,7 +82,7 @@ def paragraph_split(spark, d):
 
 
 def token_count(spark, d):
-    return docs(spark, d).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("tokens"))
+    return docs(spark, d).select("doc_id", X.token_count("text").cast("long").alias("tokens"))
 
 
 def technology_forms(spark, d):
