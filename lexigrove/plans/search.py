@@ -359,5 +359,5 @@ ORACLE = {
     "vector_norms": "SELECT label, count(*) AS vectors, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS mean_norm FROM embeddings GROUP BY label",
     "consecutive_similarity": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)), 6) AS similarity FROM embeddings""",
 }
-_TESTED = ("hyde_topk",)  # held against a plain version in the tests
+_TESTED = ("hyde_topk",)  # SQL has no such encoder
 QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in _TESTED}
