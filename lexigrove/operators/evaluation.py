@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions.text import divide, recall_at, reciprocal
+from lexigrove.functions.text import canonical_filename, divide, evaluation_form, recall_at, reciprocal
 
 #: The grid of gate thresholds; None leaves a rule out.
 TOP1 = (0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -115,3 +117,26 @@ def search_thresholds(features: DataFrame, configurations: DataFrame) -> DataFra
 def best_thresholds(results: DataFrame, top: int = 20) -> DataFrame:
     down = lambda c: F.col(c).desc()
     return results.orderBy("false_acceptance_rate", down("f1_score"), down("accuracy"), "balanced_error_rate", down("recall"), down("coverage"), *[F.col(r).asc_nulls_first() for r in RULES]).limit(top)
+
+
+def compared(summaries: dict[str, DataFrame]) -> DataFrame:
+    """One table of the methods' summaries, the best first: by mrr, then recall at 1 and at 5, then name."""
+    every = reduce(DataFrame.unionByName, [s.withColumn("method", F.lit(name)) for name, s in summaries.items()])
+    return every.orderBy(F.desc("mrr"), F.desc("recall_at_1"), F.desc("recall_at_5"), "method")
+
+
+def evidence_present(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """items(id, source, evidence) with present: whether any page(source, content) of the item's source holds it.
+
+    Both are compared in their evaluation form, sources by their file name. Pages meet the items of their own source
+    only; a blank evidence is nowhere.
+    """
+    asked = items.select("id", canonical_filename("source").alias("file"), evaluation_form("evidence").alias("form"))
+    held = pages.select(canonical_filename("source").alias("file"), evaluation_form("content").alias("page"))
+    found = asked.where("form <> ''").join(held, "file").where(F.col("page").contains(F.col("form"))).select("id").distinct()
+    return items.select("id").join(found.withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("present"))
+
+
+def with_times(statistics: DataFrame, times: DataFrame, *keys: str) -> DataFrame:
+    """Statistics of chunkings with the times they took, null where none was taken; times has one row for each key."""
+    return statistics.join(times, list(keys), "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.plans import content, process, search
+from lexigrove.plans import around, content, process, search
 
-_PLANS = (search, content, process)
+_PLANS = (search, content, process, around)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

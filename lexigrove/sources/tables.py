@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.functions.text import detect_format, strip, text_of
+
 CHUNK_LINES = (
     "page_content string, metadata struct<chunk_id string, source string, format string, page int, chunk_index int, strategy string, configured_chunk_size int,"
     " configured_overlap int, actual_characters int, actual_words int, title string, description string, document_date string, topic string>"
@@ -49,6 +51,35 @@ def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
     return chunks.withColumn("page_content", F.when(F.trim("page_content") != "", F.col("page_content")).otherwise(F.raise_error(F.lit("blank chunk"))))
 
 
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    """chunks(position, page_content, metadata map of strings, and chunk_id and source where metadata has none) to the
+    rows of an index: position, chunk_id, content, source, document_format, page_number, metadata as JSON.
+
+    An id that is nowhere is made from the position, a blank one fails. Paths take slashes, formats lower case, and come
+    from the source's ending where they are not given; a page that is no number is null. See `repeated` for ids.
+    """
+    told = lambda *keys: F.coalesce(*[F.try_element_at("metadata", F.lit(k)) for k in keys])
+    name = strip(F.coalesce(told("chunk_id"), "chunk_id", F.concat(F.lit("chunk_"), F.col("position").cast("string"))))
+    source = F.replace(F.coalesce(told("source"), "source", F.lit("unknown")), F.lit("\\"), F.lit("/"))
+    meta = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: k != "chunk_position"), F.create_map(F.lit("chunk_position"), F.col("position").cast("string")))
+    return chunks.select(
+        "position", F.when(name != "", name).otherwise(F.raise_error(F.lit("a chunk's id is blank"))).alias("chunk_id"), strip(text_of("page_content")).alias("content"), source.alias("source"),
+        F.lower(F.coalesce(told("format", "document_format"), detect_format(source))).alias("document_format"), safe_integer(told("page", "page_number")).alias("page_number"), F.to_json(meta).alias("metadata"),
+    )
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """The keys that more than one row has, and how many have them."""
+    return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def page_sections(docs: DataFrame, id_col: str, pages_col: str = "pages") -> DataFrame:
+    """Pages of text to a section each: heading, section_id, page, text. Empty pages go, the others keep their number."""
+    out = docs.select(id_col, F.posexplode(pages_col).alias("at", "text")).where(strip(text_of("text")) != "")
+    page = (F.col("at") + 1).cast("string")
+    return out.select(id_col, F.concat(F.col(id_col).cast("string"), F.lit(":page-"), page).alias("section_id"), F.concat(F.lit("Page "), page).alias("heading"), (F.col("at") + 1).cast("long").alias("page"), strip(F.col("text")).alias("text"))
+
+
 def read_csv(spark: SparkSession, path: str, *required: str) -> DataFrame:
     df = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
     return require_columns(df, *required).select(*[F.trim(F.col(c)).alias(c) for c in df.columns])
