@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexigrove.functions.text import strip, text_of, tokens
+from lexigrove.functions.text import once, strip, text_of, tokens
 
 
 def expanded(normalised: Column, original: Column) -> Column:
@@ -60,15 +60,13 @@ def first_tokens(c: Column, n: int) -> Column:
 
 
 def last_tokens(c: Column, n: int) -> Column:
-    found = tokens(c)
-    return F.array_join(F.slice(found, F.greatest(F.size(found) - n, F.lit(0)) + 1, F.lit(n)), " ") if n else F.lit("")
+    return once(tokens(c), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - n, F.lit(0)) + 1, F.lit(n)), " ")) if n else F.lit("")
 
 
 def split_by_tokens(c: Column, n: int) -> Column:
     """The text in pieces of n tokens."""
-    found = tokens(c)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / n), F.lit(1)).cast("int") - 1)
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(found, i * n + 1, F.lit(n)), " ")), lambda x: x != "")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / n), F.lit(1)).cast("int") - 1)
+    return once(tokens(c), lambda w: F.filter(F.transform(starts(w), lambda i: F.array_join(F.slice(w, i * n + 1, F.lit(n)), " ")), lambda x: x != ""))
 
 
 def title(*candidates: Column, path: Column) -> Column:

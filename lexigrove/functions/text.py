@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +55,11 @@ def text_of(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of an expression that is evaluated once, however often fn names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 

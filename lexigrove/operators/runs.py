@@ -39,7 +39,7 @@ def states(log: DataFrame) -> DataFrame:
     may follow the one before. A run that has not ended has no duration; a failure's message is its error.
     """
     order = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))
-    all_of = F.array_sort(F.collect_list(F.struct("at", order.alias("order"), "status", "kind", "name", "message"))).alias("steps")
+    all_of = F.array_sort(F.collect_list(F.struct(F.col("at").cast("timestamp").alias("at"), order.alias("order"), "status", "kind", "name", "message"))).alias("steps")
     runs = log.groupBy("run_id").agg(all_of)
     last = F.element_at("steps", -1)
     when = lambda *names: F.try_element_at(F.filter("steps", lambda s: s["status"].isin(*names)), F.lit(1))["at"]
