@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("line_dedup", "toxicity", "substring_dedup", "mixing", "bpe", "top_k", "pii", "near_dedup", "sharding", "embedding_dedup", "hard_negatives", "importance")
+_MODULES = ("line_dedup", "toxicity", "substring_dedup", "mixing", "bpe", "top_k", "pii", "near_dedup", "sharding", "embedding_dedup", "hard_negatives", "importance", "quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
