@@ -26,7 +26,7 @@ from lexigrove.llm.common import documents, map_rows
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -56,7 +56,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     found["email"] = list(base_emails(text))
     for m in _IP.finditer(text):
-        # a run of digits and points may begin inside: the pattern's first number is a whole run of digits
+        # the first number is a whole run of digits: what a run can't begin, no part of it can, and a match ends with a run
         if all(len(p.lstrip("0")) <= 3 and int(p[-20:]) <= 255 for p in m[0].split(".")):
             found["ip"].append(m.span())
     for m in _CARD.finditer(text):
@@ -285,4 +285,6 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in KINDS]
+    added = lambda kind: (F.size(F.filter("spans", lambda s: s["kind"] == kind)) - F.size(F.filter("base", lambda s: s["kind"] == kind))).cast("long").alias(f"n_added_{kind}")
+    counts += [added(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
