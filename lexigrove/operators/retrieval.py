@@ -5,7 +5,6 @@ Scores are rounded to six decimals before ranking and every order ends with an i
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -13,123 +12,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
-from lexigrove.sources.shared import shared_dir
-
-K1, B = 1.2, 0.75
-
-
-def postings(corpus: DataFrame) -> DataFrame:
-    """corpus(chunk_id, content, source) to (chunk_id, field, pos, term): every term of all three indexed fields."""
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("content", "chunk_id", "source"))])
-    split = corpus.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", X.index_terms(F.col("f.value")).alias("terms"))
-    return split.select("chunk_id", "field", F.posexplode("terms").alias("pos", "term"))
-
-
-def doc_stats(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("chunk_id").agg(F.count("*").alias("doc_len"))
-
-
-def term_stats(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_docs"), F.count("*").alias("n_total"))
-
-
-def phrases(questions: DataFrame) -> DataFrame:
-    """questions(query_id, question) to (query_id, phrase, idx, term, parts): a term with - or _ inside is a phrase."""
-    asked = questions.select("query_id", F.explode(X.query_terms(F.col("question"))).alias("phrase"))
-    asked = asked.withColumn("terms", F.regexp_extract_all("phrase", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    return asked.select("query_id", "phrase", F.size("terms").alias("parts"), F.posexplode("terms").alias("idx", "term"))
-
-
-FIELDS = ("content", "chunk_id", "source")
-
-
-class Index:
-    """A lexical index in a folder: postings (term, chunk_id, field, positions, doc_len), sorted by term, and one row
-    without a term for each chunk."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = path
-        self.rows = spark.read.parquet(path)
-
-    @property
-    def postings(self) -> DataFrame:
-        return self.rows.where("term is not null")
-
-    @property
-    def lengths(self) -> DataFrame:
-        return self.rows.where("term is null").select("chunk_id", "doc_len")
-
-    def counts(self) -> DataFrame:
-        """One row: chunks and their mean length."""
-        return self.lengths.agg(F.count("*").cast("double").alias("n_all"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
-
-
-def build_index(corpus: DataFrame, path: str) -> Index:
-    """corpus(chunk_id, content, source), tokenised once. A chunk's postings are put together where it is read; one
-    shuffle sorts them by term, so that a question's terms are found in few row groups. An index that is there is
-    replaced, and the number of its chunks checked."""
-    spark = corpus.sparkSession
-    kind = corpus.schema["chunk_id"].dataType.simpleString()
-    read = corpus.select(F.col("chunk_id").alias("id"), *[X.index_terms(F.col(c).cast("string")).alias(f"f{i}") for i, c in enumerate(FIELDS)])
-
-    def post(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            ids, *fields = (batch.column(i).to_pylist() for i in range(4))
-            out: list[tuple] = []
-            for chunk, *terms in zip(ids, *fields):
-                length = sum(map(len, terms))
-                out.append((None, chunk, None, None, length))
-                for field, words in enumerate(terms):
-                    held: dict[str, list[int]] = {}
-                    for at, word in enumerate(words):
-                        held.setdefault(word, []).append(at)
-                    out += [(word, chunk, field, at, length) for word, at in held.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
-
-    shape = f"term string, chunk_id {kind}, field int, positions array<int>, doc_len long"
-    to = to_arrow_schema(StructType.fromDDL(shape))
-    rows = read.mapInArrow(post, shape)
-    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", F.when(F.col("term").isNull(), F.xxhash64("chunk_id"))).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-    made = Index(spark, path)
-    found, want = made.lengths.count(), corpus.count()
-    if found != want:
-        raise ValueError(f"the index has {found} chunks of {want}")
-    return made
-
-
-def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, score): lower scores are better. corpus is a table or its index.
-
-    keep (chunk_id) leaves only these chunks as results; the statistics remain those of the corpus.
-    """
-    if isinstance(corpus, DataFrame):
-        corpus = build_index(corpus, f"{shared_dir(corpus.sparkSession)}/lexigrove/index-{uuid.uuid4().hex}")
-    asked = phrases(questions)
-    wanted = asked.select("phrase", "parts", "idx", "term").distinct()
-    found = corpus.postings.join(wanted, "term")
-    one = found.where("parts = 1").select("phrase", "chunk_id", "doc_len", F.size("positions").alias("tf"))
-    at = found.where("parts > 1").select("phrase", "parts", "chunk_id", "doc_len", "field", "idx", F.explode("positions").alias("pos"))
-    whole = at.groupBy("phrase", "parts", "chunk_id", "doc_len", "field", (F.col("pos") - F.col("idx")).alias("at")).agg(F.count_distinct("idx").alias("hit"))
-    many = whole.where("hit = parts").groupBy("phrase", "chunk_id", "doc_len").agg(F.count("*").cast("int").alias("tf"))
-    freq = one.unionByName(many).groupBy("phrase", "chunk_id", "doc_len").agg(F.sum("tf").cast("double").alias("tf"))
-    spread = freq.groupBy("phrase").agg(F.count("*").cast("double").alias("n"))
-    pairs = asked.select("query_id", "phrase").distinct().join(freq, "phrase").join(spread, "phrase")
-    if keep is not None:
-        pairs = pairs.join(keep.select("chunk_id"), "chunk_id", "left_semi")
-    pairs = pairs.crossJoin(F.broadcast(corpus.counts()))  # one row
-    idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(-F.sum(part), 6).alias("score"))
-    return ranked(scored, top, F.col("score"), F.col("chunk_id"))
-
+from lexigrove.operators.lexical import Index, bm25, build_index  # noqa: F401 - both engines are to be had here
 
 def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     """The best `top` of each query, numbered from 1."""

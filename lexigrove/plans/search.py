@@ -53,9 +53,8 @@ def chunks(spark, d: str) -> DataFrame:
 
 def index(spark, d: str) -> R.Index:
     """The folder's lexical index: built where there is none of the same files, and read ever after."""
-    docs = corpus(spark, d)
-    path = f"{shared_dir(spark)}/lexigrove/index-{fingerprint(docs)}"
-    return R.Index(spark, path) if exists(spark, f"{path}/_SUCCESS") else R.build_index(docs, path)
+    path = f"{shared_dir(spark)}/lexigrove/index-{fingerprint(spark, f'{d}/documents.parquet')}"
+    return R.Index(spark, path) if exists(spark, f"{path}/_SUCCESS") else R.build_index(corpus(spark, d), path)
 
 
 def bm25_topk(spark, d):
@@ -67,7 +66,7 @@ def bm25_topk_filtered(spark, d):
 
 
 def term_stats(spark, d):
-    return index(spark, d).postings.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_docs"), F.sum(F.size("positions")).alias("n_total"))
+    return index(spark, d).terms()
 
 
 def doc_stats(spark, d):

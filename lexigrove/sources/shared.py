@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,17 +21,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def fingerprint(df: DataFrame) -> str:
-    """A digest of the names, sizes and times of the files that df reads."""
-    context = df.sparkSession.sparkContext
-    told = hashlib.sha256()
-    for name in sorted(df.inputFiles()):
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
-        told.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
-    return told.hexdigest()
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files under path: one listing, whose rows are added up by Spark.
 
+    A file that is replaced by one of the same size within the same millisecond goes unseen.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)  # contents are not read
+    told = files.select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    n, mixed, added = told.agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return f"{n:x}-{(mixed or 0) & (1 << 64) - 1:016x}-{int(added or 0) & (1 << 64) - 1:016x}"
 
-def exists(spark: SparkSession, name: str) -> bool:
+
+def _path(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _path(spark, name)
+    return fs.exists(path)
+
+
+def publish(spark: SparkSession, name: str, write: Callable[[str], None]) -> None:
+    """write(folder) fills a folder beside `name`, which takes that name once it is whole; if the name is taken by then,
+    what is there stays."""
+    made = f"{name}.{uuid.uuid4().hex}"
+    write(made)
+    fs, source = _path(spark, made)
+    target = _path(spark, name)[1]
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster runs tasks at once: a table of a few files is dealt out."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
