@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,56 +28,99 @@ def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     return out.select("query_id", "rank", *[c for c in scored.columns if c != "query_id"])
 
 
-_ASKED_BYTES = 64 << 20  # question vectors that go to every task at once
+_ASKED_BYTES = 64 << 20  # question vectors that one task holds
+
+
+def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of usable vectors of an Arrow column, and the vectors at length 1."""
+    good = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    flat = (column if len(good) == len(column) else column.take(pa.array(good))).flatten().cast(pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, width)  # a null component is not a number
+    length = np.sqrt((x * x).sum(1))
+    fine = np.isfinite(length) & (length > 0)
+    return good[fine], x[fine] / length[fine, None]
+
+
+def _best(asks: pa.Array, matrix: np.ndarray, ids: pa.Array, vectors: pa.Array, top: int, to: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """For each question, its best of a batch of chunks, ties too: ids decide later."""
+    at, x = _unit(vectors, matrix.shape[1])
+    if len(at) and len(asks):
+        scores = np.round(np.clip(matrix @ x.T, -1, 1), 6)
+        k = min(top, len(at))
+        q, c = np.nonzero(scores >= np.partition(scores, len(at) - k, axis=1)[:, len(at) - k][:, None])
+        yield pa.RecordBatch.from_arrays([asks.take(pa.array(q)), ids.take(pa.array(at[c])), pa.array(scores[q, c])], schema=to)
+
+
+def check_questions(queries: DataFrame) -> tuple[int, int]:
+    """How many questions there are, and their dimension. Questions without a vector, with components that are null or no
+    finite numbers, with a zero vector or of unlike dimensions fail."""
+    v = F.col("query_vector")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    many, low, high, wrong, nil = queries.agg(
+        F.count("*"), F.min(F.size(v)), F.max(F.size(v)), F.count_if(v.isNull() | (F.size(v) == 0) | F.coalesce(bad, F.lit(True))), F.count_if(~F.exists(v, lambda x: x != 0))
+    ).first()
+    if wrong:
+        raise ValueError(f"{wrong} of {many} questions have no vector of finite numbers")
+    if nil:
+        raise ValueError(f"{nil} of {many} questions have a zero vector")
+    if many and low != high:
+        raise ValueError(f"questions have vectors of {low} to {high} components")
+    return many, high or 1
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, top: int = 10, keep: Column | None = None, measure: str = "cosine") -> DataFrame:
     """chunks(chunk_id, embedding), queries(query_id, query_vector): exact neighbours, by "cosine" or by "inner" product
     of unit vectors, which ranks alike.
 
-    The questions are a stated set. They go to every task in blocks of bounded size, as one matrix; chunks are read
-    once for each block and never shuffled, a batch keeps its best for each question, and only these are ranked.
-    A zero vector, or one with components that are null or no numbers, or of another dimension, is nobody's
-    neighbour. keep is a condition on chunks, for example on their format.
+    The questions are a stated set, checked by `check_questions`. If their vectors fit in `_ASKED_BYTES`, every task has
+    them and chunks are read where they are. Otherwise questions are dealt into blocks of that size and chunks into
+    slices; a task holds a block and has a slice's chunks streamed past, and nothing of either is on the driver.
+    A batch keeps its best for each question, and only these are ranked. A chunk whose vector is null, zero, of another
+    dimension or has components that are null or no finite numbers is nobody's neighbour. keep is a condition on
+    chunks, for example on their format.
     """
     if keep is not None:
         chunks = chunks.where(keep)
-    queries = queries.where("query_vector is not null")
-    many, width = queries.agg(F.count("*"), F.max(F.size("query_vector"))).first()
-    width = width or 1  # without questions nothing is asked
+    chunks, queries = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")), queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    many, width = check_questions(queries)
+    name = "cosine_similarity" if measure == "cosine" else "inner_product"
+    shape = StructType([queries.schema["query_id"], chunks.schema["chunk_id"], *StructType.fromDDL(f"{name} double")])
+    to = to_arrow_schema(shape)
     blocks = max(1, -(-many * width * 8 // _ASKED_BYTES))
-    name, kind, ask = ("cosine_similarity" if measure == "cosine" else "inner_product"), chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        """Places of usable vectors, and the vectors at length 1."""
-        good = [i for i, v in enumerate(rows) if v is not None and len(v) == width and None not in v]
-        x = np.array([rows[i] for i in good], np.float64).reshape(-1, width)
-        length = np.sqrt((x * x).sum(1))
-        fine = np.isfinite(length) & (length > 0)
-        return np.array(good, np.int64)[fine], x[fine] / length[fine, None]
+    if blocks == 1:
+        asked = queries.toArrow().combine_chunks()
+        held = queries.sparkSession.sparkContext.broadcast((asked.column(0).combine_chunks() if many else pa.nulls(0), _unit(asked.column(1).combine_chunks(), width)[1] if many else np.zeros((0, width))))
 
-    def block(part: list) -> DataFrame:
-        place, matrix = unit([r["query_vector"] for r in part])
-        asks = [part[i]["query_id"] for i in place]
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(*held.value, batch.column(0), batch.column(1), top, to)
+
+        scored = chunks.mapInArrow(past, shape)
+    else:
+        slices = chunks.sparkSession.sparkContext.defaultParallelism
+        place = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asks = queries.select(place(blocks, "query_id").alias("block"), every(slices).alias("slice"), F.lit(0).alias("role"), "query_id", F.col("query_vector").alias("v"))
+        rows = chunks.select(every(blocks).alias("block"), place(slices, "chunk_id").alias("slice"), F.lit(1).alias("role"), "chunk_id", "v")
+
+        def held_past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slot, ids, vectors, block = None, [], [], None
             for batch in batches:
-                at, x = unit(batch.column(1).to_pylist())
-                if not len(at) or not asks:
-                    continue
-                scores = np.round(np.clip(matrix @ x.T, -1, 1), 6)
-                k = min(top, len(at))
-                least = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k]
-                q, c = np.nonzero(scores >= least[:, None])  # ties too: ids decide later
-                yield pa.RecordBatch.from_arrays([pa.array([asks[i] for i in q], to[0].type), batch.column(0).take(pa.array(at[c])), pa.array(scores[q, c])], schema=to)
-
-        return chunks.select("chunk_id", "embedding").mapInArrow(best, shape)
-
-    shape = f"query_id {ask}, chunk_id {kind}, {name} double"
-    to = to_arrow_schema(StructType.fromDDL(shape))
-    dealt = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    parts = [block(dealt.where(F.col("block") == i).collect()) for i in range(blocks)]  # each at most _ASKED_BYTES or so
-    scored = reduce(DataFrame.unionByName, parts)
+                keys = np.stack([batch.column(c).to_numpy() for c in ("block", "slice", "role")], 1)
+                edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
+                for low, high in zip(edges, [*edges[1:], len(keys)]):
+                    part = batch.slice(low, high - low)
+                    if tuple(keys[low, :2]) != slot:
+                        slot, ids, vectors, block = tuple(keys[low, :2]), [], [], None
+                    if keys[low, 2] == 0:
+                        ids.append(part.column("query_id"))
+                        vectors.append(_unit(part.column("v"), width)[1])
+                    elif ids:
+                        block = block or (pa.concat_arrays(ids), np.concatenate(vectors))
+                        yield from _best(*block, part.column("chunk_id"), part.column("v"), top, to)
+
+        dealt = asks.unionByName(rows, allowMissingColumns=True).repartition("block", "slice").sortWithinPartitions("block", "slice", "role")
+        scored = dealt.mapInArrow(held_past, shape)
     scored = scored.withColumn(f"{measure}_distance" if measure == "cosine" else "distance", F.round(1 - F.col(name), 6))
     return ranked(scored, top, F.col(name).desc(), F.col("chunk_id"))
 
