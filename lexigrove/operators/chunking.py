@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from lexigrove.functions import text as X
+from lexigrove.operators.percentiles import percentiles, with_percentiles
+from lexigrove.sources.shared import kept
 
 
 def _starts(length, size: int, overlap: int):
@@ -61,12 +63,12 @@ def fixed_tokens(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: st
 
 def statistics(chunks: DataFrame, *by: str) -> DataFrame:
     """Count, mean, median, extremes and population deviation of characters and words."""
-    out = [F.count("*").alias("chunks")]
-    chunks = chunks.select(*by, F.length("content").alias("chars"), X.token_count("content").alias("words"))
-    for name in ("chars", "words"):
-        v = F.col(name)
-        out += [F.round(F.avg(v), 4).alias(f"mean_{name}"), F.median(v).alias(f"median_{name}"), F.min(v).cast("long").alias(f"min_{name}"), F.max(v).cast("long").alias(f"max_{name}"), F.round(F.stddev_pop(v), 4).alias(f"std_{name}")]
-    return chunks.groupBy(*by).agg(*out)
+    measured = kept(chunks.select(*by, F.length("content").alias("chars"), X.token_count("content").alias("words")), "chunk-sizes")
+    each = lambda c: [F.round(F.avg(c), 4).alias(f"mean_{c}"), F.min(c).cast("long").alias(f"min_{c}"), F.max(c).cast("long").alias(f"max_{c}"), F.round(F.stddev_pop(c), 4).alias(f"std_{c}")]
+    names = ("chars", "words")
+    plain = measured.groupBy(*by).agg(F.count("*").alias("chunks"), *[x for c in names for x in each(c)])
+    both = with_percentiles(plain, percentiles(measured, names, {"median": 0.5}, by), by)
+    return both.select(*by, "chunks", *[f"{k}_{c}" for c in names for k in ("mean", "median", "min", "max", "std")])
 
 
 def validation(chunks: DataFrame, size: int) -> DataFrame:

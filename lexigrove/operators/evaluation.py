@@ -6,8 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigrove.functions.text import canonical_filename, divide, evaluation_form, recall_at, reciprocal
+from lexigrove.operators.percentiles import percentiles, with_percentiles
+from lexigrove.sources.shared import kept
 
 #: The grid of gate thresholds; None leaves a rule out.
 TOP1 = (0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -31,11 +34,15 @@ def means(records: DataFrame, *by: str) -> DataFrame:
 
 def latency(records: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, median, interpolated 95th percentile, extremes and total."""
-    v = F.col(value)
-    return records.groupBy(*by).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.percentile(v, 0.95), 4).alias("p95"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.sum(v), 2).alias("total"),
-    )
+    return latencies(records, (value,), *by).toDF(*by, "n", "mean", "median", "p95", "min", "max", "total")
+
+
+def latencies(records: DataFrame, values: tuple[str, ...], *by: str) -> DataFrame:
+    """(by, then n, mean, median, p95, min, max and total of each value, for example of each step of an answer)."""
+    plain = [f for c in values for f in (F.count(c).alias(f"n_{c}"), F.round(F.avg(c), 4).alias(f"mean_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.sum(c), 2).alias(f"total_{c}"))]
+    both = with_percentiles(records.groupBy(*by).agg(*plain), percentiles(records, values, {"median": 0.5, "p95": 0.95}, by), by)
+    rounded = lambda k, c: F.round(f"{k}_{c}", 4).alias(f"{k}_{c}") if k in ("median", "p95") else F.col(f"{k}_{c}")
+    return both.select(*by, *[rounded(k, c) for c in values for k in ("n", "mean", "median", "p95", "min", "max", "total")])
 
 
 def retrieval_summary(records: DataFrame, *by: str) -> DataFrame:
@@ -46,12 +53,11 @@ def retrieval_summary(records: DataFrame, *by: str) -> DataFrame:
         rank = F.col(f"{what}_rank")
         rates += [F.round(F.coalesce(F.avg(recall_at(rank, k)), F.lit(0.0)), 6).alias(f"{what}_recall_at_{k}") for k in (1, 3, 5, 10)]
         rates.append(F.round(F.coalesce(F.avg(reciprocal(rank)), F.lit(0.0)), 6).alias(f"{what}_mrr"))
-    v = F.col("retrieval_time_ms")
-    times = {"mean": F.avg(v), "median": F.median(v), "p95": F.percentile(v, 0.95)}
-    ends = {"min": F.min(v), "max": F.max(v)}
-    return records.groupBy(*by).agg(
-        F.count("*").alias("n_questions"), *rates, *[F.round(x, 4).alias(f"{k}_retrieval_time_ms") for k, x in times.items()], *[x.alias(f"{k}_retrieval_time_ms") for k, x in ends.items()]
-    )
+    v = "retrieval_time_ms"
+    rated = records.groupBy(*by).agg(F.count("*").alias("n_questions"), *rates, F.round(F.avg(v), 4).alias(f"mean_{v}"), F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"))
+    both = with_percentiles(rated, percentiles(records, (v,), {"median": 0.5, "p95": 0.95}, by), by)
+    times = [F.col(f"mean_{v}"), *[F.round(f"{k}_{v}", 4).alias(f"{k}_{v}") for k in ("median", "p95")], F.col(f"min_{v}"), F.col(f"max_{v}")]
+    return both.select(*rated.columns[: len(by) + 1 + len(rates)], *times)
 
 
 def compare_methods(summaries: DataFrame) -> DataFrame:
@@ -63,14 +69,19 @@ def confusion(records: DataFrame, expected: Column, predicted: Column, *by: str)
     """The confusion matrix and the ratios over it; a ratio over nothing is 0."""
     e, p = expected, predicted
     counted = records.groupBy(*by).agg(F.count_if(e & p).alias("true_positive"), F.count_if(~e & ~p).alias("true_negative"), F.count_if(~e & p).alias("false_positive"), F.count_if(e & ~p).alias("false_negative"))
+    return ratios(counted)
+
+
+def ratios(counted: DataFrame) -> DataFrame:
+    """The ratios over rows of the four counts."""
     tp, tn, fp, fn = (F.col(c) for c in ("true_positive", "true_negative", "false_positive", "false_negative"))
     total = tp + tn + fp + fn
-    ratios = {
+    rates = {
         "accuracy": divide(tp + tn, total), "precision": divide(tp, tp + fp), "recall": divide(tp, tp + fn), "specificity": divide(tn, tn + fp),
         "f1_score": divide(2 * tp, 2 * tp + fp + fn), "false_acceptance_rate": divide(fp, fp + tn), "false_rejection_rate": divide(fn, fn + tp),
         "coverage": divide(tp + fp, total), "rejection_rate": divide(tn + fn, total),
     }
-    out = counted.select("*", *[F.round(v, 6).alias(k) for k, v in ratios.items()], total.alias("total"), (tp + fp).alias("accepted"), (tn + fn).alias("rejected"))
+    out = counted.select("*", *[F.round(v, 6).alias(k) for k, v in rates.items()], total.alias("total"), (tp + fp).alias("accepted"), (tn + fn).alias("rejected"))
     return out.withColumn("balanced_error_rate", F.round((F.col("false_acceptance_rate") + F.col("false_rejection_rate")) / 2, 6))
 
 
@@ -99,19 +110,48 @@ def gate(features: DataFrame, top1: float = 0.3, margin: float = 0.0, cosine: fl
     return features.select("query_id", failed_rules(limits).alias("failed")).select("query_id", (F.size("failed") == 0).alias("accepted"), F.array_join("failed", ",").alias("failed_rules"))
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """All combinations of thresholds: exploded arrays of fixed size."""
+GRID = dict(zip(RULES, (TOP1, MARGIN, COSINE, RRF, SUPPORTING)))
+
+
+def grid(spark: SparkSession, values: dict[str, tuple] = GRID) -> DataFrame:
+    """All combinations of thresholds, with each one's place among its rule's: exploded arrays of fixed size."""
     out = spark.range(1)
-    for rule, values in zip(RULES, (TOP1, MARGIN, COSINE, RRF, SUPPORTING)):
-        out = out.withColumn(rule, F.explode(F.array(*[F.lit(v).cast("double") for v in values])))
+    for i, rule in enumerate(RULES):
+        out = out.select("*", F.posexplode(F.array(*[F.lit(v).cast("double") for v in _rising(values[rule])])).alias(f"i{i}", rule))
     return out.drop("id")
 
 
-def search_thresholds(features: DataFrame, configurations: DataFrame) -> DataFrame:
-    """features also has `expected`. One row of metrics for each configuration, which is a table of fixed size."""
-    held = features.crossJoin(F.broadcast(configurations))
+def _rising(values: tuple) -> list:
+    """A rule's thresholds from the one that lets most pass: None lets all."""
+    return sorted(values, key=lambda v: (v is not None, v))
+
+
+def search_thresholds(features: DataFrame, values: dict[str, tuple] = GRID) -> DataFrame:
+    """features also has `expected`. One row of metrics for each combination of thresholds.
+
+    A row of features falls into a cell: for each rule, how many of its thresholds it passes. A combination accepts
+    the cells that pass its threshold of every rule, so their counts, summed from above along one rule after the
+    other, are what it accepts. There are at most as many cells as combinations, and rows are only counted into them.
+    """
+    told = {RULES[0]: F.col("top1_score"), RULES[1]: F.col("margin"), RULES[2]: F.coalesce("top1_cosine", F.lit(0.0)), RULES[3]: F.coalesce("top1_rrf", F.lit(0.0)), RULES[4]: F.col("supporting").cast("double")}
+    passed = lambda rule: F.size(F.filter(F.array(*[F.lit(v).cast("double") for v in _rising(values[rule])]), lambda t: F.coalesce(told[rule] >= t, F.lit(True))))
+    cells = features.groupBy(*[(passed(rule) - 1).alias(f"i{i}") for i, rule in enumerate(RULES)]).agg(F.count_if("expected").alias("e"), F.count_if(~F.col("expected")).alias("o"))
+    cells = kept(cells, "cells")
+    places = [f"i{i}" for i in range(len(RULES))]
+    all_ = cells.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("all_e"), F.coalesce(F.sum("o"), F.lit(0)).alias("all_o"))
+    summed = grid(features.sparkSession, values).join(cells, places, "left").fillna(0, ["e", "o"])
+    for place in places:
+        above = Window.partitionBy(*[p for p in places if p != place]).orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
+        summed = summed.withColumns({"e": F.sum("e").over(above), "o": F.sum("o").over(above)})
+    counts = summed.join(F.broadcast(all_)).select(*RULES, F.col("e").alias("true_positive"), (F.col("all_o") - F.col("o")).alias("true_negative"), F.col("o").alias("false_positive"), (F.col("all_e") - F.col("e")).alias("false_negative"))  # all_: one row
+    return ratios(counts)
+
+
+def judge_thresholds(best: DataFrame, features: DataFrame) -> DataFrame:
+    """The metrics of the first combination of best on features of another set of questions."""
+    first = F.broadcast(best.select(*RULES).limit(1))
     accepted = F.size(failed_rules({r: F.col(r) for r in RULES})) == 0
-    return confusion(held.withColumn("accepted_", accepted), F.col("expected"), F.col("accepted_"), *RULES)
+    return confusion(features.join(first).withColumn("accepted_", accepted), F.col("expected"), F.col("accepted_"), *RULES)
 
 
 def best_thresholds(results: DataFrame, top: int = 20) -> DataFrame:

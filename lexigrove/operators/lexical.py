@@ -31,6 +31,7 @@ K1, B = 1.2, 0.75
 FIELDS = ("content", "chunk_id", "source")
 _SEGMENT, _SEGMENT_TERMS = 2048, 2_000_000  # a segment's chunks and terms, at most, but for one chunk
 _FIRST = 3  # segments that are scored to learn what a good score is
+_FEW = 12  # segments up to which all are scored at once
 _NAMED = 2_000  # terms of a question set that are named to the scan
 _FIELD = 1 << 40  # a place is field * _FIELD + position
 
@@ -61,9 +62,9 @@ class Index:
         return self.blocks.groupBy("term").agg(F.sum("n").alias("n_docs"), F.sum("total").alias("n_total"))
 
     def counts(self) -> DataFrame:
-        """One row: chunks and their mean length."""
+        """One row: chunks, their mean length, and segments."""
         each = self.headers.select(F.size("ids").cast("long").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("length"))
-        return each.agg(F.sum("n").cast("double").alias("n_all"), F.try_divide(F.sum("length"), F.sum("n")).alias("avgdl"))
+        return each.agg(F.sum("n").cast("double").alias("n_all"), F.try_divide(F.sum("length"), F.sum("n")).alias("avgdl"), F.count("*").alias("segments"))
 
 
 class _Segment:
@@ -169,13 +170,13 @@ def phrases(questions: DataFrame) -> DataFrame:
 def _wanted(index: Index, asked: DataFrame) -> DataFrame:
     """(phrase, segment, n, tops, at, tf): the blocks of the asked phrases; those of several terms are made from places."""
     spark = asked.sparkSession
-    named = asked.select(F.explode("parts").alias("term")).distinct().limit(_NAMED + 1).collect()  # a bounded list, else the join alone finds the blocks
-    blocks = index.blocks if len(named) > _NAMED else index.blocks.where(F.col("term").isin([r["term"] for r in named]))
+    named = asked.select(F.explode("parts").alias("term"), (F.size("parts") > 1).alias("several")).distinct().limit(_NAMED + 1).collect()  # a bounded list, else the join alone finds the blocks
+    blocks = index.blocks if len(named) > _NAMED else index.blocks.where(F.col("term").isin(sorted({r["term"] for r in named})))
     single = asked.where(F.size("parts") == 1).select("phrase", F.col("parts")[0].alias("term")).distinct()
     columns = ["phrase", "segment", "n", "tops", "at", "tf"]
     one = blocks.join(single, "term").select(*columns)
     several = asked.where(F.size("parts") > 1).select("phrase", F.size("parts").alias("many"), F.posexplode("parts").alias("idx", "term")).distinct()
-    if several.isEmpty():
+    if len(named) <= _NAMED and not any(r["several"] for r in named):
         return one
     # a place of the idx-th term, less idx, is where the phrase would start: it does where all terms agree
     spots = blocks.join(several, "term").select("phrase", "many", "idx", "segment", F.explode(F.arrays_zip("at", "tf", F.aggregate("tf", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))).alias("from"))).alias("p"), "places")
@@ -232,7 +233,7 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
     asked = phrases(questions)
     _wanted(corpus, asked).write.parquet(f"{work}/blocks")
     blocks = spark.read.parquet(f"{work}/blocks")
-    n_all, avgdl = corpus.counts().first()
+    n_all, avgdl, segments = corpus.counts().first()
     n_all, avgdl = n_all or 0.0, avgdl or 0.0
 
     spreads = blocks.groupBy("phrase").agg(F.sum("n").cast("double").alias("n_docs"))
@@ -242,8 +243,6 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
     bounds = blocks.select("phrase", "segment", F.array_max(F.transform("tops", share)).alias("most"))
     asked = asked.select("query_id", "phrase").join(spreads, "phrase")
     reach = asked.join(bounds, "phrase").groupBy("query_id", "segment").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-    reach.write.parquet(f"{work}/bounds")
-    reach = spark.read.parquet(f"{work}/bounds")
     lists = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("phrase", "idf"))).alias("phrases"))  # a question's own terms
 
     headers = corpus.headers
@@ -289,13 +288,17 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
         met = held.join(visits.select("segment").distinct(), "segment", "left_semi").unionByName(going, allowMissingColumns=True)
         return met.repartition("segment").sortWithinPartitions("segment", "role").mapInArrow(score, shape)
 
+    good = Window.partitionBy("query_id").orderBy("score", "chunk_id")
+    numbered = lambda df: df.withColumn("rank", F.row_number().over(good).cast("long")).where(F.col("rank") <= top).select("query_id", "rank", "chunk_id", "score")
+    if segments <= _FEW:  # as many would be scored first
+        return numbered(visit(reach.select("query_id", "segment", F.lit(None).cast("double").alias("least"))))
+    reach.write.parquet(f"{work}/bounds")
+    reach = spark.read.parquet(f"{work}/bounds")
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment")
     first = reach.withColumn("n", F.row_number().over(best)).where(F.col("n") <= _FIRST)
     visit(first.select("query_id", "segment", F.lit(None).cast("double").alias("least"))).write.parquet(f"{work}/first")
     found = spark.read.schema(shape).parquet(f"{work}/first")
-    good = Window.partitionBy("query_id").orderBy("score", "chunk_id")
     least = found.withColumn("n", F.row_number().over(good)).where(F.col("n") == top).select("query_id", (-F.col("score")).alias("least"))
     rest = reach.join(first.select("query_id", "segment"), ["query_id", "segment"], "left_anti").join(least, "query_id", "left").where("least is null or bound + 0.00001 >= least")
     found = found.unionByName(visit(rest.select("query_id", "segment", "least")))
-    ranked = found.withColumn("rank", F.row_number().over(good).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "chunk_id", "score")
+    return numbered(found)

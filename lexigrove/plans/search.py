@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lexigrove.functions import text as X
 from lexigrove.functions.vectors import cosine, norm
 from lexigrove.operators import evaluation as E
+from lexigrove.operators import percentiles as P
 from lexigrove.operators import retrieval as R
 from lexigrove.sources.shared import exists, fingerprint, shared_dir
 from lexigrove.sources.tables import table
@@ -174,17 +175,24 @@ def _labelled(spark, d):
 
 
 def threshold_grid(spark, d):
-    return E.search_thresholds(_labelled(spark, d), E.grid(spark))
+    return E.search_thresholds(_labelled(spark, d))
 
 
 def threshold_grid_top20(spark, d):
     return E.best_thresholds(threshold_grid(spark, d))
 
 
+def threshold_generalisation(spark, d):
+    """The thresholds that are best on questions of even id, judged on those of odd id."""
+    labelled = _labelled(spark, d)
+    return E.judge_thresholds(E.best_thresholds(E.search_thresholds(labelled.where("query_id % 2 = 0")), 1), labelled.where("query_id % 2 = 1"))
+
+
 def feature_label_summary(spark, d):
     """Mean and median features of answerable and other questions."""
-    agg = [f(c).alias(f"{n}_{c}") for c in ("top1_score", "margin", "mean_score") for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("median", F.median))]
-    return _labelled(spark, d).groupBy("expected").agg(F.count("*").alias("questions"), *agg)
+    labelled, names = _labelled(spark, d), ("top1_score", "margin", "mean_score")
+    means = labelled.groupBy("expected").agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in names])
+    return P.with_percentiles(means, P.percentiles(labelled, names, {"median": 0.5}, ("expected",)), ("expected",))
 
 
 def candidate_export(spark, d):
@@ -350,6 +358,13 @@ ORACLE = {
     ),
     "threshold_grid": _sql("SELECT * FROM res", _GRID),
     "threshold_grid_top20": _sql(f"SELECT * FROM res ORDER BY {_ORDER} LIMIT 20", _GRID),
+    "threshold_generalisation": _sql(
+        f"SELECT * FROM ({CONFUSION.format(by=', '.join(E.RULES) + ',', rows='tested', group='GROUP BY ' + ', '.join(E.RULES))})",
+        _GRID.replace("FROM lab, grid", "FROM lab, grid WHERE query_id % 2 = 0")
+        + f""",
+best AS (SELECT {', '.join(E.RULES)} FROM res ORDER BY {_ORDER} LIMIT 1),
+tested AS (SELECT best.*, expected AS e, len({_FAILED}) = 0 AS p FROM lab, best WHERE query_id % 2 = 1)""",
+    ),
     "feature_label_summary": _sql(
         "SELECT expected, count(*) AS questions, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, median({c}) AS median_{c}" for c in ("top1_score", "margin", "mean_score")) + " FROM lab GROUP BY expected"
     ),

@@ -58,3 +58,10 @@ def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the cluster runs tasks at once: a table of a few files is dealt out."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a folder of its own in the shared folder and read from there: for what is read more than once."""
+    path = f"{shared_dir(df.sparkSession)}/lexigrove/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

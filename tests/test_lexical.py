@@ -62,6 +62,7 @@ def test_bm25(spark, corpus, monkeypatch, tmp_path, segment, named):
     monkeypatch.setattr(lexical, "_SEGMENT", segment)
     monkeypatch.setattr(lexical, "_NAMED", named)
     monkeypatch.setattr(lexical, "_FIRST", 2)
+    monkeypatch.setattr(lexical, "_FEW", 4)
     table, asked = spark.createDataFrame(corpus, KEPT), spark.createDataFrame(ASKED, "query_id long, question string")
     index = lexical.build_index(table, f"file://{tmp_path}/index")
     assert index.headers.agg(F.max(F.size("ids"))).first()[0] <= max(segment, 1)
@@ -91,6 +92,7 @@ def test_few_segments_are_scored_in_full(spark, monkeypatch):
     """A question whose terms stand together in one place leaves the other segments out."""
     monkeypatch.setattr(lexical, "_SEGMENT", 20)
     monkeypatch.setattr(lexical, "_FIRST", 1)
+    monkeypatch.setattr(lexical, "_FEW", 1)
     rows = [(i, "rare words meet here " * 3 if i < 12 else f"rare {'long filler text ' * 40}", "s", "en") for i in range(400)]
     table = spark.createDataFrame(rows, KEPT).coalesce(1)
     asked = [(1, "rare words meet")]
