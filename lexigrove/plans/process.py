@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +15,9 @@ from lexigrove.operators import evaluation as E
 from lexigrove.operators import manifest as M
 from lexigrove.plans import search
 from lexigrove.plans.content import _TOK, _re, _strip
+from lexigrove.sources.shared import shared_dir
 from lexigrove.sources.tables import table
+from lexigrove.streaming.manifest_log import ManifestLog
 
 
 def turns(spark, d):
@@ -109,6 +113,18 @@ def manifest_merge(spark, d):
     return M.merge(*_snapshots(spark, d))
 
 
+def manifest_history(spark, d):
+    """The manifest after two scans of documents, a full scan that lacks some, failures and deletions, compacted on the way."""
+    log = ManifestLog(spark, f"{shared_dir(spark)}/lexigrove/manifest-{uuid.uuid4().hex}", compact_after=3)
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), X.text_of("text").alias("text"))
+    log.evaluate(docs.where("doc_id % 4 <> 0").select("document_id", F.md5("text").alias("checksum")))
+    log.evaluate(docs.select("document_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("checksum")))
+    log.mark_missing(docs.where("doc_id % 7 <> 0"))
+    log.mark_failed(docs.where("doc_id % 11 = 0").select("document_id", F.concat(F.lit("broken "), "document_id").alias("error_message")))
+    log.delete(docs.where("doc_id % 13 = 0"))
+    return log.read()
+
+
 def manifest_counts(spark, d):
     return manifest_merge(spark, d).groupBy("status").agg(F.count("*").alias("documents"))
 
@@ -238,6 +254,10 @@ ORACLE = {
         f"{_CTX}, {_GATE}",
     ),
     "manifest_merge": f"{_SNAP} SELECT * FROM m",
+    "manifest_history": """SELECT doc_id::VARCHAR AS document_id,
+      CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS status,
+      md5(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS checksum, CASE WHEN doc_id % 11 = 0 THEN 'broken ' || doc_id END AS error_message
+      FROM documents WHERE doc_id % 13 <> 0""",
     "manifest_counts": f"{_SNAP} SELECT status, count(*) AS documents FROM m GROUP BY status",
     "resume_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "semi_join_check": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",

@@ -32,13 +32,14 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return f"{n:x}-{(mixed or 0) & (1 << 64) - 1:016x}-{int(added or 0) & (1 << 64) - 1:016x}"
 
 
-def _path(spark: SparkSession, name: str):
+def filesystem(spark: SparkSession, name: str):
+    """The Hadoop file system that has a path, and the path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def exists(spark: SparkSession, name: str) -> bool:
-    fs, path = _path(spark, name)
+    fs, path = filesystem(spark, name)
     return fs.exists(path)
 
 
@@ -47,8 +48,8 @@ def publish(spark: SparkSession, name: str, write: Callable[[str], None]) -> Non
     what is there stays."""
     made = f"{name}.{uuid.uuid4().hex}"
     write(made)
-    fs, source = _path(spark, made)
-    target = _path(spark, name)[1]
+    fs, source = filesystem(spark, made)
+    target = filesystem(spark, name)[1]
     fs.mkdirs(target.getParent())
     if fs.exists(target) or not fs.rename(source, target):
         fs.delete(source, True)

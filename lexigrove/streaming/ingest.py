@@ -5,62 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-MANIFEST = "document_id string, status string, checksum string, error_message string, version int"
+from lexigrove.streaming.manifest_log import ManifestLog
 
 
 def merge_batches(files: DataFrame, manifest_dir: str, checkpoint: str):
-    """A stream of (document_id, checksum) taken into the manifest, batch by batch. Returns the started query.
+    """A stream of (document_id, checksum[, seen_at]) taken into the manifest log, batch by batch. Returns the started query.
 
-    A batch is an increment: its documents become new, unchanged or modified, and no others change. Each batch
-    writes its own rows only, under its number; one that runs again after a failure writes the same rows. Of a
-    document's rows in one batch the one with the latest `seen_at`, where there is such a column, then with the
-    largest checksum, counts.
+    A batch is an increment: its documents become new, unchanged or modified, and no others change. A batch that runs
+    again after a failure is known by the stream's checkpoint and its number, and changes nothing.
     """
-    order = [c for c in ("seen_at", "checksum") if c in files.columns]
 
     def upsert(batch: DataFrame, number: int) -> None:
-        seen = batch.groupBy("document_id").agg(F.max_by("checksum", F.struct(*order)).alias("checksum"))
-        old = read_manifest(batch.sparkSession, manifest_dir, number - 1).select("document_id", F.col("checksum").alias("old"))
-        status = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("checksum"), "unchanged").otherwise("modified")
-        _write(seen.join(old, "document_id", "left").select("document_id", status.alias("status"), "checksum", F.lit(None).cast("string").alias("error_message")), manifest_dir, number)
+        ManifestLog(batch.sparkSession, manifest_dir).evaluate(batch, checkpoint, number)
 
     return files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _write(rows: DataFrame, manifest_dir: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{manifest_dir}/version={number}")
-
-
-def read_manifest(spark: SparkSession, manifest_dir: str, number: int | None = None) -> DataFrame:
-    """(document_id, status, checksum, error_message): each document's last row, up to a version or of all."""
-    try:
-        rows = spark.read.schema(MANIFEST).option("basePath", manifest_dir).parquet(manifest_dir)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = spark.createDataFrame([], MANIFEST)
-    if number is not None:
-        rows = rows.where(F.col("version") <= number)
-    last = rows.groupBy("document_id").agg(F.max_by(F.struct("status", "checksum", "error_message"), "version").alias("r"))
-    return last.select("document_id", "r.*")
-
-
-def mark_missing(spark: SparkSession, manifest_dir: str, scan: DataFrame, number: int) -> None:
-    """After a full scan (document_id): documents of the manifest that it doesn't have are missing, as version `number`."""
-    gone = read_manifest(spark, manifest_dir, number - 1).join(scan.select("document_id"), "document_id", "left_anti").where("status <> 'missing'")
-    _write(gone.select("document_id", F.lit("missing").alias("status"), "checksum", "error_message"), manifest_dir, number)
-
-
-def mark_failed(spark: SparkSession, manifest_dir: str, failed: DataFrame, number: int) -> None:
-    """failed (document_id, error_message): entries that are there take the message, as version `number`."""
-    known = read_manifest(spark, manifest_dir, number - 1).drop("error_message").join(failed.select("document_id", "error_message"), "document_id")
-    _write(known.select("document_id", F.lit("failed").alias("status"), "checksum", "error_message"), manifest_dir, number)
-
-
 def remember(turns: DataFrame, last: int = 12, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The last messages of each conversation after every batch; a conversation idle for long is forgotten.
 

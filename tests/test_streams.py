@@ -6,6 +6,7 @@ import uuid
 import pytest
 
 from lexigrove.streaming import ingest
+from lexigrove.streaming.manifest_log import ManifestLog
 
 LIMIT = 120  # seconds
 
@@ -30,8 +31,10 @@ def test_manifest_over_batches(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     day = lambda n: dt.datetime(2024, 1, n)
 
-    def status():
-        return {r["document_id"]: (r["status"], r["checksum"]) for r in ingest.read_manifest(spark, out).collect()}
+    log = ManifestLog(spark, out)
+
+    def status(version=None):
+        return {r["document_id"]: (r["status"], r["checksum"]) for r in log.read(version).collect()}
 
     batches = (
         ([("a", "1", day(1)), ("b", "1", day(1))], {"a": ("new", "1"), "b": ("new", "1")}),
@@ -43,11 +46,15 @@ def test_manifest_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
         ended(ingest.merge_batches(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck")))
         assert status() == want
-    ingest.mark_missing(spark, out, spark.createDataFrame([("a",), ("c",)], "document_id string"), 4)
+    log.mark_missing(spark.createDataFrame([("a",), ("c",)], "document_id string"))
     assert status() == {"a": ("unchanged", "2"), "b": ("missing", "1"), "c": ("new", "1")}
-    ingest.mark_failed(spark, out, spark.createDataFrame([("c", "broken"), ("zz", "unknown")], "document_id string, error_message string"), 5)
-    assert status() == {"a": ("unchanged", "2"), "b": ("missing", "1"), "c": ("failed", "1")}
-    assert {r["document_id"]: r["status"] for r in ingest.read_manifest(spark, out, 2).collect()} == {"a": "modified", "b": "new", "c": "new"}
+    # marks stay when the stream goes on, and a document that is there again is judged by its checksum
+    spark.createDataFrame([("c", "5", day(6))], schema).coalesce(1).write.mode("append").json(src)
+    ended(ingest.merge_batches(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck")))
+    assert status() == {"a": ("unchanged", "2"), "b": ("missing", "1"), "c": ("modified", "5")}
+    spark.createDataFrame([("b", "1", day(7))], schema).coalesce(1).write.mode("append").json(src)
+    ended(ingest.merge_batches(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck")))
+    assert status()["b"] == ("unchanged", "1") and status(5)["b"] == ("missing", "1")
 
 
 @pytest.mark.parametrize("far", [False, True])
