@@ -140,15 +140,3 @@ def _by_document(docs: DataFrame, make, id_col: str, text_col: str) -> DataFrame
 def recursive(docs: DataFrame, size: int = 128, overlap: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Units by separators, packed in order."""
     return _by_document(docs, lambda t: pack(list(units(t, size)), size, overlap), id_col, text_col)
-
-
-def semantic(docs: DataFrame, size: int = 128, overlap: int = 0, least: int = 16, threshold: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentences packed until the next is unlike the last one; likeness is the cosine of their words' counts."""
-
-    def make(text: str) -> Iterator[tuple[str, str]]:
-        parts = list(units("\n".join(re.split(r"(?<=[.!?])\s+", text.strip())), size))
-        bags = [frozenset(p.lower().split()) for p in parts]
-        breaks = [False] + [len(a & b) / ((len(a) * len(b)) ** 0.5 or 1.0) < threshold for a, b in zip(bags, bags[1:])]
-        return pack(parts, size, overlap, breaks, least)
-
-    return _by_document(docs, make, id_col, text_col)

@@ -5,17 +5,15 @@ Scores are rounded to six decimals before ranking and every order ends with an i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
@@ -125,12 +123,12 @@ def nearest(chunks: DataFrame, queries: DataFrame, top: int = 10, keep: Column |
     return ranked(scored, top, F.col(name).desc(), F.col("chunk_id"))
 
 
-def hyde_vectors(questions: DataFrame, hypothetical: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
-    """questions(query_id, question), hypothetical(query_id, hyde_document): the vector of both texts for each question.
-    A question without a hypothetical document fails."""
+def hyde_texts(questions: DataFrame, hypothetical: DataFrame) -> DataFrame:
+    """questions(query_id, question), hypothetical(query_id, hyde_document) to (query_id, question) with both texts, to be
+    embedded as one. A question without a hypothetical document fails."""
     both = questions.join(hypothetical.select("query_id", "hyde_document"), "query_id", "left")
     text = F.when(F.col("hyde_document").isNull(), F.raise_error(F.lit("a question has no hypothetical document"))).otherwise(F.concat_ws("\n", "question", "hyde_document"))
-    return both.select("query_id", encode(text).alias("query_vector"))
+    return both.select("query_id", text.alias("question"))
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, top: int = 10, k: int = 60) -> DataFrame:
@@ -193,21 +191,3 @@ def evidence_rank(results: DataFrame, gold: DataFrame, corpus: DataFrame) -> Dat
     hit = F.contains(X.evaluation_form(F.col("content")), X.evaluation_form(F.col("evidence")))
     found = held.where(hit).groupBy("query_id").agg(F.min("rank").alias("rank"))
     return gold.select("query_id").join(found, "query_id", "left").select("query_id", "rank")
-
-
-_WIDTH = 64
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _signed_counts(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in terms:
-        out = []
-        for words in batch:
-            hashed = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
-            out.append(np.bincount(hashed % _WIDTH, np.where(hashed >> 16 & 1, 1.0, -1.0), _WIDTH) if len(hashed) else np.zeros(_WIDTH))
-        yield pd.Series(out)
-
-
-def hash_embedding(text: Column) -> Column:
-    """Deterministic stand-in for an encoder: signed counts of hashed terms. Any function of a column will do in its place."""
-    return _signed_counts(X.index_terms(text))

@@ -9,6 +9,7 @@ from lexigrove.operators import blocks as B
 from lexigrove.operators import chunking as C
 from lexigrove.operators import cleaning as K
 from lexigrove.operators import sections as N
+from lexigrove.operators import semantic as T
 from lexigrove.sources import html as H
 from lexigrove.sources import tables as S
 from lexigrove.sources.tables import table
@@ -122,7 +123,21 @@ def chunk_recursive(spark, d):
 
 
 def chunk_semantic(spark, d):
-    return C.semantic(docs(spark, d)).select("doc_id", "chunk_index", "token_count", "boundary", F.md5("content").alias("digest"))
+    """Chunks of documents that end where a sentence is unlike the one before, by the hashing encoder."""
+    made = T.semantic_chunks(T.as_blocks(docs(spark, d)), T.hash_encoder(), threshold=0.2)
+    return made.select("doc_id", "chunk_index", "token_count", "boundary", "least_similarity", "first_unit", "last_unit", F.md5("content").alias("digest"))
+
+
+def semantic_units(spark, d):
+    """Sentences with their likeness to the one before."""
+    found = T.alike(T.encode(T.units(T.as_blocks(docs(spark, d)), 128), "text", T.hash_encoder()))
+    return found.select("doc_id", "unit", "tokens", "similarity")
+
+
+def chunk_percentile(spark, d):
+    """Chunks that break at the largest twentieth of a document's distances."""
+    made = T.percentile_chunks(T.as_blocks(docs(spark, d)), T.hash_encoder())
+    return made.select("doc_id", "chunk_index", "units", "least_similarity", F.md5("content").alias("digest"))
 
 
 def html_sections(spark, d):
@@ -220,7 +235,37 @@ cut AS (SELECT doc_id, start, {_strip("substring(t, start + 1, 1024)")} AS conte
 chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, start, content FROM cut WHERE content <> '')"""
 _SENT = _re(_strip(_T), rf"([.!?]){_S}+", r"'\1' || chr(1)")
 
+_UNITS = f"""s AS (SELECT doc_id, list_filter(list_transform(string_split({_SENT}, chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM documents),
+sent AS (SELECT doc_id, unnest(s) AS text, generate_subscripts(s, 1) AS n FROM s),
+tok AS (SELECT doc_id, n, text, {_TOK.replace(_T, "text")} AS t FROM sent),
+cut AS (SELECT doc_id, n, 0 AS w, text FROM tok WHERE len(t) <= 128
+        UNION ALL SELECT doc_id, n, w, array_to_string(t[w * 128 + 1 : w * 128 + 128], ' ') FROM (SELECT *, unnest(range(0, (len(t) - 1) // 128 + 1)) AS w FROM tok WHERE len(t) > 128)),
+units AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, w) - 1 AS unit, text, len({_TOK.replace(_T, "text")})::BIGINT AS tokens FROM cut),
+hashed AS (SELECT doc_id, unit, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unit, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM units)),
+parts AS MATERIALIZED (SELECT doc_id, unit, h % 64 AS at, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM hashed GROUP BY ALL),
+len2 AS MATERIALIZED (SELECT doc_id, unit, 1 + coalesce(sum(x * x), 0)::DOUBLE AS q FROM units LEFT JOIN parts USING (doc_id, unit) GROUP BY ALL),
+inner_ AS (SELECT a.doc_id, b.unit, sum(a.x * b.x) AS p FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND a.unit + 1 = b.unit AND a.at = b.at GROUP BY ALL),
+like_ AS MATERIALIZED (
+  SELECT u.*, round((1 + coalesce(p, 0)) / (sqrt(o.q) * sqrt(m.q)), 6) AS similarity
+  FROM units u LEFT JOIN len2 m USING (doc_id, unit) LEFT JOIN len2 o ON o.doc_id = u.doc_id AND o.unit + 1 = u.unit LEFT JOIN inner_ i ON i.doc_id = u.doc_id AND i.unit = u.unit)"""
 ORACLE = {
+    "semantic_units": f"WITH {_UNITS} SELECT doc_id, unit, tokens, similarity FROM like_",
+    "chunk_percentile": f"""WITH {_UNITS}, far AS (SELECT *, round(1 - similarity, 6) AS distance FROM like_),
+      lim AS (SELECT doc_id, round(quantile_cont(distance, 0.95), 6) AS most FROM far GROUP BY doc_id),
+      turned AS (SELECT far.*, coalesce(distance > most, false) AS turn FROM far JOIN lim USING (doc_id)),
+      placed AS (SELECT *, sum(turn::BIGINT) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS chunk_index FROM turned)
+      SELECT doc_id, chunk_index, count(*) AS units, min(similarity) FILTER (NOT turn) AS least_similarity, md5(string_agg(text, ' ' ORDER BY unit)) AS digest FROM placed GROUP BY ALL""",
+    "chunk_semantic": f"""WITH RECURSIVE {_UNITS}, fold AS (
+        SELECT doc_id, unit, tokens AS held, 0::BIGINT AS chunk, '' AS why FROM like_ WHERE unit = 0
+        UNION ALL
+        SELECT u.doc_id, u.unit, CASE WHEN t OR s THEN u.tokens ELSE held + u.tokens END, chunk + (t OR s)::BIGINT, CASE WHEN t THEN 'semantic_threshold' WHEN s THEN 'chunk_size' ELSE '' END
+        FROM (SELECT f.*, u.tokens AS more, u.similarity < 0.2 AND held >= 16 AS t, held + u.tokens > 128 AS s FROM fold f JOIN like_ u ON u.doc_id = f.doc_id AND u.unit = f.unit + 1) f
+        JOIN like_ u ON u.doc_id = f.doc_id AND u.unit = f.unit + 1),
+      made AS (SELECT doc_id, chunk, sum(u.tokens)::BIGINT AS token_count, min(similarity) FILTER (why = '' AND unit > 0) AS least_similarity, min(unit) AS first_unit, max(unit) AS last_unit,
+          string_agg(text, ' ' ORDER BY unit) AS content FROM fold JOIN like_ u USING (doc_id, unit) GROUP BY ALL),
+      ended AS (SELECT m.*, coalesce(f.why, 'document_end') AS boundary FROM made m LEFT JOIN fold f ON f.doc_id = m.doc_id AND f.unit = m.last_unit + 1),
+      once AS (SELECT * FROM ended QUALIFY content IS DISTINCT FROM lag(content) OVER (PARTITION BY doc_id ORDER BY chunk))
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS chunk_index, token_count, boundary, least_similarity, first_unit, last_unit, md5(content) AS digest FROM once""",
     "clean_whitespace_inline": f"SELECT doc_id, md5({_inline(_T)}) AS cleaned FROM documents",
     "clean_whitespace_multiline": f"SELECT doc_id, md5({_multi(_T)}) AS cleaned FROM documents",
     "boilerplate_lines": f"WITH {_LINES.replace(_T, _NAVIGATION)}, formed AS (SELECT {_form('line')} AS f FROM lines) SELECT f AS form, count(*) AS lines FROM formed WHERE f <> '' AND {_BOILER} GROUP BY f",
@@ -264,5 +309,5 @@ ORACLE = {
     "vector_checks": """SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, max(len(embedding))::BIGINT AS width,
       count(*) FILTER (embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS unusable FROM embeddings""",
 }
-_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "evaluation_forms", "chunk_recursive", "chunk_semantic", "html_sections", "html_tables", "html_links", "markdown_sections", "clean_sections", "section_report", "page_blocks", "page_chunks")
+_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "evaluation_forms", "chunk_recursive", "html_sections", "html_tables", "html_links", "markdown_sections", "clean_sections", "section_report", "page_blocks", "page_chunks")
 QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in _ROWS_ONLY}
