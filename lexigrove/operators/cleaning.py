@@ -43,17 +43,22 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return formed.select(id_col, X.fingerprint_of(F.col("form")).alias("fp")).groupBy("fp").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
 
 
-def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row: documents, lines and characters in and out, lines removed by each step."""
-    lines = to_lines(docs, id_col).select(id_col, "pos", X.clean_inline(F.col("line")).alias("line"))
-    formed = lines.select(id_col, "pos", F.length("line").alias("chars"), X.boilerplate_form(F.col("line")).alias("form"), X.dedup_form(F.col("line")).alias("same"))
-    marked = formed.select(id_col, "pos", "chars", X.is_boilerplate_form(F.col("form")).alias("boiler"), X.fingerprint_of(F.col("same")).alias("fp"))
-    nth = F.row_number().over(Window.partitionBy(id_col, "boiler", "fp").orderBy("pos"))
-    marked = marked.withColumn("repeat", (nth > 1) & (F.col("fp") != "") & ~F.col("boiler"))
-    out = ~F.col("boiler") & ~F.col("repeat")
-    return marked.agg(
-        F.count_distinct(id_col).alias("documents"), F.count("*").alias("lines_in"), F.count_if(out).alias("lines_out"), F.count_if("boiler").alias("boilerplate_removed"),
-        F.count_if("repeat").alias("repeats_removed"), F.sum("chars").alias("characters_in"), F.sum(F.when(out, F.col("chars")).otherwise(0)).alias("characters_out"),
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: documents, lines and characters in and out, lines removed by each step. Each document's lines are judged
+    where they are read; a line's repeats are found by sorting the document's forms."""
+    line = lambda x: F.struct(F.length(x).alias("chars"), X.is_boilerplate(x).alias("boiler"), X.dedup_form(x).alias("form"))
+    lines = X.once(F.transform(F.split(X.text_of(text_col), "\n"), X.clean_inline), lambda ls: F.transform(ls, line))
+    total = lambda ls, of: F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + of(x).cast("long"))
+    left = lambda ls: F.sort_array(F.transform(F.filter(ls, lambda x: ~x["boiler"]), lambda x, i: F.struct(x["form"].alias("form"), i.alias("i"), x["chars"].alias("chars"))))
+    first = lambda s: F.filter(s, lambda x, k: (x["form"] == "") | (k == 0) | (F.get(s, k - 1)["form"] != x["form"]))
+    told = docs.select(X.once(lines, lambda ls: F.struct(
+        F.size(ls).alias("lines_in"), total(ls, lambda x: x["boiler"]).alias("boilerplate_removed"), total(ls, lambda x: x["chars"]).alias("characters_in"),
+        X.once(left(ls), lambda s: X.once(first(s), lambda kept: F.struct(F.size(kept).alias("n"), total(kept, lambda x: x["chars"]).alias("chars")))).alias("kept"),
+    )).alias("r"))
+    gone = F.col("r.lines_in") - F.col("r.boilerplate_removed") - F.col("r.kept.n")
+    return told.agg(
+        F.count("*").alias("documents"), F.sum("r.lines_in").alias("lines_in"), F.sum("r.kept.n").alias("lines_out"), F.sum("r.boilerplate_removed").alias("boilerplate_removed"),
+        F.sum(gone).alias("repeats_removed"), F.sum("r.characters_in").alias("characters_in"), F.sum("r.kept.chars").alias("characters_out"),
     )
 
 

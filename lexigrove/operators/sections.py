@@ -6,16 +6,22 @@ A row has an id, position, heading, level, heading_path, paragraphs, lists, tabl
 
 from __future__ import annotations
 
+import copy
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
+from lexigrove.operators import parts
+from lexigrove.sources.shared import kept
 
 Cleaner = Callable[[DataFrame, str], DataFrame]
 #: Fixed value: the order in which the default pipeline cleans.
@@ -67,44 +73,80 @@ def _positions(sections: DataFrame, id_col: str) -> DataFrame:
     return sections.withColumn("position", F.row_number().over(Window.partitionBy(id_col).orderBy("position")) - 1)
 
 
-@register("unicode", "unicode normalizer")
-def clean_unicode(sections: DataFrame, id_col: str) -> DataFrame:
+class Function:
+    """A cleaner that is a Python function of a section's row. What it raises is kept with the row: the document failed."""
+
+    def __init__(self, name: str, fn: Callable[[dict], dict]):
+        self.name, self.fn = name, fn
+
+    def told(self, sections: DataFrame) -> DataFrame:
+        """sections with `error`, null where the function did its work; a row with an error is as it was."""
+        shape = StructType([*sections.schema.fields]).add("error", StringType())
+        to = to_arrow_schema(shape)
+        name, fn = self.name, self.fn
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    try:
+                        made = fn(copy.deepcopy(row)) | {"error": None}
+                        pa.RecordBatch.from_pylist([made], schema=to)  # a row of another form is an error of this row alone
+                    except Exception as e:  # any document may break any cleaner, and the others go on
+                        made = row | {"error": f"{name}: {type(e).__name__}: {e}"}
+                    out.append(made)
+                yield pa.RecordBatch.from_pylist(out, schema=to)
+
+        return sections.mapInArrow(run, shape)
+
+    def __call__(self, sections: DataFrame, id_col: str) -> DataFrame:
+        """The pipeline's way: the first error fails the job."""
+        done = self.told(sections)
+        failed = F.raise_error(F.concat(F.lit("document "), F.col(id_col).cast("string"), F.lit(": "), F.col("error")))
+        return done.withColumn("position", F.when(F.col("error").isNull(), F.col("position")).otherwise(failed.cast(sections.schema["position"].dataType))).drop("error")
+
+
+def register_function(*names: str) -> Callable[[Callable[[dict], dict]], Callable[[dict], dict]]:
+    """Like `register`, for a function of one section's row."""
+
+    def keep(fn: Callable[[dict], dict]) -> Callable[[dict], dict]:
+        register(*names)(Function(normal_name(names[0]), fn))
+        return fn
+
+    return keep
+
+
+def unregister(name: str) -> None:
+    _CLEANERS.pop(normal_name(name), None)
+
+
+def fold(text: str, keep: str = "\n\r") -> str:
+    """Compatibility folding, the fixed replacements, and no control characters but those to keep."""
+    text = unicodedata.normalize("NFKC", text).translate({ord(c): to for chars, to in X.REPLACED for c in chars})
+    return "".join(c for c in text if c in keep or unicodedata.category(c)[0] != "C")
+
+
+@register_function("unicode", "unicode normalizer")
+def clean_unicode(row: dict) -> dict:
     """Compatibility folding and the fixed replacements in all texts; code keeps tabs and its own line ends, without
     blanks at their end."""
-    table = {ord(c): to for chars, to in X.REPLACED for c in chars}
-
-    def fold(text: str, keep: str = "\n\r") -> str:
-        text = unicodedata.normalize("NFKC", text).translate(table)
-        return "".join(c for c in text if c in keep or unicodedata.category(c)[0] != "C")
 
     def code(text: str) -> str:
         lines = [x.rstrip() for x in fold(text.replace("\r\n", "\n").replace("\r", "\n"), "\n\t").split("\n")]
-        while lines and not lines[0]:
-            lines.pop(0)
-        return "\n".join(lines).rstrip()
+        first = next((i for i, x in enumerate(lines) if x), len(lines))
+        return "\n".join(lines[first:]).rstrip()
 
-    def every(value, fn):
+    def every(value):
         if isinstance(value, str):
-            return fn(value)
+            return fold(value).strip()
         if isinstance(value, list):
-            return [every(x, fn) for x in value]
-        if isinstance(value, dict):
-            return {k: every(x, fn) for k, x in value.items()}
-        return value
-
-    plain = lambda t: fold(t).strip()
-    to = to_arrow_schema(sections.schema)
+            return [every(x) for x in value]
+        return {k: every(x) for k, x in value.items()} if isinstance(value, dict) else value
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                for c in ("heading", "heading_path", "paragraphs", "lists", "tables", "links"):
-                    row[c] = every(row[c], plain)
-                row["code"] = [x | {"content": code(x["content"] or "")} for x in row["code"]]
-            yield pa.RecordBatch.from_pylist(rows, schema=to)
-
-    return sections.mapInArrow(run, sections.schema)
+    for c in ("heading", "heading_path", "paragraphs", "lists", "tables", "links"):
+        row[c] = every(row[c])
+    row["code"] = [x | {"content": code(x["content"] or "")} for x in row["code"]]
+    return row
 
 
 @register("whitespace", "whitespace normalizer")
@@ -136,9 +178,11 @@ def clean_boilerplate(sections: DataFrame, id_col: str) -> DataFrame:
 
 
 def first_of(c: Column, form: Callable[[Column], Column]) -> Column:
-    """The first of the elements with one form; those with an empty form all stay."""
-    forms = F.transform(c, form)
-    return F.filter(c, lambda x, i: (form(x) == "") | (F.array_position(forms, form(x)) == i + 1))
+    """The first of the elements with one form; those with an empty form all stay. Elements are sorted by form once, so
+    the time is nearly in proportion to their number."""
+    marked = F.sort_array(F.transform(c, lambda x, i: F.struct(form(x).alias("form"), i.alias("i"))))
+    fresh = lambda s: F.filter(s, lambda x, k: (x["form"] == "") | (k == 0) | (F.get(s, k - 1)["form"] != x["form"]))
+    return X.once(marked, lambda s: F.transform(F.sort_array(F.transform(fresh(s), lambda x: x["i"])), lambda i: F.get(c, i)))
 
 
 @register("duplicate", "duplicates", "dedup")
@@ -160,6 +204,12 @@ def clean_duplicates(sections: DataFrame, id_col: str) -> DataFrame:
     return _positions(once.drop("fingerprint", "nth"), id_col)
 
 
+@register("document duplicates")
+def clean_document_duplicates(sections: DataFrame, id_col: str) -> DataFrame:
+    """The first of equal parts of a whole document, then as `duplicate`."""
+    return clean_duplicates(parts.drop_repeated_parts(sections, id_col, "document").drop("removed"), id_col)
+
+
 def counts(sections: DataFrame, *by: str) -> DataFrame:
     """Sections and their parts."""
     each = {
@@ -169,15 +219,70 @@ def counts(sections: DataFrame, *by: str) -> DataFrame:
     return sections.groupBy(*by).agg(F.count("*").alias("sections"), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in each.items()])
 
 
+def cleaner(name: str) -> Cleaner:
+    if normal_name(name) not in _CLEANERS:
+        raise ValueError(f"no cleaner {name}; there are {', '.join(sorted(_CLEANERS))}")
+    return _CLEANERS[normal_name(name)]
+
+
 def clean(sections: DataFrame, id_col: str, cleaners: tuple[str, ...] = DEFAULT) -> DataFrame:
-    """The cleaners' work one after the other; the input is a table and stays as it is."""
+    """The cleaners' work one after the other; the input is a table and stays as it is. A document that breaks a cleaner
+    fails the job: see `clean_service`."""
     for name in cleaners:
-        if normal_name(name) not in _CLEANERS:
-            raise ValueError(f"no cleaner {name}; there are {', '.join(sorted(_CLEANERS))}")
-        sections = _CLEANERS[normal_name(name)](sections, id_col)
+        sections = cleaner(name)(sections, id_col)
     return sections
 
 
+class CleaningError(ValueError):
+    """A document broke a cleaner, and the service was to stop."""
+
+
+@dataclass
+class Cleaned:
+    """What the service made: sections of the documents that came through, a row for each document (id, document, error and
+    what was removed, document being null where it failed), and counts over all."""
+
+    sections: DataFrame
+    results: DataFrame
+    totals: dict[str, int]
+
+
+def clean_service(sections: DataFrame, id_col: str, cleaners: tuple[str, ...] = DEFAULT, stop_on_error: bool = False) -> Cleaned:
+    """The cleaners over a batch of documents, each for itself: one that breaks a cleaner is reported with the cleaner's
+    name and the error, and takes no part from there on, and the others are cleaned. With stop_on_error, the document
+    of the smallest id that failed at a cleaner fails the batch, and no later cleaner runs.
+
+    Results after each Python cleaner are written to the shared folder, so that it runs once. The totals are observed in
+    the jobs that write first and last. A batch without sections fails.
+    """
+    seen, left = Observation(), Observation()
+    every = sections.observe(seen, F.count(F.lit(1)).alias("input_sections"), F.count_if(F.col("position") == 0).alias("total_documents"))
+    first = now = kept(every, "clean-input")
+    if not seen.get["input_sections"]:
+        raise CleaningError("there are no documents to clean")
+    broken: list[DataFrame] = []
+    for name in cleaners:
+        one = cleaner(name)
+        if not isinstance(one, Function):
+            now = one(now, id_col)
+            continue
+        told = kept(one.told(now), "clean-step")
+        failed = told.where("error is not null").groupBy(id_col).agg(F.min_by("error", "position").alias("error"))
+        if stop_on_error and (worst := failed.orderBy(id_col).first()):
+            raise CleaningError(f"document {worst[id_col]}: {worst['error']}")
+        broken.append(failed)
+        now = told.drop("error").join(failed, id_col, "left_anti")
+    none = sections.sparkSession.createDataFrame([], StructType([sections.schema[id_col], StructField("error", StringType())]))
+    errors = kept(reduce(DataFrame.unionByName, broken, none), "clean-errors")
+    done = kept(now.observe(left, F.count(F.lit(1)).alias("output_sections")), "clean-output")
+    told = report(first, done, id_col).drop("success").join(errors, id_col, "left")
+    document = F.when(F.col("error").isNull(), F.struct("output_sections", *[c for c in told.columns if c.startswith("removed_")]))
+    results = told.select(id_col, F.col("error").isNull().alias("ok"), document.alias("document"), "error", "input_sections")
+    failed_documents = errors.count()
+    totals = seen.get | left.get | {"failed_documents": failed_documents}
+    return Cleaned(done, results, totals | {"successful_documents": totals["total_documents"] - failed_documents})
+
+
 def report(before: DataFrame, after: DataFrame, id_col: str) -> DataFrame:
     """What cleaning removed from each document; success is that something is left."""
     parts = ("sections", "paragraphs", "list_items", "table_rows", "code_blocks", "links")

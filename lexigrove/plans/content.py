@@ -8,15 +8,17 @@ from lexigrove.functions import text as X
 from lexigrove.operators import blocks as B
 from lexigrove.operators import chunking as C
 from lexigrove.operators import cleaning as K
+from lexigrove.operators import parts as G
 from lexigrove.operators import sections as N
 from lexigrove.operators import semantic as T
 from lexigrove.sources import html as H
 from lexigrove.sources import tables as S
+from lexigrove.sources.shared import spread
 from lexigrove.sources.tables import table
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def clean_whitespace_inline(spark, d):
@@ -72,6 +74,24 @@ def cleaning_report(spark, d):
     return K.report(docs(spark, d))
 
 
+def part_duplicates(spark, d):
+    """What goes when a document keeps the first of equal parts: sections are runs of eight lines, whose first line's words
+    are a list."""
+    lines = F.split(X.text_of("text"), "\n")
+    runs = X.once(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / 8).cast("int")), lambda i: F.slice(ls, i * 8 + 1, 8)))
+    cut = docs(spark, d).select("doc_id", F.posexplode(runs).alias("position", "paragraphs"))
+    none = lambda kind: F.array().cast(kind)
+    sections = cut.withColumns(
+        {
+            "lists": F.array(X.tokens(F.col("paragraphs")[0])), "tables": none("array<struct<headers:array<string>,rows:array<array<string>>>>"),
+            "code": none("array<struct<content:string,language:string>>"), "links": none("array<struct<text:string,url:string>>"),
+        }
+    )
+    kept = G.drop_repeated_parts(sections, "doc_id")
+    whole = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "paragraphs"))), lambda x: x["paragraphs"])), "\n")
+    return kept.groupBy("doc_id").agg(F.sum("removed.paragraphs").alias("paragraphs"), F.sum("removed.list_items").alias("list_items"), F.md5(whole).alias("digest"))
+
+
 def sentence_split(spark, d):
     s = X.sentences(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
@@ -111,7 +131,7 @@ def chunk_fixed_token(spark, d):
 
 
 def chunk_statistics(spark, d):
-    return C.statistics(C.fixed_characters(table(spark, d, "documents"), carry=("lang",)), "lang")
+    return C.statistics(C.fixed_characters(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), carry=("lang",)), "lang")
 
 
 def chunk_validation(spark, d):
@@ -280,6 +300,12 @@ ORACLE = {
       again AS (SELECT *, NOT boiler AND k <> '' AND row_number() OVER (PARTITION BY doc_id, boiler, k ORDER BY pos) > 1 AS repeat FROM marked)
       SELECT count(DISTINCT doc_id) AS documents, count(*) AS lines_in, count(*) FILTER (NOT boiler AND NOT repeat) AS lines_out, count(*) FILTER (boiler) AS boilerplate_removed,
         count(*) FILTER (repeat) AS repeats_removed, sum(length(line))::BIGINT AS characters_in, sum(CASE WHEN boiler OR repeat THEN 0 ELSE length(line) END)::BIGINT AS characters_out FROM again""",
+    "part_duplicates": f"""WITH {_LINES},
+      marked AS (SELECT doc_id, pos, line, {_DEDUP} = '' OR row_number() OVER (PARTITION BY doc_id, {_DEDUP} ORDER BY pos) = 1 AS keep FROM lines),
+      items AS (SELECT doc_id, pos, unnest(t) AS item, generate_subscripts(t, 1) AS n FROM (SELECT doc_id, pos, {_TOK.replace(_T, "line")} AS t FROM lines WHERE pos % 8 = 0)),
+      gone AS (SELECT doc_id, count(*) FILTER (nth > 1)::BIGINT AS list_items FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos, n) AS nth FROM items) GROUP BY doc_id)
+      SELECT doc_id, count(*) FILTER (NOT keep)::BIGINT AS paragraphs, coalesce(any_value(list_items), 0)::BIGINT AS list_items, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS digest
+      FROM marked LEFT JOIN gone USING (doc_id) GROUP BY doc_id""",
     "sentence_split": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({_SENT}, chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM documents)
       SELECT doc_id, len(s)::BIGINT AS sentences, md5(array_to_string(s, '|')) AS digest FROM s""",
     "paragraph_split": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({_re(_unix(_T), r"\n[ \t\x0b\f]*\n[ \t\x0b\f\n]*", "chr(1)")}, chr(1)),

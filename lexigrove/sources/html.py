@@ -96,13 +96,19 @@ class Outline:
     """Sections in order; a heading closes the one before and stands under the last of a higher level."""
 
     def __init__(self):
-        self.done, self.now, self.stack = [], _new(None, None, []), []
+        self.done, self.now, self.stack, self.linked = [], _new(None, None, []), [], set()
+
+    def link(self, link: dict) -> None:
+        """A section has a link once."""
+        if (key := (link["text"], link["url"])) not in self.linked:
+            self.linked.add(key)
+            self.now["links"].append(link)
 
     def heading(self, text: str, level: int) -> None:
         if _filled(self.now):
             self.done.append(self.now)
         self.stack = [x for x in self.stack if x[0] < level] + [(level, text)]
-        self.now = _new(text, level, [t for _, t in self.stack])
+        self.now, self.linked = _new(text, level, [t for _, t in self.stack]), set()
 
     def finish(self) -> list[dict]:
         if _filled(self.now):
@@ -152,8 +158,7 @@ def html_sections(html: str) -> list[dict]:
             for a in node.walk():
                 if a.tag == "a" and a.attrs.get("href"):
                     link = {"text": a.text(), "url": a.attrs["href"]}
-                    if link not in out.now["links"]:
-                        out.now["links"].append(link)
+                    out.link(link)
             continue
         todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out.finish()
@@ -182,8 +187,7 @@ def markdown_sections(text: str) -> list[dict]:
 
     def note(raw: str) -> None:
         for label, url in _LINK.findall(raw):
-            if {"text": label, "url": url} not in out.now["links"]:
-                out.now["links"].append({"text": label, "url": url})
+            out.link({"text": label, "url": url})
 
     while i < len(lines):
         line = lines[i]
