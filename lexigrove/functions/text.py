@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: What Python's str.strip and str.split take as white space, for Java's and RE2's expressions alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: Words that a lexical query leaves out.
 STOPWORDS = ("a an and are as at be by can do does for from how in is it of on or should the to what when where which who why with").split()
@@ -61,7 +62,12 @@ def once(c: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def spaced(c: Column) -> Column:
+    """All white space as blanks, character by character: many times faster than a class of so many ranges."""
+    return F.translate(c, SPACES, " " * len(SPACES))
 
 
 def clean_inline(c) -> Column:
@@ -82,11 +88,11 @@ def clean_code(c) -> Column:
     """Indentation stays; trailing blanks and blank first and last lines go."""
     c = F.regexp_replace(F.regexp_replace(text_of(c), r"\r\n|\r", "\n"), r"\x00", "")
     c = F.regexp_replace(c, r"[\t\x0b\f ]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(c, r"^(?:[\t\x0b\f ]*\n)+", ""), f"{SPACE}+$", "")
+    return F.rtrim(F.regexp_replace(c, r"^(?:[\t\x0b\f ]*\n)+", ""), F.lit(SPACES))
 
 
 def boilerplate_form(c) -> Column:
-    c = F.regexp_replace(F.lower(strip(text_of(c))), f"{SPACE}+", " ")
+    c = F.regexp_replace(spaced(F.lower(strip(text_of(c)))), " +", " ")
     return F.regexp_replace(c, r"^[ \t\r\n:;,.!?–—|\-]+|[ \t\r\n:;,.!?–—|\-]+$", "")
 
 
@@ -104,7 +110,7 @@ def is_boilerplate_url(c) -> Column:
 
 
 def dedup_form(c) -> Column:
-    return F.lower(F.regexp_replace(strip(text_of(c)), f"{SPACE}+", " "))
+    return F.lower(F.regexp_replace(spaced(strip(text_of(c))), " +", " "))
 
 
 def fingerprint_of(form: Column) -> Column:
@@ -119,7 +125,7 @@ def fingerprint(c) -> Column:
 def evaluation_form(c) -> Column:
     """Dashes, quotes and spaces unified, lower case, single spaces; without compatibility folding."""
     c = F.translate(text_of(c), "‐‑‒–—−‘’‚“”„   ", "------'''\"\"\"   ")
-    return strip(F.regexp_replace(F.lower(c), f"{SPACE}+", " "))
+    return strip(F.regexp_replace(spaced(F.lower(c)), " +", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -167,13 +173,12 @@ def query_string(c) -> Column:
 
 
 def tokens(c) -> Column:
-    form = strip(text_of(c))
-    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.split(form, f"{SPACE}+"))
+    return F.array_remove(F.split(spaced(text_of(c)), " "), "")
 
 
 def token_count(c) -> Column:
     """The number of tokens, without making them."""
-    return F.regexp_count(text_of(c), F.lit(f"[^{SPACE[1:]}+"))
+    return F.regexp_count(spaced(text_of(c)), F.lit("[^ ]+"))
 
 
 def sentences(c) -> Column:
@@ -190,9 +195,9 @@ def paragraphs(c) -> Column:
 
 
 def technology_form(c) -> Column:
-    c = F.regexp_replace(F.lower(text_of(c)), f"(?:{SPACE}|[_\\-/\\\\])+", " ")
+    c = F.regexp_replace(spaced(F.lower(text_of(c))), r"[ _\-/\\]+", " ")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}_ .+#]", "")
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(c, " +", " "))
 
 
 def detect_format(c) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.functions.text import canonical_filename, divide, evaluation_form, recall_at, reciprocal
+from lexigrove.functions.text import canonical_filename, divide, evaluation_form, once, recall_at, reciprocal
 from lexigrove.operators.percentiles import percentiles, with_percentiles
 from lexigrove.sources.shared import kept
 
@@ -165,16 +165,56 @@ def compared(summaries: dict[str, DataFrame]) -> DataFrame:
     return every.orderBy(F.desc("mrr"), F.desc("recall_at_1"), F.desc("recall_at_5"), "method")
 
 
+_RUN = 3  # words of a run that evidence is looked up by
+_PIECE = 4  # characters of a piece, for evidence without such a run
+
+
+def _runs(parts: Column, n: int) -> Column:
+    """All runs of n neighbours of an array of texts; none where there are fewer."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n))
+    return once(parts, lambda w: F.when(F.size(w) >= n, of(w)).otherwise(F.array().cast("array<array<string>>")))
+
+
+def _word_keys(form: Column, inner: bool) -> Column:
+    """Runs of words. Evidence may begin and end inside a word of a page, so its first and last words are in none."""
+    words = F.split(form, " ")
+    used = once(words, lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))) if inner else words
+    return F.transform(_runs(used, _RUN), lambda r: F.array_join(r, " "))
+
+
+def _piece_keys(form: Column) -> Column:
+    """Pieces of characters, marked so that they are no words, and single characters."""
+    return once(F.split(form, ""), lambda c: F.concat(F.transform(_runs(c, _PIECE), lambda r: F.concat(F.lit("\x00"), F.array_join(r, ""))), F.transform(c, lambda x: F.concat(F.lit("\x01"), x))))
+
+
+def _asked_keys(form: Column) -> Column:
+    """What evidence is looked up by: runs of words, or, for evidence of few words, pieces, or its first character."""
+    return F.when(F.size(F.split(form, " ")) >= _RUN + 2, _word_keys(form, True)).when(F.length(form) >= _PIECE, F.filter(_piece_keys(form), lambda k: k.startswith("\x00"))).otherwise(F.array(F.concat(F.lit("\x01"), F.substring(form, 1, 1))))
+
+
 def evidence_present(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items(id, source, evidence) with present: whether any page(source, content) of the item's source holds it.
 
-    Both are compared in their evaluation form, sources by their file name. Pages meet the items of their own source
-    only; a blank evidence is nowhere.
+    Both are compared in their evaluation form, sources by their file name; a blank evidence is nowhere. Each distinct
+    evidence of a file is looked up by the run of words that the fewest of the file's pages have, and only these pages
+    are searched for the whole of it: no pairs of a source are made, whatever share of all pages it has. Evidence of
+    fewer than five words is looked up by pieces of characters in the same way.
     """
-    asked = items.select("id", canonical_filename("source").alias("file"), evaluation_form("evidence").alias("form"))
-    held = pages.select(canonical_filename("source").alias("file"), evaluation_form("content").alias("page"))
-    found = asked.where("form <> ''").join(held, "file").where(F.col("page").contains(F.col("form"))).select("id").distinct()
-    return items.select("id").join(found.withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("present"))
+    asked = kept(items.select("id", canonical_filename("source").alias("file"), evaluation_form("evidence").alias("form")), "evidence")
+    wanted = asked.where("form <> ''").select("file", "form").distinct()
+    keyed = wanted.select("file", "form", F.explode(F.array_distinct(_asked_keys(F.col("form")))).alias("key"))
+    keyed = kept(keyed.select("file", "form", F.xxhash64("file", "key").alias("h"), F.substring("key", 1, 1).isin("\x00", "\x01").alias("short")), "evidence-keys")
+    held = kept(pages.select(canonical_filename("source").alias("file"), evaluation_form("content").alias("page"), F.monotonically_increasing_id().alias("n")), "evidence-pages")
+    few = keyed.where("short").select("file").distinct()
+    runs = held.select("n", "file", F.explode(F.array_distinct(_word_keys(F.col("page"), False))).alias("key"))
+    runs = runs.unionByName(held.join(few, "file", "left_semi").select("n", "file", F.explode(F.array_distinct(_piece_keys(F.col("page")))).alias("key")))
+    # a key's pages: those of keys that some evidence has
+    met = kept(runs.select("n", F.xxhash64("file", "key").alias("h")).join(keyed.select("h").distinct(), "h", "left_semi"), "evidence-met")
+    counts = met.groupBy("h").agg(F.count("*").alias("pages"))
+    rarest = keyed.join(counts, "h", "left").groupBy("file", "form").agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "h")).alias("r")).where("r.pages > 0").select("file", "form", F.col("r.h").alias("h"))
+    found = rarest.join(met, "h").join(held.select("n", "page"), "n").where(F.col("page").contains(F.col("form"))).select("file", "form").distinct()
+    hits = asked.join(found.withColumn("hit", F.lit(True)), ["file", "form"], "left").groupBy("id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("present"))
+    return items.select("id").join(hits, "id")
 
 
 def with_times(statistics: DataFrame, times: DataFrame, *keys: str) -> DataFrame:
