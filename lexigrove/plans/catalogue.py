@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.plans import around, content, process, search
+from lexigrove.plans import around, content, process, search, turns
 
-_PLANS = (search, content, process, around)
+_PLANS = (search, content, process, around, turns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
