@@ -60,9 +60,19 @@ def retrieval_summary(records: DataFrame, *by: str) -> DataFrame:
     return both.select(*rated.columns[: len(by) + 1 + len(rates)], *times)
 
 
+def _placed(summaries: DataFrame, *order: Column) -> DataFrame:
+    """summaries, a row for each method, with `place` in an order that ends with the method's name."""
+    return summaries.withColumn("place", F.row_number().over(Window.orderBy(*order, F.asc("method"))).cast("long")).orderBy("place")
+
+
 def compare_methods(summaries: DataFrame) -> DataFrame:
     """Best method first: by evidence reciprocal rank, then recall at 1 and at 5, then time."""
-    return summaries.orderBy(F.desc("evidence_mrr"), F.desc("evidence_recall_at_1"), F.desc("evidence_recall_at_5"), F.asc("mean_retrieval_time_ms"))
+    return _placed(summaries, F.desc("evidence_mrr"), F.desc("evidence_recall_at_1"), F.desc("evidence_recall_at_5"), F.asc("mean_retrieval_time_ms"))
+
+
+def compare_recalls(summaries: DataFrame) -> DataFrame:
+    """Best method first: by recall of evidence at 5, then its reciprocal rank, then time."""
+    return _placed(summaries, F.desc("evidence_recall_at_5"), F.desc("evidence_mrr"), F.asc("mean_retrieval_time_ms"))
 
 
 def confusion(records: DataFrame, expected: Column, predicted: Column, *by: str) -> DataFrame:
@@ -192,19 +202,15 @@ def _asked_keys(form: Column) -> Column:
     return F.when(F.size(F.split(form, " ")) >= _RUN + 2, _word_keys(form, True)).when(F.length(form) >= _PIECE, F.filter(_piece_keys(form), lambda k: k.startswith("\x00"))).otherwise(F.array(F.concat(F.lit("\x01"), F.substring(form, 1, 1))))
 
 
-def evidence_present(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """items(id, source, evidence) with present: whether any page(source, content) of the item's source holds it.
+def _holders(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """wanted(file, form), held(file, page, n) to (file, form, n): the pages of a file that hold a form.
 
-    Both are compared in their evaluation form, sources by their file name; a blank evidence is nowhere. Each distinct
-    evidence of a file is looked up by the run of words that the fewest of the file's pages have, and only these pages
-    are searched for the whole of it: no pairs of a source are made, whatever share of all pages it has. Evidence of
-    fewer than five words is looked up by pieces of characters in the same way.
+    A form is looked up by the run of words that the fewest of the file's pages have, and only these pages are searched
+    for the whole of it: no pairs of a file are made, whatever share of all pages it has. Forms of fewer than five words
+    are looked up by pieces of characters in the same way. held is read several times and should be a saved table.
     """
-    asked = kept(items.select("id", canonical_filename("source").alias("file"), evaluation_form("evidence").alias("form")), "evidence")
-    wanted = asked.where("form <> ''").select("file", "form").distinct()
-    keyed = wanted.select("file", "form", F.explode(F.array_distinct(_asked_keys(F.col("form")))).alias("key"))
+    keyed = wanted.where("form <> ''").select("file", "form").distinct().select("file", "form", F.explode(F.array_distinct(_asked_keys(F.col("form")))).alias("key"))
     keyed = kept(keyed.select("file", "form", F.xxhash64("file", "key").alias("h"), F.substring("key", 1, 1).isin("\x00", "\x01").alias("short")), "evidence-keys")
-    held = kept(pages.select(canonical_filename("source").alias("file"), evaluation_form("content").alias("page"), F.monotonically_increasing_id().alias("n")), "evidence-pages")
     few = keyed.where("short").select("file").distinct()
     runs = held.select("n", "file", F.explode(F.array_distinct(_word_keys(F.col("page"), False))).alias("key"))
     runs = runs.unionByName(held.join(few, "file", "left_semi").select("n", "file", F.explode(F.array_distinct(_piece_keys(F.col("page")))).alias("key")))
@@ -212,11 +218,28 @@ def evidence_present(items: DataFrame, pages: DataFrame) -> DataFrame:
     met = kept(runs.select("n", F.xxhash64("file", "key").alias("h")).join(keyed.select("h").distinct(), "h", "left_semi"), "evidence-met")
     counts = met.groupBy("h").agg(F.count("*").alias("pages"))
     rarest = keyed.join(counts, "h", "left").groupBy("file", "form").agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "h")).alias("r")).where("r.pages > 0").select("file", "form", F.col("r.h").alias("h"))
-    found = rarest.join(met, "h").join(held.select("n", "page"), "n").where(F.col("page").contains(F.col("form"))).select("file", "form").distinct()
+    return rarest.join(met, "h").join(held.select("n", "page"), "n").where(F.col("page").contains(F.col("form"))).select("file", "form", "n").distinct()
+
+
+def evidence_present(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """items(id, source, evidence) with present: whether any page(source, content) of the item's source holds it. Both are
+    compared in their evaluation form, sources by their file name; a blank evidence is nowhere."""
+    asked = kept(items.select("id", canonical_filename("source").alias("file"), evaluation_form("evidence").alias("form")), "evidence")
+    held = kept(pages.select(canonical_filename("source").alias("file"), evaluation_form("content").alias("page"), F.monotonically_increasing_id().alias("n")), "evidence-pages")
+    found = _holders(asked, held).select("file", "form").distinct()
     hits = asked.join(found.withColumn("hit", F.lit(True)), ["file", "form"], "left").groupBy("id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("present"))
     return items.select("id").join(hits, "id")
 
 
+def evidence_homes(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """items(id, evidence), pages(page_id, content) to (id, page_id): the smallest id of a page that holds the evidence; items
+    that no page holds are left out."""
+    asked = kept(items.select("id", F.lit("").alias("file"), evaluation_form("evidence").alias("form")), "evidence")
+    held = kept(pages.select(F.lit("").alias("file"), evaluation_form("content").alias("page"), F.col("page_id").alias("n")), "evidence-pages")
+    first = _holders(asked, held).groupBy("form").agg(F.min("n").alias("page_id"))
+    return asked.join(first, "form").select("id", "page_id")
+
+
 def with_times(statistics: DataFrame, times: DataFrame, *keys: str) -> DataFrame:
     """Statistics of chunkings with the times they took, null where none was taken; times has one row for each key."""
     return statistics.join(times, list(keys), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from lexigrove.operators import evaluation as E
 from lexigrove.operators import percentiles as P
 from lexigrove.operators import retrieval as R
 from lexigrove.operators import semantic as T
-from lexigrove.sources.shared import exists, fingerprint, shared_dir
+from lexigrove.sources.shared import exists, fingerprint, kept, shared_dir
 from lexigrove.sources.tables import table
 
 
@@ -141,18 +143,41 @@ def retrieval_summary(spark, d):
     return E.means(recall_mrr(spark, d))
 
 
+def _gold(spark, d):
+    """A passage's expected source is that of the first document that holds it, whatever a search finds."""
+    docs = corpus(spark, d)
+    asked = questions(spark, d)
+    homes = E.evidence_homes(asked.select(F.col("query_id").alias("id"), "evidence"), docs.select(F.col("chunk_id").alias("page_id"), "content"))
+    homes = homes.join(docs.select(F.col("chunk_id").alias("page_id"), F.col("source").alias("expected_source")), "page_id")
+    return asked.select("query_id", "evidence").join(homes.select(F.col("id").alias("query_id"), "expected_source"), "query_id")
+
+
 def relevance(spark, d):
-    """Ranks of the first result of the expected source, that of the passage's best document, and of the first that has
-    the passage too."""
-    home = bm25_topk(spark, d).where("rank = 3").join(corpus(spark, d).select("chunk_id", F.col("source").alias("expected_source")), "chunk_id")
-    gold = home.join(questions(spark, d).select("query_id", "evidence"), "query_id").select("query_id", "expected_source", "evidence")
-    return R.relevance_ranks(bm25_topk(spark, d), gold, corpus(spark, d))
+    """Ranks of BM25's first result of the expected source, and of the first that has the passage too."""
+    return R.relevance_ranks(bm25_topk(spark, d), _gold(spark, d), corpus(spark, d))
+
+
+def _methods(spark, d):
+    """Five ways of searching, judged on the same gold: ranks, and a stand-in for latency, the number of results."""
+    gold, docs = kept(_gold(spark, d), "gold"), corpus(spark, d)
+    lexical, vectors, hyde = (kept(df, "method") for df in (R.bm25(index(spark, d), questions(spark, d), 50), R.nearest(chunks(spark, d), query_vectors(spark, d), 50), _hyde(spark, d, 50)))
+    found = {"bm25": lexical.where("rank <= 10"), "vector": vectors.where("rank <= 10"), "hybrid": R.fuse(vectors, lexical), "hyde": hyde.where("rank <= 10"), "hyde_hybrid": R.fuse(hyde, lexical)}
+    every = reduce(DataFrame.unionByName, [df.select(F.struct(F.lit(m).alias("method"), "query_id").alias("query_id"), "rank", "chunk_id") for m, df in found.items()])
+    every = kept(every, "methods")
+    asked = gold.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in found], "method string"))).withColumn("query_id", F.struct("method", "query_id")).drop("method")  # five rows for each question
+    ranks = R.relevance_ranks(every, asked, docs).join(every.groupBy("query_id").agg(F.count("*").cast("double").alias("retrieval_time_ms")), "query_id", "left")
+    return ranks.select("query_id.*", "source_rank", "evidence_rank", F.coalesce("retrieval_time_ms", F.lit(0.0)).alias("retrieval_time_ms"))
 
 
 def retrieval_report(spark, d):
-    """Source and evidence metrics and latency of both engines; a stand-in for latency is the number of results."""
-    ranks = relevance(spark, d).join(bm25_topk(spark, d).groupBy("query_id").agg(F.count("*").cast("double").alias("retrieval_time_ms")), "query_id")
-    return E.retrieval_summary(ranks.withColumn("method", F.lit("bm25")), "method")
+    """All methods by source and evidence, the best first by reciprocal rank."""
+    return E.compare_methods(E.retrieval_summary(_methods(spark, d), "method"))
+
+
+def retrieval_comparison(spark, d):
+    """All methods, the best first by recall at 5."""
+    out = E.compare_recalls(E.retrieval_summary(_methods(spark, d), "method"))
+    return out.select("place", "method", "n_questions", *[f"evidence_recall_at_{k}" for k in (1, 3, 5, 10)], "evidence_mrr")
 
 
 def retrieval_by_format(spark, d):
@@ -322,19 +347,35 @@ def _sql(select: str, extra: str = "") -> str:
 
 _ORDER = "false_acceptance_rate, f1_score DESC, accuracy DESC, balanced_error_rate, recall DESC, coverage DESC, " + ", ".join(f"{r} ASC NULLS FIRST" for r in E.RULES)
 
-_REL = f"""
-home AS (SELECT query_id, lower(string_split(replace(source, '\\', '/'), '/')[-1]) AS want FROM bm JOIN documents ON doc_id = chunk_id WHERE bm.rank = 3),
-seen AS (SELECT query_id, bm.rank, want, lower(string_split(replace(coalesce(source, ''), '\\', '/'), '/')[-1]) = want AS same, contains(t, g) AS whole,
+_GOLD = f"""
+gold AS MATERIALIZED (
+  SELECT query_id, lower(string_split(replace(source, '\\', '/'), '/')[-1]) AS want FROM (
+    SELECT query_id, min(doc_id) AS home FROM norm_gold JOIN norm_docs ON contains(t, g) GROUP BY query_id) JOIN documents ON doc_id = home)"""
+
+
+def _relevance(results: str) -> str:
+    """results has (method, query_id, rank, chunk_id)."""
+    return f"""
+res0 AS MATERIALIZED ({results}),
+seen AS (SELECT r.method, query_id, r.rank, lower(string_split(replace(coalesce(source, ''), '\\', '/'), '/')[-1]) = want AS same, contains(t, g) AS whole,
   list_distinct({_TERMS.format('evidence')}) AS e, {_TERMS.format("coalesce(text, '')")} AS c
-  FROM bm JOIN home USING (query_id) JOIN q USING (query_id) JOIN norm_gold USING (query_id) JOIN documents d ON d.doc_id = chunk_id JOIN norm_docs n ON n.doc_id = chunk_id WHERE bm.rank <= 10),
-rel AS MATERIALIZED (SELECT query_id, min(rank) FILTER (same) AS source_rank, min(rank) FILTER (same AND (whole OR (len(e) > 0 AND len(list_intersect(e, c)) / len(e)::DOUBLE >= 0.6))) AS evidence_rank FROM seen GROUP BY query_id)"""
+  FROM res0 r JOIN gold USING (query_id) JOIN q USING (query_id) JOIN norm_gold USING (query_id) JOIN documents d ON d.doc_id = chunk_id JOIN norm_docs n ON n.doc_id = chunk_id),
+found AS (SELECT method, query_id, min(rank) FILTER (same) AS source_rank, min(rank) FILTER (same AND (whole OR (len(e) > 0 AND len(list_intersect(e, c)) / len(e)::DOUBLE >= 0.6))) AS evidence_rank FROM seen GROUP BY ALL),
+rel AS MATERIALIZED (
+  SELECT method, query_id, source_rank, evidence_rank, coalesce(n, 0)::DOUBLE AS n FROM gold CROSS JOIN (SELECT DISTINCT method FROM res0) LEFT JOIN found USING (method, query_id)
+  LEFT JOIN (SELECT method, query_id, count(*) AS n FROM res0 GROUP BY ALL) USING (method, query_id))"""
+
+
+_ALL = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, rank, chunk_id FROM {t} WHERE rank <= 10" for m, t in (("bm25", "bm"), ("vector", "vec"), ("hybrid", "hy"), ("hyde", "hvec"), ("hyde_hybrid", "hh")))
 _RATES = ", ".join(
     [f"round(avg(coalesce(({w}_rank <= {k})::INT, 0)), 6) AS {w}_recall_at_{k}" for w in ("source", "evidence") for k in (1, 3, 5, 10)]
     + [f"round(avg(coalesce(1.0::DOUBLE / {w}_rank, 0)), 6) AS {w}_mrr" for w in ("source", "evidence")]
 )
-_REPORT = f"""SELECT 'bm25' AS method, count(*) AS n_questions, {_RATES}, round(avg(n), 4) AS mean_retrieval_time_ms, round(median(n), 4) AS median_retrieval_time_ms,
-  round(quantile_cont(n, 0.95), 4) AS p95_retrieval_time_ms, min(n) AS min_retrieval_time_ms, max(n) AS max_retrieval_time_ms
-  FROM rel JOIN (SELECT query_id, count(*)::DOUBLE AS n FROM bm WHERE rank <= 10 GROUP BY query_id) USING (query_id)"""
+_REPORT = f"""SELECT *, row_number() OVER (ORDER BY evidence_mrr DESC, evidence_recall_at_1 DESC, evidence_recall_at_5 DESC, mean_retrieval_time_ms, method) AS place FROM (
+  SELECT method, count(*) AS n_questions, {_RATES}, round(avg(n), 4) AS mean_retrieval_time_ms, round(median(n), 4) AS median_retrieval_time_ms,
+  round(quantile_cont(n, 0.95), 4) AS p95_retrieval_time_ms, min(n) AS min_retrieval_time_ms, max(n) AS max_retrieval_time_ms FROM rel GROUP BY method)"""
+_COMPARED = f"""SELECT row_number() OVER (ORDER BY evidence_recall_at_5 DESC, evidence_mrr DESC, mean_retrieval_time_ms, method) AS place, method, n_questions, evidence_recall_at_1, evidence_recall_at_3,
+  evidence_recall_at_5, evidence_recall_at_10, evidence_mrr FROM ({_REPORT})"""
 
 _HASHED = """(SELECT key, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot, sum(CASE WHEN (('0x' || substr(md5(term), 1, 8))::BIGINT >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x
   FROM (SELECT {key} AS key, unnest({terms}) AS term FROM {rows}) GROUP BY ALL)"""
@@ -365,8 +406,9 @@ ORACLE = {
       c AS (SELECT query_id, vec_id AS chunk_id, round(greatest(-1, least(1, list_cosine_similarity(embedding::DOUBLE[], query_vector))), 6) AS cosine_similarity FROM embeddings, qv WHERE label = 1)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine_similarity DESC, chunk_id) AS rank, chunk_id, cosine_similarity, round(1 - cosine_similarity, 6) AS cosine_distance FROM c QUALIFY rank <= 10""",
     "inner_product_topk": _sql("SELECT query_id, rank, chunk_id, cosine_similarity AS inner_product, round(1 - cosine_similarity, 6) AS distance FROM vec WHERE rank <= 10"),
-    "relevance": _sql("SELECT query_id, source_rank, evidence_rank FROM rel", _REL),
-    "retrieval_report": _sql(_REPORT, _REL),
+    "relevance": _sql("SELECT query_id, source_rank, evidence_rank FROM rel", f"{_GOLD}, {_relevance(_ALL.split(' UNION')[0])}"),
+    "retrieval_report": _sql(_REPORT, f"{_HYDE}, {_GOLD}, {_relevance(_ALL)}"),
+    "retrieval_comparison": _sql(_COMPARED, f"{_HYDE}, {_GOLD}, {_relevance(_ALL)}"),
     "term_stats": _sql("SELECT term, count(DISTINCT chunk_id) AS n_docs, count(*) AS n_total FROM post GROUP BY term"),
     "doc_stats": _sql("SELECT * FROM dl"),
     "vector_topk": _sql("SELECT *, round(1 - cosine_similarity, 6) AS cosine_distance FROM vec WHERE rank <= 10"),
