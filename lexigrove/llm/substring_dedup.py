@@ -293,8 +293,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     matched = plain.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).select("shard", "id", "d", "lo", "words").groupBy("shard").applyInPandas(search, "id long, d long, lo int, hi int")
     windows = pieces.where("w is not null").select("a", "w", "id", "d", "lo")
-    firsts = windows.groupBy(F.col("a").alias("fa"), F.col("w").alias("fw")).agg(F.min(F.struct("id", "d", "lo")).alias("first"))
-    crowd = windows.join(firsts, (F.col("a") == F.col("fa")) & (F.col("w") == F.col("fw"))).where(F.struct("id", "d", "lo") > F.col("first")).select("id", "d", "lo", F.col("lo").alias("hi"))
+    firsts = scratch.save(windows.groupBy("a", "w").agg(F.min(F.struct("id", "d", "lo")).alias("first"), F.count("*").alias("n")), "firsts")
+    crowd = join_hot(windows, firsts, ["a", "w"], "n").where(F.struct("id", "d", "lo") > F.col("first")).select("id", "d", "lo", F.col("lo").alias("hi"))
 
     gone = copied.unionByName(matched).unionByName(crowd).groupBy(F.col("id").alias("gone_id"), F.col("d").alias("gone_d")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
