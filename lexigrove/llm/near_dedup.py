@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import Scratch, components, documents, join_hot, map_rows
 
 _U = np.uint64
-_BLOCK = 2048
+_BLOCK, _BLOCK_SHINGLES = 2048, 4_000_000
 _MULT = tuple(_U(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -278,13 +278,16 @@ class NearDedup:
     def settle(self, big: DataFrame, comp: DataFrame, packed: DataFrame, scratch: Scratch) -> DataFrame:
         """Links (a, b) between components of one bucket. big: (bucket, a); comp: (id, component)."""
         percent, width = self.percent, self.width
-        at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("comp"))
+        at = big.join(comp.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", "n", F.coalesce("component", "a").alias("comp"))
         at = scratch.save(at, "crowds")
-        each = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        each = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("size"))
+        each = each.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("size").alias("size"), F.max_by("size", F.struct("n", "comp")).alias("main_size"))
         # rows are dealt anew by (bucket, member): a bucket of any size spreads over tasks
-        blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-        each = scratch.save(each.where("all > most").select("bucket", "main", "all", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("outs")), "split")
-        at = join_hot(at, each, ["bucket"], "all").withColumn("out", F.col("comp") != F.col("main"))
+        # blocks are bounded by members and, as sets may be large, by the shingles of all their members
+        blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_SHINGLES)).cast("int")
+        all_, most, size, main = (F.col(c) for c in ("all", "most", "size", "main_size"))
+        each = scratch.save(each.where("all > most").select("bucket", "main", "all", blocks(most, main).alias("mains"), blocks(all_ - most, size - main).alias("outs")), "split")
+        at = join_hot(at.drop("n"), each, ["bucket"], "all").withColumn("out", F.col("comp") != F.col("main"))
         at = at.withColumn("blk", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -321,7 +324,7 @@ class NearDedup:
         heads = pairs(met.where(F.col("b") == _HEAD).select(F.col("bucket").alias("h"), "n", F.col("a").alias("node")).repartition("h"))
         near = met.where("bucket is null").unionByName(heads.where("bucket is null"))
         tried = scratch.save(self.likely(near.select("a", "b").distinct(), nodes), "pairs-0")
-        big = met.where("bucket is not null and b is null").select("bucket", "a")
+        big = met.where("bucket is not null and b is null").select("bucket", "a", "n")
         ends = tried.select("a").union(tried.select("b")).union(big.select("a")).distinct()
         packed = scratch.save(self.words(src, ends.join(nodes.select("node", "least", "cls"), F.col("a") == F.col("node")).select("node", "least", "cls")), "words")
         links = self.verify(tried, packed, scratch, "links-0")
