@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,25 +33,32 @@ _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor never makes an earlier step run again.
 
-    An operator's result reads its tables, so they stay until `release`. Unless the session says otherwise, rows
-    reach Python in small batches.
+    An operator's result reads its tables, so they stay until `release`, which knows those of its own thread: two
+    pipelines of one session leave each other's tables alone. Unless the session says otherwise, rows reach Python in
+    small batches.
     """
 
-    made: list[Scratch] = []
+    _made: dict[int, list[Scratch]] = {}
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lexigrove/{label}-{uuid.uuid4().hex}"
-        Scratch.made.append(self)
+        self.made().append(self)
         if spark.conf.get(_BATCH_ROWS, _BATCH) == _BATCH:
             spark.conf.set(_BATCH_ROWS, _SMALL_BATCH)
 
+    @classmethod
+    def made(cls) -> list[Scratch]:
+        """Those that this thread has made and not released."""
+        return cls._made.setdefault(threading.get_ident(), [])
+
     @classmethod
     def release(cls, since: int = 0) -> None:
-        """Delete the tables of all Scratches made after the first `since`, once their results are written elsewhere."""
-        for one in cls.made[since:]:
+        """Delete the tables of all Scratches that this thread made after the first `since`, once their results are written
+        elsewhere."""
+        for one in cls.made()[since:]:
             one.drop("")
-        del cls.made[since:]
+        del cls.made()[since:]
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -111,6 +119,7 @@ def with_fields(schema: str, df: DataFrame, columns: tuple[str, ...]) -> T.Struc
 
 
 _HOT = 10_000
+_HUB = 100_000  # edges of one node that an ordinary join takes in any case
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
@@ -159,35 +168,45 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     """(id, component) for the ends of edges (a, b): component is the smallest id reachable.
 
     Large-star and small-star steps alternate until every node hangs on its root; each step is written to the shared folder.
-    Nothing is gathered: a hub's edges are an ordinary join and minimum.
+    Nothing is gathered: a node's edges are a join with their minimum, and where some node has more than one in 10 000
+    of all, that join is `join_hot`.
     """
     spark = edges.sparkSession
+    written = 0
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
+    def star(e: DataFrame, small: bool, hub: bool) -> DataFrame:
+        nonlocal written
         if small:  # from each node to its smaller neighbours
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         else:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
-        linked = both.join(least, F.col("u") == F.col("w"))
+        if hub:
+            both, written = scratch.save(both, f"{name}-both-{written}"), written + 1
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree")).select("u", F.least("u", "low").alias("m"), "degree")
+        linked = join_hot(both, least, ["u"], "degree") if hub else both.join(least, "u")
         if small:
-            out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w"), F.col("m")))
+            out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
         else:
             out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where(F.col("a") != F.col("b")).distinct()
 
-    def unsettled(e: DataFrame) -> bool:
-        """Whether some node has two parents, or is both child and parent."""
+    def state(e: DataFrame) -> tuple[bool, bool]:
+        """Whether some node has two parents, or is both child and parent; and whether some node is a hub."""
         ends = e.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select(F.col("b"), F.lit(0), F.lit(1)))
-        seen = ends.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-        return not seen.where("child > 1 or (child = 1 and parent = 1)").isEmpty()
+        seen = ends.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"), F.count("*").alias("n"))
+        open_, most, all_ = seen.agg(F.count_if(F.expr("child > 1 or (child = 1 and parent = 1)")), F.max("n"), F.sum("n")).first()
+        return open_ > 0, (most or 0) > max(_HUB, (all_ or 0) // _HOT)
 
     now = scratch.save(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     last, k = f"{name}-edges", 0
-    while unsettled(now):
+    while True:
+        unsettled, hub = state(now)
+        if not unsettled:
+            break
         if k == rounds:
             raise RuntimeError("components did not settle")
-        now = scratch.save(star(star(now, False), True), f"{name}-{k}")
+        now = scratch.save(star(star(now, False, hub), True, hub), f"{name}-{k}")
+        scratch.drop(*[f"{name}-both-{i}" for i in range(max(0, written - 2), written)])
         scratch.drop(last)
         last, k = f"{name}-{k}", k + 1
     parents = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
