@@ -71,7 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        since = len(Scratch.made)
+        since = len(Scratch.made())
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
         Scratch.release(since)
         if k:
