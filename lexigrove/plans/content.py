@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lexigrove.functions import metadata as M
 from lexigrove.functions import text as X
 from lexigrove.operators import blocks as B
 from lexigrove.operators import chunking as C
@@ -12,8 +15,9 @@ from lexigrove.operators import parts as G
 from lexigrove.operators import sections as N
 from lexigrove.operators import semantic as T
 from lexigrove.sources import html as H
+from lexigrove.sources import npy
 from lexigrove.sources import tables as S
-from lexigrove.sources.shared import spread
+from lexigrove.sources.shared import shared_dir, spread
 from lexigrove.sources.tables import table
 
 
@@ -92,6 +96,26 @@ def part_duplicates(spark, d):
     return kept.groupBy("doc_id").agg(F.sum("removed.paragraphs").alias("paragraphs"), F.sum("removed.list_items").alias("list_items"), F.md5(whole).alias("digest"))
 
 
+def metadata_clean(spark, d):
+    """A nested record of each document with its white space unified wherever a text stands, and two values of it by path."""
+    words = F.slice(X.tokens(F.col("text")), 1, 3)
+    told = F.struct(
+        F.concat(F.lit("  "), "lang", F.lit(" \t"), "source").alias("title"), F.struct(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit("\n"))).alias("words"), F.col("n_chars").alias("n")).alias("inner"),
+        F.array(F.struct((F.col("n_chars") / 4).alias("quarter"), F.lit(" x  y ").alias("note"))).alias("list"),
+    )
+    made = spread(table(spark, d, "documents")).select("doc_id", F.parse_json(F.to_json(told)).alias("v"))
+    clean = made.withColumn("v", M.each_string(M.single_spaced)(F.col("v")))
+    return clean.select("doc_id", F.to_json("v").alias("record"), M.filled(F.col("v"), "$.inner.words[0]").alias("word"), M.filled(F.col("v"), "$.list[0].quarter", "double").alias("quarter"))
+
+
+def npy_checks(spark, d):
+    """Vectors written as NPY files and read again by byte ranges."""
+    path = f"{shared_dir(spark)}/lexigrove/npy-{uuid.uuid4().hex}"
+    npy.register(spark)
+    table(spark, d, "embeddings").select(F.col("embedding").alias("vector")).write.format("npy").mode("append").save(path)
+    return S.vector_checks(spark.read.format("npy").option("rows", 500).load(path), "vector")
+
+
 def sentence_split(spark, d):
     s = X.sentences(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
@@ -306,6 +330,10 @@ ORACLE = {
       gone AS (SELECT doc_id, count(*) FILTER (nth > 1)::BIGINT AS list_items FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos, n) AS nth FROM items) GROUP BY doc_id)
       SELECT doc_id, count(*) FILTER (NOT keep)::BIGINT AS paragraphs, coalesce(any_value(list_items), 0)::BIGINT AS list_items, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS digest
       FROM marked LEFT JOIN gone USING (doc_id) GROUP BY doc_id""",
+    "metadata_clean": f"""WITH m AS (SELECT doc_id, lang || ' ' || source AS title, {_TOK}[1:3] AS w, n_chars, n_chars / 4::DOUBLE AS quarter FROM documents)
+      SELECT doc_id, '{{"inner":{{"n":' || n_chars || ',"words":' || to_json(w) || '}},"list":[{{"note":"x y","quarter":' || CASE WHEN quarter = floor(quarter) THEN quarter::BIGINT::VARCHAR ELSE quarter::VARCHAR END || '}}],"title":"' || title || '"}}' AS record,
+        w[1] AS word, quarter FROM m""",
+    "npy_checks": """SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, max(len(embedding))::BIGINT AS width, 0::BIGINT AS unusable FROM embeddings""",
     "sentence_split": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({_SENT}, chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM documents)
       SELECT doc_id, len(s)::BIGINT AS sentences, md5(array_to_string(s, '|')) AS digest FROM s""",
     "paragraph_split": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({_re(_unix(_T), r"\n[ \t\x0b\f]*\n[ \t\x0b\f\n]*", "chr(1)")}, chr(1)),
