@@ -1,4 +1,4 @@
-"""Text functions as column expressions. All stay in the JVM but for Unicode normalisation."""
+"""Text functions as column expressions. All stay in the JVM but for Unicode normalisation, where a text may need it."""
 
 from __future__ import annotations
 
@@ -122,12 +122,6 @@ def fingerprint(c) -> Column:
     return fingerprint_of(dedup_form(c))
 
 
-def evaluation_form(c) -> Column:
-    """Dashes, quotes and spaces unified, lower case, single spaces; without compatibility folding."""
-    c = F.translate(text_of(c), "‐‑‒–—−‘’‚“”„   ", "------'''\"\"\"   ")
-    return strip(F.regexp_replace(spaced(F.lower(c)), " +", " "))
-
-
 @F.pandas_udf(T.StringType())
 def clean_unicode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility folding, then the fixed replacements, then no control characters but line ends."""
@@ -148,6 +142,21 @@ def fold_compatibility(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Letters of Latin 1 that folding leaves alone are not in this class; all others may change by it.
+_MAY_FOLD = r"[\x{a0}\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\x{10ffff}]"
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility folding (NFKC). Only texts that it may change travel to Python."""
+    return F.coalesce(fold_compatibility(F.when(c.rlike(_MAY_FOLD), c)), c)
+
+
+def evaluation_form(c) -> Column:
+    """Compatibility folding, dashes, quotes and spaces unified, lower case, single spaces."""
+    c = F.translate(compatible(text_of(c)), "‐‑‒–—−‘’‚“”„   ", "------'''\"\"\"   ")
+    return strip(F.regexp_replace(spaced(F.lower(c)), " +", " "))
+
+
 def canonical_filename(c) -> Column:
     return F.lower(F.element_at(F.split(F.replace(text_of(c), F.lit("\\"), F.lit("/")), "/"), -1))
 
@@ -163,7 +172,7 @@ def index_terms(c) -> Column:
 
 def query_terms(c) -> Column:
     """Distinct terms of a question in order, without stop words unless there is nothing else."""
-    found = F.regexp_extract_all(F.lower(strip(text_of(c))), F.lit(r"([A-Za-z0-9][A-Za-z0-9_-]*)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(strip(compatible(text_of(c)))), F.lit(r"([A-Za-z0-9][A-Za-z0-9_-]*)"), F.lit(1))
     kept = F.filter(found, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) >= 2))
     return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(found))
 

@@ -330,6 +330,7 @@ ORACLE = {
       gone AS (SELECT doc_id, count(*) FILTER (nth > 1)::BIGINT AS list_items FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos, n) AS nth FROM items) GROUP BY doc_id)
       SELECT doc_id, count(*) FILTER (NOT keep)::BIGINT AS paragraphs, coalesce(any_value(list_items), 0)::BIGINT AS list_items, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS digest
       FROM marked LEFT JOIN gone USING (doc_id) GROUP BY doc_id""",
+    "evaluation_forms": f"""SELECT doc_id, md5({_strip(_re("lower(translate(" + _T + ", '‐‑‒–—−‘’‚“”„', '------' || repeat(chr(39), 3) || repeat(chr(34), 3)))", _S + "+", "' '"))}) AS digest FROM documents""",
     "metadata_clean": f"""WITH m AS (SELECT doc_id, lang || ' ' || source AS title, {_TOK}[1:3] AS w, n_chars, n_chars / 4::DOUBLE AS quarter FROM documents)
       SELECT doc_id, '{{"inner":{{"n":' || n_chars || ',"words":' || to_json(w) || '}},"list":[{{"note":"x y","quarter":' || CASE WHEN quarter = floor(quarter) THEN quarter::BIGINT::VARCHAR ELSE quarter::VARCHAR END || '}}],"title":"' || title || '"}}' AS record,
         w[1] AS word, quarter FROM m""",
@@ -363,5 +364,5 @@ ORACLE = {
     "vector_checks": """SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, max(len(embedding))::BIGINT AS width,
       count(*) FILTER (embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS unusable FROM embeddings""",
 }
-_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "evaluation_forms", "chunk_recursive", "html_sections", "html_tables", "html_links", "markdown_sections", "clean_sections", "section_report", "page_blocks", "page_chunks")
+_ROWS_ONLY = ("clean_code_lines", "clean_unicode", "chunk_recursive", "html_sections", "html_tables", "html_links", "markdown_sections", "clean_sections", "section_report", "page_blocks", "page_chunks")
 QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in _ROWS_ONLY}

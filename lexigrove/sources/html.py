@@ -249,7 +249,7 @@ def section_text(prefix: str = "") -> Column:
     c = lambda n: F.col(prefix + n)
     joined = lambda rows, sep: F.transform(rows, lambda r: F.array_join(r, sep))
     items = F.transform(c("lists"), lambda one: F.array_join(F.transform(one, lambda x: F.concat(F.lit("- "), x)), "\n"))
-    rows = F.transform(c("tables"), lambda t: F.array_join(joined(F.concat(F.array(t["headers"]), t["rows"]), " | "), "\n"))
+    rows = F.transform(c("tables"), lambda t: F.array_join(joined(F.when(F.size(t["headers"]) > 0, F.concat(F.array(t["headers"]), t["rows"])).otherwise(t["rows"]), " | "), "\n"))
     code = F.transform(c("code"), lambda x: F.concat(F.lit("```"), F.coalesce(x["language"], F.lit("")), F.lit("\n"), x["content"], F.lit("\n```")))
     parts = F.concat(F.array(F.coalesce(c("heading"), F.lit(""))), c("paragraphs"), items, rows, code)
     return F.array_join(F.filter(parts, lambda p: F.trim(p) != ""), "\n\n")
