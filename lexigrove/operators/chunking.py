@@ -17,7 +17,7 @@ from lexigrove.operators.percentiles import percentiles, with_percentiles
 from lexigrove.sources.shared import kept
 
 
-def _starts(length, size: int, overlap: int):
+def starts(length, size: int, overlap: int):
     """0, step, 2 step, ... until a window reaches the end."""
     step = size - overlap
     last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
@@ -54,7 +54,7 @@ def fixed_characters(docs: DataFrame, size: int = 1024, overlap: int = 204, id_c
 def fixed_tokens(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_index, start, token_count, content, chunk_id): windows of white-space tokens."""
     part = lambda w, at: F.struct(at.cast("long").alias("start"), F.slice(w, at + 1, F.lit(size)).alias("part"))
-    parts = X.once(X.tokens(F.col(text_col)), lambda w: F.when(F.size(w) > 0, F.transform(_starts(F.size(w), size, overlap), lambda at: part(w, at))))
+    parts = X.once(X.tokens(F.col(text_col)), lambda w: F.when(F.size(w) > 0, F.transform(starts(F.size(w), size, overlap), lambda at: part(w, at))))
     cut = docs.select(id_col, F.posexplode(parts).alias("chunk_index", "p"))
     cut = cut.select(id_col, F.col("chunk_index").cast("long"), "p.start", F.size("p.part").cast("long").alias("token_count"), F.array_join("p.part", " ").alias("content"))
     identity = F.concat_ws("|", F.col(id_col).cast("string"), F.lit("fixed_size"), F.lit(str(size)), F.lit(str(overlap)), F.col("chunk_index").cast("string"), F.col("content"))

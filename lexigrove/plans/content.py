@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions import metadata as M
 from lexigrove.functions import text as X
 from lexigrove.operators import blocks as B
+from lexigrove.operators import chunkers as H_
 from lexigrove.operators import chunking as C
 from lexigrove.operators import cleaning as K
 from lexigrove.operators import parts as G
@@ -178,6 +181,15 @@ def semantic_units(spark, d):
     return found.select("doc_id", "unit", "tokens", "similarity")
 
 
+def chunk_strategies(spark, d):
+    """Chunkers by name: how many chunks each makes of a document, and a digest of them all."""
+    texts = docs(spark, d)
+    made = [H_.chunk("fixed_size", texts), H_.chunk("fixed-size", texts, size=40, overlap=5, tokens="terms"), H_.chunk("fixed_size", texts.where("doc_id % 10 = 0"), size=300, overlap=0, tokens="characters")]
+    every = reduce(DataFrame.unionByName, [m.withColumn("n", F.lit(n)) for n, m in enumerate(made)])
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "|")
+    return every.groupBy("n", "doc_id").agg(F.count("*").alias("chunks"), F.md5(content).alias("digest"))
+
+
 def chunk_percentile(spark, d):
     """Chunks that break at the largest twentieth of a document's distances."""
     made = T.percentile_chunks(T.as_blocks(docs(spark, d)), T.hash_encoder())
@@ -293,6 +305,12 @@ like_ AS MATERIALIZED (
   SELECT u.*, round((1 + coalesce(p, 0)) / (sqrt(o.q) * sqrt(m.q)), 6) AS similarity
   FROM units u LEFT JOIN len2 m USING (doc_id, unit) LEFT JOIN len2 o ON o.doc_id = u.doc_id AND o.unit + 1 = u.unit LEFT JOIN inner_ i ON i.doc_id = u.doc_id AND i.unit = u.unit)"""
 ORACLE = {
+    "chunk_strategies": f"""WITH t AS (
+        SELECT 0 AS n, doc_id, {_TOK} AS t, 256 AS size, 224 AS step FROM documents
+        UNION ALL SELECT 1, doc_id, regexp_extract_all(strip_accents(lower({_T})), '[\\p{{L}}\\p{{N}}]+'), 40, 35 FROM documents
+        UNION ALL SELECT 2, doc_id, string_split({_T}, ''), 300, 300 FROM documents WHERE doc_id % 10 = 0 AND {_T} <> ''),
+      w AS (SELECT *, unnest(range(0, greatest(ceil((len(t) - size) / step::DOUBLE)::BIGINT, 0) + 1)) AS i FROM t WHERE len(t) > 0)
+      SELECT n, doc_id, count(*) AS chunks, md5(string_agg(CASE WHEN n = 2 THEN array_to_string(t[i * step + 1 : i * step + size], '') ELSE array_to_string(t[i * step + 1 : i * step + size], ' ') END, '|' ORDER BY i)) AS digest FROM w GROUP BY n, doc_id""",
     "semantic_units": f"WITH {_UNITS} SELECT doc_id, unit, tokens, similarity FROM like_",
     "chunk_percentile": f"""WITH {_UNITS}, far AS (SELECT *, round(1 - similarity, 6) AS distance FROM like_),
       lim AS (SELECT doc_id, round(quantile_cont(distance, 0.95), 6) AS most FROM far GROUP BY doc_id),

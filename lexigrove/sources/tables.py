@@ -45,10 +45,14 @@ def extension_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.when(F.col("extension") == "", "[none]").otherwise(F.col("extension")).alias("extension")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("extension")
 
 
-def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines; a broken line fails the read, a blank content fails the check."""
+def read_chunk_lines(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """Chunks from JSON lines; blank lines are passed over, a broken line fails the read, a blank content fails the check,
+    and so does another number of chunks than expected."""
     chunks = spark.read.schema(CHUNK_LINES).option("mode", "FAILFAST").json(path)
-    return chunks.withColumn("page_content", F.when(F.trim("page_content") != "", F.col("page_content")).otherwise(F.raise_error(F.lit("blank chunk"))))
+    chunks = chunks.withColumn("page_content", F.when(strip(text_of("page_content")) != "", F.col("page_content")).otherwise(F.raise_error(F.lit("blank chunk"))))
+    if expected is not None and (found := chunks.agg(F.count("page_content")).first()[0]) != expected:
+        raise ValueError(f"{path} has {found} chunks, not {expected}")
+    return chunks
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -81,8 +85,11 @@ def page_sections(docs: DataFrame, id_col: str, pages_col: str = "pages") -> Dat
 
 
 def read_csv(spark: SparkSession, path: str, *required: str) -> DataFrame:
+    """Rows of a CSV file with a header, with or without a byte-order mark; names and values are stripped, an empty value is
+    null. A required column that is not there fails."""
     df = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    return require_columns(df, *required).select(*[F.trim(F.col(c)).alias(c) for c in df.columns])
+    named = df.toDF(*[c.strip("\ufeff \t") for c in df.columns])
+    return require_columns(named, *required).select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in named.columns])
 
 
 def write_rows(df: DataFrame, path: str, kind: str = "json") -> None:
