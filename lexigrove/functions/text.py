@@ -96,17 +96,26 @@ def boilerplate_form(c) -> Column:
     return F.regexp_replace(c, r"^[ \t\r\n:;,.!?–—|\-]+|[ \t\r\n:;,.!?–—|\-]+$", "")
 
 
-def is_boilerplate_form(form: Column) -> Column:
-    """Of a text in its compared form. Where there are many, keep the form in a column: it is used several times here."""
-    return (form != "") & (form.isin(*BOILERPLATE) | form.rlike(BOILERPLATE_PATTERN))
+def is_boilerplate_form(form: Column, lines: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
+    """Of a text in its compared form: one of the fixed lines and patterns, or of further ones, which match as a whole.
+    Where there are many texts, keep the form in a column: it is used several times here."""
+    every = sorted({*BOILERPLATE, *map(_compared, lines)} - {""})
+    found = form.isin(*every) | form.rlike(BOILERPLATE_PATTERN)
+    for pattern in patterns:
+        found = found | form.rlike(f"^(?:{pattern})$")
+    return (form != "") & found
 
 
-def is_boilerplate(c) -> Column:
-    return is_boilerplate_form(boilerplate_form(c))
+def _compared(line: str) -> str:
+    return " ".join(line.lower().split()).strip(" :;,.!?–—|-")
 
 
-def is_boilerplate_url(c) -> Column:
-    return F.lower(strip(text_of(c))).rlike(BOILERPLATE_URL)
+def is_boilerplate(c, lines: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
+    return is_boilerplate_form(boilerplate_form(c), lines, patterns)
+
+
+def is_boilerplate_url(c, patterns: tuple[str, ...] = ()) -> Column:
+    return F.lower(strip(text_of(c))).rlike("|".join([BOILERPLATE_URL, *patterns]))
 
 
 def dedup_form(c) -> Column:

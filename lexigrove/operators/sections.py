@@ -164,17 +164,27 @@ def clean_whitespace(sections: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def boilerplate_cleaner(lines: tuple[str, ...] = (), patterns: tuple[str, ...] = (), urls: tuple[str, ...] = ()) -> Cleaner:
+    """A cleaner of navigation: the fixed lines, patterns and parts of addresses, and further ones of the caller."""
+    wrong = lambda c: X.is_boilerplate(c, lines, patterns)
+
+    def run(sections: DataFrame, id_col: str) -> DataFrame:
+        kept = sections.where(~wrong("heading")).withColumns(
+            {
+                "paragraphs": F.filter("paragraphs", lambda p: ~wrong(p)), "lists": F.filter(F.transform("lists", lambda one: F.filter(one, lambda x: ~wrong(x))), lambda one: F.size(one) > 0),
+                "links": F.filter("links", lambda a: ~(wrong(a["text"]) | X.is_boilerplate_url(a["url"], urls))),
+            }
+        )
+        return _positions(kept.where(~is_empty()), id_col)
+
+    return run
+
+
 @register("boilerplate")
 def clean_boilerplate(sections: DataFrame, id_col: str) -> DataFrame:
     """Navigation goes: a section under such a heading as a whole, elsewhere paragraphs, items and links. Tables and code
     stay. Sections left empty go."""
-    kept = sections.where(~X.is_boilerplate("heading")).withColumns(
-        {
-            "paragraphs": F.filter("paragraphs", lambda p: ~X.is_boilerplate(p)), "lists": F.filter(F.transform("lists", lambda one: F.filter(one, lambda x: ~X.is_boilerplate(x))), lambda one: F.size(one) > 0),
-            "links": F.filter("links", lambda a: ~(X.is_boilerplate(a["text"]) | X.is_boilerplate_url(a["url"]))),
-        }
-    )
-    return _positions(kept.where(~is_empty()), id_col)
+    return boilerplate_cleaner()(sections, id_col)
 
 
 def first_of(c: Column, form: Callable[[Column], Column]) -> Column:

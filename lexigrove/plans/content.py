@@ -212,7 +212,7 @@ def html_links(spark, d):
 
 
 def html_metadata(spark, d):
-    return H.metadata(table(spark, d, "pages"))
+    return H.metadata(table(spark, d, "pages")).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 def markdown_sections(spark, d):
@@ -378,7 +378,9 @@ ORACLE = {
     "html_metadata": r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1)), '') AS lang,
       nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '') AS title,
       nullif(trim(regexp_extract(html, '(?is)<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)["'']', 1)), '') AS description,
-      nullif(trim(regexp_extract(html, '(?is)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']*)["'']', 1)), '') AS canonical FROM pages""",
+      nullif(trim(regexp_extract(html, '(?is)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']*)["'']', 1)), '') AS canonical,
+      nullif(trim(regexp_extract(html, '(?is)<meta[^>]*name=["'']author["''][^>]*content=["'']([^"'']*)["'']', 1)), '') AS author,
+      array_to_string(list_filter(list_transform(string_split(trim(coalesce(regexp_extract(html, '(?is)<meta[^>]*name=["'']keywords["''][^>]*content=["'']([^"'']*)["'']', 1), '')), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM pages""",
     "vector_checks": """SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, max(len(embedding))::BIGINT AS width,
       count(*) FILTER (embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS unusable FROM embeddings""",
 }

@@ -256,11 +256,12 @@ def section_text(prefix: str = "") -> Column:
 
 
 def metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Language, title, description and canonical address by pattern, without parsing."""
+    """Language, title, description, author, keywords and canonical address by pattern, without parsing."""
     h = F.coalesce(F.col(html_col), F.lit(""))
     found = lambda p: F.nullif(F.trim(F.regexp_extract(h, p, 1)), F.lit(""))
+    named = lambda n: found(rf"(?is)<meta[^>]*name=[\"']{n}[\"'][^>]*content=[\"']([^\"']*)[\"']")
+    words = F.filter(F.transform(F.split(F.coalesce(named("keywords"), F.lit("")), ","), lambda w: F.trim(w)), lambda w: w != "")
     return pages.select(
-        id_col, found(r"(?is)<html[^>]*\blang=[\"']?([A-Za-z-]+)").alias("lang"), found(r"(?is)<title[^>]*>([^<]*)</title>").alias("title"),
-        found(r"(?is)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)[\"']").alias("description"),
-        found(r"(?is)<link[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']*)[\"']").alias("canonical"),
+        id_col, found(r"(?is)<html[^>]*\blang=[\"']?([A-Za-z-]+)").alias("lang"), found(r"(?is)<title[^>]*>([^<]*)</title>").alias("title"), named("description").alias("description"),
+        found(r"(?is)<link[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']*)[\"']").alias("canonical"), named("author").alias("author"), words.alias("keywords"),
     )

@@ -85,3 +85,17 @@ def test_folded_forms(spark):
     assert got == {0: "abc-123", 1: 'fine "x" - y', 2: "1⁄2 cup2", 3: "plain", 4: "", 5: "été œuvre", 6: "a b"}
     asked = dict(df.select("i", F.array_join(X.query_terms(F.col("t")), " ").alias("q")).collect())
     assert (asked[0], asked[1]) == ("abc-123", "fine")
+
+
+def test_navigation_of_ones_own(spark):
+    df = spark.createDataFrame([(t,) for t in ("Edit", "  my  FOOTER :", "page 12 of 30", "page 12 of 30 words", "text")], "t string")
+    got = [r[0] for r in df.where(~X.is_boilerplate("t", ("My footer!",), (r"page \d+ of \d+",))).collect()]
+    assert got == ["page 12 of 30 words", "text"]
+    urls = spark.createDataFrame([("https://a/privacy",), ("https://a/Login",), ("https://a/b",)], "u string")
+    assert [r[0] for r in urls.where(~X.is_boilerplate_url("u", ("/login",))).collect()] == ["https://a/b"]
+
+
+def test_metadata_of_pages(spark):
+    page = """<html lang='fr'><head><title> T </title><meta name="author" content="A. B"><meta name='keywords' content="x, y ,,z"></head></html>"""
+    got = [tuple(r) for r in content.H.metadata(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("page_id").collect()]
+    assert got == [(1, "fr", "T", None, None, "A. B", ["x", "y", "z"]), (2, None, None, None, None, None, [])]
