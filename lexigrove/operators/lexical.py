@@ -12,7 +12,6 @@ whose bound reaches it are scored. Blocks and questions meet by segment; a task
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
-from lexigrove.sources.shared import publish, shared_dir, spread
+from lexigrove.sources.shared import publish, scratch, spread
 
 K1, B = 1.2, 0.75
 FIELDS = ("content", "chunk_id", "source")
@@ -227,7 +226,7 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
     a term that is there has no results. Ties go to the smaller chunk_id.
     """
     spark = questions.sparkSession
-    work = f"{shared_dir(spark)}/lexigrove/bm25-{uuid.uuid4().hex}"
+    work = scratch(spark, "bm25")
     if isinstance(corpus, DataFrame):
         corpus = build_index(corpus, f"{work}/index")
     asked = phrases(questions)

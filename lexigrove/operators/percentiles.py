@@ -7,13 +7,12 @@ each round leaves some out, until they are so few that they can be sorted. No va
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.sources.shared import shared_dir
+from lexigrove.sources.shared import scratch
 
 _SORTED = 5_000  # values of a bracket that are sorted
 _PIVOTS = 500
@@ -30,7 +29,7 @@ def percentiles(rows: DataFrame, values: tuple[str, ...], probabilities: dict[st
     of its own. The driver learns one number a round.
     """
     spark = rows.sparkSession
-    work = f"{shared_dir(spark)}/lexigrove/percentiles-{uuid.uuid4().hex}"
+    work = scratch(spark, "percentiles")
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{work}/{name}")

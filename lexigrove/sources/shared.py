@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -61,8 +62,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+_made: dict[int, list[str]] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for tables that results are read from until `release`."""
+    path = f"{shared_dir(spark)}/lexigrove/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(threading.get_ident(), []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this thread's operators have put under `scratch`, once their results are written elsewhere."""
+    paths = _made.pop(threading.get_ident(), [])
+    for name in paths:
+        fs, path = filesystem(spark, name)
+        fs.delete(path, True)
+    return len(paths)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df, written to a folder of its own in the shared folder and read from there: for what is read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/lexigrove/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

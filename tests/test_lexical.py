@@ -129,3 +129,14 @@ def test_fingerprint_follows_files(spark, tmp_path):
     assert before == shared.fingerprint(spark, path)
     spark.range(5).write.mode("append").parquet(path)
     assert shared.fingerprint(spark, path) != before
+
+
+def test_scratch_is_released(spark):
+    shared.release(spark)
+    rows = shared.kept(spark.range(5), "kept")
+    asked = spark.createDataFrame(ASKED[:2], "query_id long, question string")
+    found = lexical.bm25(spark.createDataFrame([(1, "w1 w2", "s", "en")], KEPT), asked)
+    assert rows.count() == 5 and found.count() == 1
+    assert shared.release(spark) >= 2 and shared.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        rows.count()
