@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.functions.text import evaluation_form, strip, text_of
+
 
 def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Both (document_id, checksum): NEW, MODIFIED, UNCHANGED or MISSING for each document."""
@@ -41,3 +43,27 @@ def alias_scan(aliases: DataFrame, texts: DataFrame) -> DataFrame:
     )
     every = aliases.select("technology").distinct().join(hits, "technology", "left")
     return every.select("technology", F.coalesce("matching", F.lit(0)).alias("matching"), (F.col("matching").isNotNull()).alias("present"), F.coalesce("matched", F.lit("")).alias("matched"), F.coalesce("sources", F.lit("")).alias("sources"))
+
+
+def dataset_rules(items: DataFrame, answerable: int = 30, unanswerable: int = 30) -> DataFrame:
+    """items(id, question, answerable, expected_source, evidence) to (rule, failures): ids and compared questions that stand
+    again, how far the two counts are off, answerable items without source or evidence, and others with either."""
+    blank = lambda c: strip(text_of(c)) == ""
+    can = F.coalesce("answerable", F.lit(False))
+    form = items.select("*", evaluation_form("question").alias("form"))
+    told = form.agg(
+        (F.count("*") - F.count_distinct("id")).alias("unique_ids"), (F.count("*") - F.count_distinct("form")).alias("unique_questions"), F.count_if(F.col("form") == "").alias("filled_questions"),
+        F.abs(F.count_if(can) - answerable).alias("answerable_count"), F.abs(F.count_if(~can) - unanswerable).alias("unanswerable_count"),
+        F.count_if(can & (blank("expected_source") | blank("evidence"))).alias("answerable_has_evidence"), F.count_if(~can & ~(blank("expected_source") & blank("evidence"))).alias("unanswerable_has_none"),
+    )
+    return told.unpivot([], told.columns, "rule", "failures")
+
+
+def file_checks(wanted: DataFrame, files: DataFrame, supported: tuple[str, ...]) -> DataFrame:
+    """wanted(path), files(path, size) as a listing has them: (path, problem), in order of the lower-case path. A problem is
+    `missing`, `unsupported` ending, `empty`, or null."""
+    ending = F.concat(F.lit("."), F.regexp_extract(F.lower("path"), r"\.([^./]+)$", 1))
+    held = wanted.select("path").join(files.select("path", "size"), "path", "left")
+    endings = [f".{e.strip().lower().lstrip('.')}" for e in supported]
+    problem = F.when(F.col("size").isNull(), "missing").when(~ending.isin(*endings), "unsupported").when(F.col("size") == 0, "empty")
+    return held.select("path", problem.alias("problem")).orderBy(F.lower("path"), "path")

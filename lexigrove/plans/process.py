@@ -109,6 +109,16 @@ def _snapshots(spark, d):
     return old, new
 
 
+def dataset_rules(spark, d):
+    """The rules of a question set, on passages as questions: every second one is answerable, some lack what they need."""
+    words = F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " ")
+    even = F.col("item_id") % 2 == 0
+    items = table(spark, d, "benchmark").select(
+        (F.col("item_id") - F.col("item_id") % 7).alias("id"), words.alias("question"), even.alias("answerable"), F.when(even & (F.col("item_id") % 5 > 0), "a.md").alias("expected_source"), F.when(F.col("item_id") % 3 > 0, F.col("text")).otherwise(" ").alias("evidence")
+    )
+    return M.dataset_rules(items)
+
+
 def manifest_merge(spark, d):
     return M.merge(*_snapshots(spark, d))
 
@@ -254,6 +264,10 @@ ORACLE = {
         f"{_CTX}, {_GATE}",
     ),
     "manifest_merge": f"{_SNAP} SELECT * FROM m",
+    "dataset_rules": f"""WITH i AS (SELECT item_id, item_id - item_id % 7 AS id, lower(array_to_string({_TOK}[1:3], ' ')) AS q, item_id % 2 = 0 AS a, item_id % 2 = 0 AND item_id % 5 > 0 AS s, item_id % 3 > 0 AND trim(text) <> '' AS e FROM benchmark),
+      r AS (SELECT count(*) - count(DISTINCT id) AS unique_ids, count(*) - count(DISTINCT q) AS unique_questions, count(*) FILTER (q = '') AS filled_questions, abs(count(*) FILTER (a) - 30) AS answerable_count, abs(count(*) FILTER (NOT a) - 30) AS unanswerable_count,
+        count(*) FILTER (a AND NOT (s AND e)) AS answerable_has_evidence, count(*) FILTER (NOT a AND (s OR e)) AS unanswerable_has_none FROM i)
+      UNPIVOT r ON COLUMNS(*) INTO NAME rule VALUE failures""",
     "manifest_history": """SELECT doc_id::VARCHAR AS document_id,
       CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS status,
       md5(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS checksum, CASE WHEN doc_id % 11 = 0 THEN 'broken ' || doc_id END AS error_message
