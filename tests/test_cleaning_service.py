@@ -13,11 +13,11 @@ def row(doc, position, heading, paragraphs=(), lists=(), tables=(), code=(), lin
     return (doc, position, heading, 1, [heading] if heading else [], list(paragraphs), [list(x) for x in lists], list(tables), list(code), list(links))
 
 
-ZONES, LINK, CODE = "Azure availability zones improve application resilience.", ("Azure documentation", "https://learn.example/azure"), ("def health_check():\n    return True", "python")
+FACT, LINK, CODE = "Two bridges cross the old river.", ("Town map", "https://maps.example/town"), ("def crossed(x):\n    return x", "python")
 REPEATS = [
-    row("d", 0, "Availability", [ZONES, ZONES, ZONES.replace(" ", "   ", 1), "Monitor application health."], [["Use availability zones", "Use availability zones", "Configure monitoring"]],
-        [(["Service", "SLA"], [["Virtual Machines", "99.99%"], ["Virtual Machines", "99.99%"], ["App Service", "99.95%"]])], [CODE, CODE], [LINK, LINK]),
-    row("d", 1, "Monitoring", ["Monitor application health.", "Configure alerts for failures."]), row("d", 2, "Monitoring", ["Configure alerts for failures."]),
+    row("d", 0, "Bridges", [FACT, FACT, FACT.replace(" ", "   ", 1), "Look at the tide."], [["Take the ferry", "Take the ferry", "Mind the gap"]],
+        [(["Line", "Stops"], [["North", "12"], ["North", "12"], ["South", "9"]])], [CODE, CODE], [LINK, LINK]),
+    row("d", 1, "Tides", ["Look at the tide.", "Boats leave at noon."]), row("d", 2, "Tides", ["Boats leave at noon."]),
 ]
 
 
@@ -26,9 +26,9 @@ def test_duplicates_over_a_document(spark):
     removed = parts.drop_repeated_parts(df, "doc_id").selectExpr("sum(removed.paragraphs) p", "sum(removed.list_items) l", "sum(removed.table_rows) t", "sum(removed.code_blocks) c", "sum(removed.links) a").first()
     assert tuple(removed) == (4, 1, 1, 1, 1)
     got = sections.clean(df, "doc_id", ("document duplicates",)).orderBy("position").collect()
-    assert [r["heading"] for r in got] == ["Availability", "Monitoring"]  # the sixth count: a section left without content
-    assert got[0]["paragraphs"] == [ZONES, "Monitor application health."] and got[1]["paragraphs"] == ["Configure alerts for failures."]
-    assert got[0]["lists"] == [["Use availability zones", "Configure monitoring"]] and got[0]["tables"][0]["rows"] == [["Virtual Machines", "99.99%"], ["App Service", "99.95%"]]
+    assert [r["heading"] for r in got] == ["Bridges", "Tides"]  # the sixth count: a section left without content
+    assert got[0]["paragraphs"] == [FACT, "Look at the tide."] and got[1]["paragraphs"] == ["Boats leave at noon."]
+    assert got[0]["lists"] == [["Take the ferry", "Mind the gap"]] and got[0]["tables"][0]["rows"] == [["North", "12"], ["South", "9"]]
     assert [tuple(x) for x in got[0]["code"]] == [CODE] and [tuple(x) for x in got[0]["links"]] == [LINK]
     local = sections.clean(df, "doc_id", ("duplicate",)).orderBy("position").collect()
     assert [len(r["paragraphs"]) for r in local] == [2, 2, 1]
@@ -47,8 +47,8 @@ def test_scopes(spark, scope):
 
 
 PIPELINE = [
-    row("one", 0, "Reliability–principles", ["“Azure”  workloads must remain available…", "Azure workloads must\xa0remain available...", "Use availability zones.", "Use  availability zones.", "Edit this page"], [["Configure monitoring", "configure  monitoring", "Print"]], links=[("Azure documentation", "https://x.example/a"), ("Feedback", "https://x.example/feedback")]),
-    row("one", 1, "Table of contents", ["gone"]), row("one", 2, "Monitoring", ["Configure monitoring​ for critical services."]),
+    row("one", 0, "Harbour–rules", ["“Boats”  wait for the signal…", "Boats wait for\xa0the signal...", "Sound the horn.", "Sound  the horn.", "Edit this page"], [["Watch the lamp", "watch  the lamp", "Print"]], links=[("Harbour map", "https://x.example/a"), ("Feedback", "https://x.example/feedback")]),
+    row("one", 1, "Table of contents", ["gone"]), row("one", 2, "Lamps", ["Green means​ go on."]),
     row("two", 0, "Broken", ["this one breaks"]), row("two", 1, "Fine", ["kept out with it"]), row("three", 0, "Whole", ["text"]),
 ]
 
@@ -71,10 +71,10 @@ def test_service(spark, breaking):
     df = spark.createDataFrame(PIPELINE, SHAPE)
     got = sections.clean_service(df, "doc_id", breaking)
     rows = got.sections.where("doc_id = 'one'").orderBy("position").collect()
-    assert [r["heading"] for r in rows] == ["Reliability-principles", "Monitoring"]
-    assert rows[0]["paragraphs"] == ['"Azure" workloads must remain available...', "Azure workloads must remain available...", "Use availability zones."]
-    assert rows[0]["lists"] == [["Configure monitoring"]] and [x["text"] for x in rows[0]["links"]] == ["Azure documentation"]
-    assert rows[1]["paragraphs"] == ["Configure monitoring for critical services."]
+    assert [r["heading"] for r in rows] == ["Harbour-rules", "Lamps"]
+    assert rows[0]["paragraphs"] == ['"Boats" wait for the signal...', "Boats wait for the signal...", "Sound the horn."]
+    assert rows[0]["lists"] == [["Watch the lamp"]] and [x["text"] for x in rows[0]["links"]] == ["Harbour map"]
+    assert rows[1]["paragraphs"] == ["Green means go on."]
     told = {r["doc_id"]: r for r in got.results.collect()}
     assert {k: r["ok"] for k, r in told.items()} == {"one": True, "two": False, "three": True}
     assert told["two"]["document"] is None and told["two"]["error"] == "breaking: KeyError: 'no such thing'" and told["one"]["error"] is None

@@ -11,7 +11,7 @@ from lexigrove.operators import conversation
 from lexigrove.operators.prompts import REFUSALS
 
 LIMIT = 120
-CLOUD = "What is cloud computing?"
+TIDE = "What moves the tide?"
 
 
 def planned(spark, rows, rewrites=None):
@@ -22,17 +22,17 @@ def planned(spark, rows, rewrites=None):
 
 def test_routes_and_rewrites(spark):
     rows = [
-        ("greeting", 0, "user", "bonjour", "auto"), ("followup", 0, "user", CLOUD, None), ("followup", 1, "assistant", "An answer.", None), ("followup", 2, "user", "more explanation", None),
-        ("fr", 0, "user", "Qu'est-ce que le cloud computing ?", "auto"), ("ar", 0, "user", "ما هي الحوسبة السحابية؟", "AUTO "), ("manual", 0, "user", CLOUD, "fr"), ("odd", 0, "user", CLOUD, "xx"),
-        ("plain", 0, "user", CLOUD, None), ("plain", 1, "assistant", "x", None), ("plain", 2, "user", "why?", None), ("long", 0, "user", "the first one", None), *[("long", i, "assistant", "x", None) for i in range(1, 14)], ("long", 14, "user", "why?", None), ("empty", 0, "user", None, None),
+        ("greeting", 0, "user", "bonjour", "auto"), ("followup", 0, "user", TIDE, None), ("followup", 1, "assistant", "An answer.", None), ("followup", 2, "user", "more of this", None),
+        ("fr", 0, "user", "Qu'est-ce que la marée ?", "auto"), ("ar", 0, "user", "ما هو المد والجزر؟", "AUTO "), ("manual", 0, "user", TIDE, "fr"), ("odd", 0, "user", TIDE, "xx"),
+        ("plain", 0, "user", TIDE, None), ("plain", 1, "assistant", "x", None), ("plain", 2, "user", "why?", None), ("long", 0, "user", "the first one", None), *[("long", i, "assistant", "x", None) for i in range(1, 14)], ("long", 14, "user", "why?", None), ("empty", 0, "user", None, None),
     ]
-    rewrites = [("followup", 2, "Explain cloud computing in more detail."), ("fr", 0, f'"{CLOUD}"'), ("ar", 0, CLOUD), ("plain", 2, "Answer: it is"), ("manual", 0, "not asked for")]
+    rewrites = [("followup", 2, "Say more of what moves the tide."), ("fr", 0, f'"{TIDE}"'), ("ar", 0, TIDE), ("plain", 2, "Answer: it is"), ("manual", 0, "not asked for")]
     got = planned(spark, rows, rewrites)
     assert (got["greeting", 0]["intent"], got["greeting", 0]["question"], got["greeting", 0]["language"]) == ("GREETING", None, "fr")
-    assert (got["followup", 2]["intent"], got["followup", 2]["rewritten"], got["followup", 2]["question"]) == ("FOLLOW_UP", *["Explain cloud computing in more detail."] * 2)
-    assert [(got[k, 0]["reply_language"], got[k, 0]["rewritten"]) for k in ("fr", "ar")] == [("fr", CLOUD), ("ar", CLOUD)]
-    assert (got["manual", 0]["reply_language"], got["manual", 0]["rewritten"], got["manual", 0]["question"]) == ("fr", None, CLOUD) and got["odd", 0]["reply_language"] == "en"
-    assert got["plain", 2]["question"] == f"Regarding '{CLOUD}': why?"  # the model's output was an answer
+    assert (got["followup", 2]["intent"], got["followup", 2]["rewritten"], got["followup", 2]["question"]) == ("FOLLOW_UP", *["Say more of what moves the tide."] * 2)
+    assert [(got[k, 0]["reply_language"], got[k, 0]["rewritten"]) for k in ("fr", "ar")] == [("fr", TIDE), ("ar", TIDE)]
+    assert (got["manual", 0]["reply_language"], got["manual", 0]["rewritten"], got["manual", 0]["question"]) == ("fr", None, TIDE) and got["odd", 0]["reply_language"] == "en"
+    assert got["plain", 2]["question"] == f"Regarding '{TIDE}': why?"  # the model's output was an answer
     assert got["long", 14]["question"] == "why?"  # the user's last message has been forgotten
     assert (got["empty", 0]["intent"], got["empty", 0]["question"]) == ("KNOWLEDGE_QUERY", "")
     assert len(got) == 12  # the user.s messages only
@@ -40,7 +40,7 @@ def test_routes_and_rewrites(spark):
 
 def test_ways_to_end(spark):
     kinds = ("greet", "rejected", "unknown", "off", "failed", "bad", "bare", "good")
-    rows = [(k, 0, "user", "hello" if k == "greet" else "Quel est le cloud, ça ?" if k == "bad" else CLOUD) for k in kinds]
+    rows = [(k, 0, "user", "hello" if k == "greet" else "Quel est le courant, ça ?" if k == "bad" else TIDE) for k in kinds]
     plan = conversation.plan(conversation.with_history(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")))
     gated = spark.createDataFrame([(f"{k}:0", k != "rejected", "margin" if k == "rejected" else "") for k in kinds if k not in ("greet", "unknown")], "query_id string, accepted boolean, failed_rules string")
     allowed = spark.createDataFrame([(f"{k}:0", ["[a.md:1]"]) for k in kinds], "query_id string, allowed array<string>")
@@ -54,7 +54,7 @@ def test_ways_to_end(spark):
     assert got["greet"]["answer"] == GREETING_REPLY["en"] and got["bad"]["answer"] == REFUSALS["fr"] and got["rejected"]["answer"] == REFUSALS["en"] and got["off"]["answer"] == conversation.DISABLED
     assert got["good"]["answer"] == answers["good"] and got["rejected"]["failed_rules"] == "margin"
     kept = [(r["turn"], r["role"], r["text"]) for r in conversation.remembered(conversation.respond(plan, gated, allowed, given)).where("conv_id = 'good'").orderBy("turn").collect()]
-    assert kept == [(0, "user", CLOUD), (1, "assistant", answers["good"])]
+    assert kept == [(0, "user", TIDE), (1, "assistant", answers["good"])]
 
 
 @pytest.fixture

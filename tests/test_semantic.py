@@ -9,7 +9,7 @@ from lexigrove.operators import semantic
 from lexigrove.operators.retrieval import hyde_texts
 
 BLOCKS = "doc_id string, block_index long, block_type string, text string"
-SUBJECTS = (("reliability", "availability", "zone", "failure", "redundancy"), ("billing", "cost", "invoice", "price", "budget"))
+SUBJECTS = (("river", "bridge", "zone", "harbour", "flood"), ("tax", "cost", "rent", "price", "loan"))
 
 
 def keywords():
@@ -22,21 +22,21 @@ def chunks(spark, rows, make=keywords, **settings):
 
 
 TWO = [
-    ("d", 0, "heading", "Azure reliability"), ("d", 1, "paragraph", "Availability zones improve reliability. Redundancy protects applications during failures."),
-    ("d", 2, "heading", "Cost management"), ("d", 3, "paragraph", "Billing reports show monthly cloud costs. Budgets help teams control invoices."),
+    ("d", 0, "heading", "River works"), ("d", 1, "paragraph", "The harbour lies behind a bridge. A wall keeps the flood from old warehouses."),
+    ("d", 2, "heading", "Rent and tax"), ("d", 3, "paragraph", "Each loan has a price of its own. Taxes rise with the cost of land."),
 ]
 
 
 def test_a_chunk_ends_where_the_subject_turns(spark):
     got = chunks(spark, TWO, size=30, overlap=3, least=1)
     assert [r["boundary"] for r in got] == ["semantic_threshold", "document_end"]
-    assert "reliability" in got[0]["content"].lower() and "billing" in got[1]["content"].lower()
-    assert got[1]["content"].startswith("applications during failures. Cost management") and got[1]["overlap_tokens"] == 3
+    assert "harbour" in got[0]["content"].lower() and "loan" in got[1]["content"].lower()
+    assert got[1]["content"].startswith("from old warehouses. Rent and tax") and got[1]["overlap_tokens"] == 3
     assert [(r["first_unit"], r["last_unit"], r["least_similarity"]) for r in got] == [(0, 2, 1.0), (3, 5, 1.0)]
 
 
 def test_sizes(spark):
-    text = " ".join(f"reliability_{i}" for i in range(27))
+    text = " ".join(f"river_{i}" for i in range(27))
     got = chunks(spark, [("a", 0, "paragraph", text), ("b", 0, "code", "x. y. z. " * 9)], size=10, overlap=0, least=1)
     assert [(r["doc_id"], r["token_count"], r["boundary"]) for r in got] == [("a", 10, "chunk_size"), ("a", 10, "chunk_size"), ("a", 7, "document_end"), ("b", 10, "chunk_size"), ("b", 10, "chunk_size"), ("b", 7, "document_end")]
     assert " ".join(r["content"] for r in got if r["doc_id"] == "a") == text
