@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from lexigrove.functions import text as X
 from lexigrove.operators.percentiles import percentiles, with_percentiles
-from lexigrove.sources.shared import kept
+from lexigrove.sources.shared import kept, small_batches
 
 
 def starts(length, size: int, overlap: int):
@@ -32,6 +31,7 @@ def fixed_characters(docs: DataFrame, size: int = 1024, overlap: int = 204, id_c
     src = docs.select(F.col(id_col).alias("id"), X.text_of(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     kind = StructType([StructField("id", src.schema["id"].dataType), *StructType.fromDDL("chunk_index long, start long, content string"), *[src.schema[f"c{i}"] for i in range(len(carry))]])
     to = to_arrow_schema(kind)
+    small_batches(docs.sparkSession)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +128,21 @@ def pack(parts: list[str], size: int, overlap: int, breaks: list[bool] | None =
 
 
 def _by_document(docs: DataFrame, make, id_col: str, text_col: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(i, n, len(c.split()), why, c) for i, t in zip(pdf[id_col], pdf[text_col]) for n, (c, why) in enumerate(make(t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "token_count", "boundary", "content"])
+    small_batches(docs.sparkSession)
+    shape = StructType([docs.schema[id_col], *StructType.fromDDL("chunk_index long, token_count long, boundary string, content string")])
+    to = to_arrow_schema(shape)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, chunk_index long, token_count long, boundary string, content string").withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                out += ((key, n, len(c.split()), why, c) for n, (c, why) in enumerate(make(batch.column(1)[i].as_py() or "")))
+                if len(out) >= 1000 or out and i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+                    out = []
+
+    return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
 def recursive(docs: DataFrame, size: int = 128, overlap: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,6 @@ A row has an id, position, heading, level, heading_path, paragraphs, lists, tabl
 
 from __future__ import annotations
 
-import copy
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,12 +20,13 @@ from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
 from lexigrove.operators import parts
-from lexigrove.sources.shared import kept
+from lexigrove.sources.shared import kept, small_batches
 
 Cleaner = Callable[[DataFrame, str], DataFrame]
 #: Fixed value: the order in which the default pipeline cleans.
 DEFAULT = ("unicode", "whitespace", "boilerplate", "duplicate")
 _CLEANERS: dict[str, Cleaner] = {}
+_ROWS = 200  # sections that are held as Python objects at once
 
 
 def normal_name(name: str) -> str:
@@ -84,18 +84,31 @@ class Function:
         shape = StructType([*sections.schema.fields]).add("error", StringType())
         to = to_arrow_schema(shape)
         name, fn = self.name, self.fn
+        small_batches(sections.sparkSession)
+
+        def row_of(held: pa.RecordBatch, i: int) -> dict:
+            return held.slice(i, 1).to_pylist()[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
+                for at in range(0, batch.num_rows, _ROWS):
+                    held, out = batch.slice(at, _ROWS), []
+                    for i, row in enumerate(held.to_pylist()):
+                        try:
+                            made = fn(row) | {"error": None}
+                        except Exception as e:  # any document may break any cleaner, and the others go on
+                            made = row_of(held, i) | {"error": f"{name}: {type(e).__name__}: {e}"}
+                        out.append(made)
                     try:
-                        made = fn(copy.deepcopy(row)) | {"error": None}
-                        pa.RecordBatch.from_pylist([made], schema=to)  # a row of another form is an error of this row alone
-                    except Exception as e:  # any document may break any cleaner, and the others go on
-                        made = row | {"error": f"{name}: {type(e).__name__}: {e}"}
-                    out.append(made)
-                yield pa.RecordBatch.from_pylist(out, schema=to)
+                        told = pa.RecordBatch.from_pylist(out, schema=to)
+                    except Exception:  # a row of another form is an error of this row alone
+                        for i, made in enumerate(out):
+                            try:
+                                pa.RecordBatch.from_pylist([made], schema=to)
+                            except Exception as e:
+                                out[i] = row_of(held, i) | {"error": f"{name}: {type(e).__name__}: {e}"}
+                        told = pa.RecordBatch.from_pylist(out, schema=to)
+                    yield told
 
         return sections.mapInArrow(run, shape)
 
@@ -123,7 +136,7 @@ def unregister(name: str) -> None:
 def fold(text: str, keep: str = "\n\r") -> str:
     """Compatibility folding, the fixed replacements, and no control characters but those to keep."""
     text = unicodedata.normalize("NFKC", text).translate({ord(c): to for chars, to in X.REPLACED for c in chars})
-    return "".join(c for c in text if c in keep or unicodedata.category(c)[0] != "C")
+    return text if text.isprintable() else "".join(c for c in text if c in keep or unicodedata.category(c)[0] != "C")
 
 
 @register_function("unicode", "unicode normalizer")

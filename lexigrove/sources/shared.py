@@ -56,12 +56,35 @@ def publish(spark: SparkSession, name: str, write: Callable[[str], None]) -> Non
         fs.delete(source, True)
 
 
+_PARTITION = 16 << 20  # bytes of files that a task reads
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, 0 where it reads none."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = (jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)) for name in df.inputFiles())
+    return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as the cluster runs tasks at once: a table of a few files is dealt out."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+    """df in at least as many partitions as the cluster runs tasks at once, and with at most about `_PARTITION` bytes of its
+    files in each: a table of a few files is dealt out, and a task's work does not grow with the table."""
+    want = max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // _PARTITION))
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+_BATCH = 500  # rows that Python gets at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of `_BATCH`, where the session has Spark's default of 10 000: rows here are whole texts,
+    postings and vectors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, _BATCH)
+
+
 _made: dict[int, list[str]] = {}
 
 
