@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
-from lexigrove.sources.shared import publish, scratch, spread
+from lexigrove.sources.shared import publish, scratch, small_batches, spread
 
 K1, B = 1.2, 0.75
 FIELDS = ("content", "chunk_id", "source")
@@ -126,6 +126,7 @@ def build_index(corpus: DataFrame, path: str) -> Index:
     """corpus(chunk_id, content, source), tokenised once where it is read; nothing is shuffled. The index appears at path
     when it is whole: one that another session has put there meanwhile is kept. Its chunks are counted against the corpus's."""
     spark = corpus.sparkSession
+    small_batches(spark)
     kind = corpus.schema["chunk_id"].dataType.simpleString()
     read = spread(corpus).select(F.col("chunk_id").alias("id"), *[X.index_terms(F.col(c).cast("string")).alias(f"f{i}") for i, c in enumerate(FIELDS)])
     shape = f"segment long, term string, n long, total long, tops array<struct<tf:int,length:long>>, at array<int>, tf array<int>, places array<long>, ids array<{kind}>, lengths array<long>"
@@ -226,6 +227,7 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
     a term that is there has no results. Ties go to the smaller chunk_id.
     """
     spark = questions.sparkSession
+    small_batches(spark)
     work = scratch(spark, "bm25")
     if isinstance(corpus, DataFrame):
         corpus = build_index(corpus, f"{work}/index")

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
 from lexigrove.operators.lexical import Index, bm25, build_index  # noqa: F401 - both engines are to be had here
+from lexigrove.sources.shared import small_batches
 
 def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     """The best `top` of each query, numbered from 1."""
@@ -81,6 +82,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, top: int = 10, keep: Column |
         chunks = chunks.where(keep)
     chunks, queries = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")), queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
     many, width = check_questions(queries)
+    small_batches(queries.sparkSession)
     name = "cosine_similarity" if measure == "cosine" else "inner_product"
     shape = StructType([queries.schema["query_id"], chunks.schema["chunk_id"], *StructType.fromDDL(f"{name} double")])
     to = to_arrow_schema(shape)

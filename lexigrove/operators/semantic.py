@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,16 @@ from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
 from lexigrove.functions.vectors import dot
+from lexigrove.sources.shared import small_batches
 
 Encoder = Callable[[list[str]], np.ndarray]
 Maker = Callable[[], Encoder]
 
 
 @lru_cache(100_000)
-def _place(term: str, width: int) -> tuple[int, float]:
-    h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
-    return h % width, 1.0 if h >> 16 & 1 else -1.0
+def _place(term: str) -> int:
+    """32 bits of a term's checksum: the lower ones say where it counts, and one whether up or down."""
+    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big")
 
 
 def hash_encoder(width: int = 64) -> Maker:
@@ -42,12 +44,12 @@ def hash_encoder(width: int = 64) -> Maker:
 
     def make() -> Encoder:
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), width + 1))
+            terms = [word.findall(t.lower() if t.isascii() else t.lower().translate(folded)) for t in texts]
+            sizes = np.array([len(t) for t in terms], np.int64)
+            h = np.fromiter(map(_place, chain.from_iterable(terms)), np.int64, int(sizes.sum()))
+            cells = np.repeat(np.arange(len(texts)), sizes) * (width + 1) + h % width
+            out = np.bincount(cells, np.where(h >> 16 & 1, 1.0, -1.0), len(texts) * (width + 1)).reshape(len(texts), width + 1)
             out[:, width] = 1.0
-            for i, text in enumerate(texts):
-                for term in word.findall(text.lower().translate(folded)):
-                    at, sign = _place(term, width)
-                    out[i, at] += sign
             return out
 
         return encode
@@ -68,23 +70,30 @@ def checked(vectors: np.ndarray, rows: int, dimension: int | None) -> np.ndarray
     return x / length
 
 
+def _vectors(column: pa.Array, encoder: Encoder, dimension: int | None, batch: int, prefix: str) -> Iterator[np.ndarray]:
+    """The checked vectors of a column of texts, `batch` texts at a time."""
+    for at in range(0, len(column), batch):
+        texts = [(t or "").strip() for t in column.slice(at, batch).to_pylist()]
+        if not all(texts):
+            raise ValueError("an empty text can't be encoded")
+        yield checked(encoder([prefix + t for t in texts]), len(texts), dimension)
+
+
 def encode(rows: DataFrame, text_col: str, make: Maker, out_col: str = "vector", dimension: int | None = None, batch: int = 32, prefix: str = "") -> DataFrame:
     """rows with the vector of each text, `batch` texts at a time; texts are stripped and take the prefix. An empty one fails."""
     shape = StructType([*rows.schema.fields]).add(out_col, ArrayType(DoubleType()))
     to = to_arrow_schema(shape)
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for part in batches:
             encoder = encoder or make()
-            for at in range(0, part.num_rows, batch):
-                held = part.slice(at, batch)
-                texts = [(t or "").strip() for t in held.column(text_col).to_pylist()]
-                if not all(texts):
-                    raise ValueError("an empty text can't be encoded")
-                x = checked(encoder([prefix + t for t in texts]), len(texts), dimension)
-                vector = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*held.columns, vector], to)], schema=to)
+            found = list(_vectors(part.column(text_col), encoder, dimension, batch, prefix))
+            if found:
+                ends = np.cumsum([0, *(x.shape[1] for x in found for _ in range(len(x)))])
+                vector = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x.ravel() for x in found])))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns, vector], to)], schema=to)
 
     return rows.mapInArrow(run, shape)
 
@@ -100,11 +109,13 @@ def units(blocks: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
     text = X.text_of("text")
     cut = blocks.select(id_col, "block_index", F.posexplode(F.when(whole, F.array(X.strip(text))).otherwise(X.sentences(text))).alias("s", "sentence"))
     windows = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), " "))
-    many = X.token_count("sentence")
-    parts = F.when(many > size, X.once(X.tokens(F.col("sentence")), windows)).when(many > 0, F.array(X.strip(F.col("sentence")))).otherwise(F.array().cast("array<string>"))
-    cut = cut.select(id_col, "block_index", "s", F.posexplode(parts).alias("w", "text"))
+    # tokens are counted once, and again only where a sentence is cut
+    cut = cut.withColumn("many", X.token_count("sentence").cast("long"))
+    parts = F.when(F.col("many") > size, X.once(X.tokens(F.col("sentence")), windows)).when(F.col("many") > 0, F.array("sentence")).otherwise(F.array().cast("array<string>"))
+    cut = cut.select(id_col, "block_index", "s", "many", F.posexplode(parts).alias("w", "text"))
+    cut = cut.select(id_col, "block_index", "s", "w", "text", F.when(F.col("many") <= size, F.col("many")).otherwise(X.token_count("text").cast("long")).alias("tokens"))
     order = Window.partitionBy(id_col).orderBy("block_index", "s", "w")
-    return cut.select(id_col, (F.row_number().over(order) - 1).alias("unit"), "block_index", "text", X.token_count("text").cast("long").alias("tokens"))
+    return cut.select(id_col, (F.row_number().over(order) - 1).alias("unit"), "block_index", "text", "tokens")
 
 
 def alike(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -113,6 +124,31 @@ def alike(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return encoded.withColumn("before", before).select(id_col, "unit", "block_index", "text", "tokens", F.when(F.col("before").isNotNull(), F.round(dot(F.col("vector"), F.col("before")), 6)).alias("similarity"))
 
 
+def likened(blocks: DataFrame, size: int, make: Maker, id_col: str = "doc_id", dimension: int | None = None, batch: int = 32) -> DataFrame:
+    """The blocks' units with `similarity` to the unit before, null for a document's first. A document's units come one after
+    the other, in order, and stay where they are: a vector is compared with the one before it where it is made, and only
+    the last of a batch is held."""
+    ready = units(blocks, size, id_col).sortWithinPartitions(id_col, "unit")  # dealt out by document
+    shape = StructType([*ready.schema.fields]).add("similarity", DoubleType())
+    to = to_arrow_schema(shape)
+    small_batches(ready.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = last = None
+        for part in batches:
+            if not part.num_rows:
+                continue
+            encoder = encoder or make()
+            x = np.concatenate(list(_vectors(part.column("text"), encoder, dimension, batch, "")))
+            unit = part.column("unit").to_numpy()
+            before = np.concatenate([x[:1] if last is None else last, x[:-1]])  # a document's first has none
+            like = np.cumsum(x * before, 1)[:, -1]  # summed in order, as dot() does
+            last = x[-1:].copy()
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns, pa.array(like, mask=unit == 0)], to)], schema=to)
+
+    return ready.mapInArrow(run, shape).withColumn("similarity", F.round("similarity", 6))
+
+
 def as_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A document's text as one paragraph."""
     return docs.select(id_col, F.lit(0).cast("long").alias("block_index"), F.lit("paragraph").alias("block_type"), F.col(text_col).alias("text"))
@@ -131,7 +167,7 @@ def semantic_chunks(
     """
     if size < 1 or not 0 <= overlap < size or not -1.0 <= threshold <= 1.0:
         raise ValueError("size must be positive, overlap at least 0 and less than size, threshold between -1 and 1")
-    ready = alike(encode(units(blocks, size, id_col), "text", make, dimension=dimension), id_col).repartition(id_col).sortWithinPartitions(id_col, "unit")
+    ready = likened(blocks, size, make, id_col, dimension)
     shape = StructType([blocks.schema[id_col], *StructType.fromDDL("chunk_index long, token_count long, overlap_tokens long, boundary string, least_similarity double, first_unit long, last_unit long, content string")])
     to = to_arrow_schema(shape)
 
@@ -190,7 +226,7 @@ class _Pack:
 def percentile_chunks(blocks: DataFrame, make: Maker, percentile: float = 0.95, size: int = 128, id_col: str = "doc_id") -> DataFrame:
     """(id, chunk_index, units, least_similarity, content): chunks without a size of their own. A document breaks where two
     units are further apart than that percentile of its distances; which chunk a unit is in is a running sum of breaks."""
-    ready = alike(encode(units(blocks, size, id_col), "text", make), id_col).withColumn("distance", F.round(1 - F.col("similarity"), 6))
+    ready = likened(blocks, size, make, id_col).withColumn("distance", F.round(1 - F.col("similarity"), 6))
     doc = Window.partitionBy(id_col)
     limit = ready.withColumn("limit", F.round(F.percentile("distance", percentile).over(doc), 6))  # a document's units
     broken = limit.withColumn("turn", F.coalesce(F.col("distance") > F.col("limit"), F.lit(False)))

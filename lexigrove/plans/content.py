@@ -177,7 +177,7 @@ def chunk_semantic(spark, d):
 
 def semantic_units(spark, d):
     """Sentences with their likeness to the one before."""
-    found = T.alike(T.encode(T.units(T.as_blocks(docs(spark, d)), 128), "text", T.hash_encoder()))
+    found = T.likened(T.as_blocks(docs(spark, d)), 128, T.hash_encoder())
     return found.select("doc_id", "unit", "tokens", "similarity")
 
 

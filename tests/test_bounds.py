@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexigrove.operators import sections as N
+from lexigrove.operators import semantic as T
 from lexigrove.sources import html as H
 from lexigrove.sources import shared
 
@@ -39,3 +42,13 @@ def test_one_row_of_another_form_fails_alone(spark, default_batches):
     told = N.Function("odd", lambda row: row | {"paragraphs": 7, "heading": "x"} if row["page_id"] == 250 else row).told(H.sections(pages, "page_id", "html"))
     wrong = told.where("error is not null").collect()
     assert [(r.page_id, r.heading, r.paragraphs) for r in wrong] == [(250, "H250", ["a"])] and told.count() == 300
+
+
+def test_vectors_of_units_do_not_leave_python(spark, default_batches):
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, int(id) * 40), i -> concat('Word', i % 7, ' x', i % 5, '.')), ' ')").alias("text"))
+    blocks = T.as_blocks(texts.union(spark.createDataFrame([(99, None), (98, "É a. b")], "doc_id long, text string")))
+    made = T.likened(blocks, 4, T.hash_encoder())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "vector" not in plan
+    want = T.alike(T.encode(T.units(blocks, 4), "text", T.hash_encoder()))
+    assert sorted(made.collect(), key=repr) == sorted(want.select(made.columns).collect(), key=repr)
