@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from lexigrove.functions import text as X
 from lexigrove.operators.lexical import Index, bm25, build_index  # noqa: F401 - both engines are to be had here
-from lexigrove.sources.shared import small_batches
+from lexigrove.sources.shared import kept, small_batches
 
 def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     """The best `top` of each query, numbered from 1."""
@@ -152,9 +152,17 @@ def lexical_share(question: Column, content: Column) -> Column:
     return X.divide(F.size(F.array_intersect(ask, X.index_terms(content))), F.size(ask))
 
 
+def named(results: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """results, saved, and the rows of the corpus that they name: where these are few, Spark sees it from the saved table's
+    size, and texts that nothing asks for are passed over where they are read, not shuffled."""
+    results = kept(results, "results")
+    return results, corpus.join(results.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
 def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, top: int = 5, scorer: Callable[[Column, Column], Column] = lexical_share) -> DataFrame:
     """Candidates in the order of scorer(question, content), which may be a pandas UDF over a model; a score that is no
     finite number fails."""
+    candidates, corpus = named(candidates, corpus)
     joined = candidates.withColumnRenamed("rank", "hybrid_rank").join(questions.select("query_id", "question"), "query_id").join(corpus.select("chunk_id", "content"), "chunk_id", "left")
     score = F.coalesce(scorer(F.col("question"), F.col("content")).cast("double"), F.lit(0.0))
     checked = F.when(F.isnan(score) | (F.abs(score) == F.lit(float("inf"))), F.raise_error(F.lit("a reranker's score is not finite"))).otherwise(score)
@@ -169,7 +177,8 @@ def relevance_ranks(results: DataFrame, gold: DataFrame, corpus: DataFrame, leas
     A result's source is relevant if its file is the expected one; its evidence, if besides its content holds the
     gold evidence or at least that share of its terms.
     """
-    held = results.select("query_id", "rank", "chunk_id").join(gold, "query_id").join(corpus.select("chunk_id", "content", "source"), "chunk_id")
+    results, corpus = named(results.select("query_id", "rank", "chunk_id"), corpus)
+    held = results.join(gold, "query_id").join(corpus.select("chunk_id", "content", "source"), "chunk_id")
     same = X.canonical_filename("source") == X.canonical_filename("expected_source")
     terms = F.array_distinct(X.index_terms(F.col("evidence")))
     share = X.divide(F.size(F.array_intersect(terms, X.index_terms(F.col("content")))), F.size(terms))
@@ -189,7 +198,8 @@ def export_candidates(candidates: DataFrame, questions: DataFrame, corpus: DataF
 
 def evidence_rank(results: DataFrame, gold: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, rank): the first result whose content holds the gold evidence, null if none does."""
-    held = results.select("query_id", "rank", "chunk_id").join(gold, "query_id").join(corpus.select("chunk_id", "content"), "chunk_id")
+    results, corpus = named(results.select("query_id", "rank", "chunk_id"), corpus)
+    held = results.join(gold, "query_id").join(corpus.select("chunk_id", "content"), "chunk_id")
     hit = F.contains(X.evaluation_form(F.col("content")), X.evaluation_form(F.col("evidence")))
     found = held.where(hit).groupBy("query_id").agg(F.min("rank").alias("rank"))
     return gold.select("query_id").join(found, "query_id", "left").select("query_id", "rank")

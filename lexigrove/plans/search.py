@@ -14,7 +14,7 @@ from lexigrove.operators import evaluation as E
 from lexigrove.operators import percentiles as P
 from lexigrove.operators import retrieval as R
 from lexigrove.operators import semantic as T
-from lexigrove.sources.shared import exists, fingerprint, kept, shared_dir
+from lexigrove.sources.shared import exists, fingerprint, kept, shared_dir, spread
 from lexigrove.sources.tables import table
 
 
@@ -52,7 +52,7 @@ def query_vectors(spark, d: str) -> DataFrame:
 
 
 def chunks(spark, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def index(spark, d: str) -> R.Index:
@@ -97,13 +97,13 @@ def inner_product_topk(spark, d):
     return R.nearest(chunks(spark, d), query_vectors(spark, d), measure="inner")
 
 
-def _hybrid(spark, d, top=10):
-    return R.fuse(R.nearest(chunks(spark, d), query_vectors(spark, d), 50), R.bm25(index(spark, d), questions(spark, d), 50), top)
+def _hybrid(spark, d, top=10, lexical=None):
+    return R.fuse(R.nearest(chunks(spark, d), query_vectors(spark, d), 50), lexical or R.bm25(index(spark, d), questions(spark, d), 50), top)
 
 
 def _hyde(spark, d, top=10):
     q = questions(spark, d)
-    encoded = T.encode(corpus(spark, d).where(X.strip(X.text_of("content")) != "").select("chunk_id", "content"), "content", T.hash_encoder(), "embedding", 65)
+    encoded = T.encode(spread(corpus(spark, d)).where(X.strip(X.text_of("content")) != "").select("chunk_id", "content"), "content", T.hash_encoder(), "embedding", 65)
     asked = T.embed_questions(R.hyde_texts(q, q.select("query_id", F.col("evidence").alias("hyde_document"))), T.hash_encoder(), 65, prefix="")
     return R.nearest(encoded, asked, top)
 
@@ -122,8 +122,8 @@ def hybrid_rrf(spark, d):
     return _hybrid(spark, d).drop("cosine_similarity", "bm25_score")
 
 
-def _reranked(spark, d):
-    return R.rerank(_hybrid(spark, d, 20), questions(spark, d), corpus(spark, d))
+def _reranked(spark, d, lexical=None):
+    return R.rerank(_hybrid(spark, d, 20, lexical), questions(spark, d), corpus(spark, d))
 
 
 def rerank_topk(spark, d):
@@ -206,8 +206,11 @@ def confidence_gate(spark, d):
 
 
 def _labelled(spark, d):
-    ranks = evidence_rank(spark, d).select("query_id", F.col("rank").isNotNull().alias("expected"))
-    return confidence_features(spark, d).join(ranks, "query_id")
+    """Features and whether evidence is found, from one search."""
+    lexical = kept(R.bm25(index(spark, d), questions(spark, d), 50), "lexical")
+    found = R.evidence_rank(lexical.where("rank <= 10"), questions(spark, d).select("query_id", "evidence"), corpus(spark, d))
+    ranks = found.select("query_id", F.col("rank").isNotNull().alias("expected"))
+    return E.confidence_features(_reranked(spark, d, lexical)).join(ranks, "query_id")
 
 
 def threshold_grid(spark, d):

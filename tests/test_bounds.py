@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from lexigrove.operators import retrieval as R
 from lexigrove.operators import sections as N
 from lexigrove.operators import semantic as T
 from lexigrove.sources import html as H
@@ -52,3 +53,14 @@ def test_vectors_of_units_do_not_leave_python(spark, default_batches):
     assert plan.count("Exchange hashpartitioning") == 1 and "vector" not in plan
     want = T.alike(T.encode(T.units(blocks, 4), "text", T.hash_encoder()))
     assert sorted(made.collect(), key=repr) == sorted(want.select(made.columns).collect(), key=repr)
+
+
+def test_texts_that_no_result_names_are_not_shuffled(spark, tmp_path):
+    spark.range(3000).selectExpr("id as chunk_id", "concat('word', id, ' ', repeat('x', 9000)) as content", "'s' as source").write.parquet(f"{tmp_path}/corpus")
+    corpus = spark.read.parquet(f"{tmp_path}/corpus").union(spark.read.parquet(f"{tmp_path}/corpus").where("false"))
+    results = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 9)], "query_id long, rank long, chunk_id long")
+    kept, texts = R.named(results, corpus)
+    assert sorted(r.chunk_id for r in texts.collect()) == [7, 8, 9] and kept.count() == 3
+    assert "BroadcastHashJoin" in texts._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
+    gold = spark.createDataFrame([(1, "word8 x"), (2, "word1 x")], "query_id long, evidence string")
+    assert {(r.query_id, r.rank) for r in R.evidence_rank(results, gold, corpus).collect()} == {(1, 2), (2, None)}
