@@ -200,24 +200,35 @@ class _Held:
     def block(self, phrase: str, at: np.ndarray, tf: np.ndarray) -> None:
         self.shares[phrase] = at, tf * (K1 + 1) / (tf + self.norm[at])
 
-    def best(self, phrases: list[tuple[str, float]], top: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores, as good as the top-th or better, ties too."""
-        total, hit = np.zeros(len(self.norm)), np.zeros(len(self.norm), bool)
-        for phrase, idf in phrases:
-            if phrase in self.shares:
-                at, share = self.shares[phrase]
-                total[at] += idf * share
-                hit[at] = True
+    def best(self, asks: pa.ListArray, least: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """asks holds the phrases and weights of several questions, least what each has to reach or not a number: for each
+        question with any, its place, and places and scores of chunks as good as its top-th or better, ties too. A
+        phrase's block is added to all questions that have it at once; phrases come in order, so sums are the same in any
+        company."""
+        phrase, idf = asks.flatten().flatten()
+        coded = phrase.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        code, idf = coded.indices.to_numpy(), idf.to_numpy()
+        who = np.repeat(np.arange(len(asks)), np.diff(asks.offsets.to_numpy()))
+        order = np.argsort(code, kind="stable")
+        ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+        total = np.zeros((len(asks), len(self.norm)))
+        for c in sorted((c for c, name in enumerate(names) if name in self.shares), key=names.__getitem__):
+            at, share = self.shares[names[c]]
+            rows = order[ends[c] : ends[c + 1]]
+            total[who[rows][:, None], at] += idf[rows][:, None] * share  # a question has a phrase once
         if self.allowed is not None:
-            hit &= self.allowed
-        at = np.flatnonzero(hit)
-        score = np.round(total[at], 6)
-        if least is not None:
-            at, score = at[score >= least], score[score >= least]
-        if len(at) > top:
-            good = score >= np.partition(score, len(score) - top)[len(score) - top]
-            at, score = at[good], score[good]
-        return at, score
+            total[:, ~self.allowed] = 0
+        for i in np.flatnonzero((total > 0).any(1)):  # weights and shares are above 0
+            at = np.flatnonzero(total[i])
+            score = np.round(total[i, at], 6)
+            if least[i] == least[i]:
+                at, score = at[score >= least[i]], score[score >= least[i]]
+            if len(at) > top:
+                good = score >= np.partition(score, len(score) - top)[len(score) - top]
+                at, score = at[good], score[good]
+            if len(at):
+                yield i, at, score
 
 
 def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: DataFrame | None = None) -> DataFrame:
@@ -262,8 +273,9 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
         segment, now = None, None
         for batch in batches:
             role, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("role", "segment"))
+            asking = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (role[1:] != 2) | (role[:-1] != 2), True]) if len(of) else []
             out: list[tuple] = []
-            for i in range(batch.num_rows):
+            for i, end in zip(asking, asking[1:]):  # one header or block, or all questions of a segment
                 if of[i] != segment:
                     segment, now = of[i], None
                 cell = lambda c: batch.column(c)[i]  # noqa: B023, E731
@@ -277,9 +289,9 @@ def bm25(corpus: DataFrame | Index, questions: DataFrame, top: int = 10, keep: D
                 elif now is not None and role[i] == 1:
                     now.block(cell("phrase").as_py(), cell("at").values.to_numpy(), cell("tf").values.to_numpy())
                 elif now is not None:
-                    at, scores = now.best([(p["phrase"], p["idf"]) for p in cell("phrases").as_py()], top, cell("least").as_py())
-                    if len(at):
-                        out.append((batch.column("query_id").slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), now.ids.take(pa.array(at)), pa.array(-scores + 0.0)))
+                    asks, least = batch.column("phrases").slice(i, end - i), batch.column("least").slice(i, end - i)
+                    for k, at, scores in now.best(asks, least.cast(pa.float64()).to_numpy(zero_copy_only=False), top):
+                        out.append((batch.column("query_id").slice(i + k, 1).take(pa.array(np.zeros(len(at), np.int64))), now.ids.take(pa.array(at)), pa.array(-scores + 0.0)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c).cast(f.type) for c, f in zip(zip(*out), to)], schema=to)
 

@@ -1,9 +1,11 @@
 """What a task and its Python hold does not grow with a table."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
-
 from pyspark.sql import functions as F
 
+from lexigrove.operators import lexical
 from lexigrove.operators import retrieval as R
 from lexigrove.operators import sections as N
 from lexigrove.operators import semantic as T
@@ -64,3 +66,16 @@ def test_texts_that_no_result_names_are_not_shuffled(spark, tmp_path):
     assert "BroadcastHashJoin" in texts._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
     gold = spark.createDataFrame([(1, "word8 x"), (2, "word1 x")], "query_id long, evidence string")
     assert {(r.query_id, r.rank) for r in R.evidence_rank(results, gold, corpus).collect()} == {(1, 2), (2, None)}
+
+
+def test_questions_of_a_segment_are_scored_together():
+    held = lexical._Held(pa.array([10, 11, 12]), np.array([1.0, 2.0, 3.0]), np.array([True, True, False]), 2.0)
+    held.block("a", np.array([0, 1, 2]), np.array([1, 1, 5]))
+    held.block("b", np.array([1]), np.array([2]))
+    asks = pa.array([[], [{"phrase": "a", "idf": 1.0}], [{"phrase": "b", "idf": 2.0}, {"phrase": "c", "idf": 9.0}], [{"phrase": "a", "idf": 1.0}, {"phrase": "b", "idf": 2.0}]], pa.list_(pa.struct([("phrase", pa.string()), ("idf", pa.float64())])))
+    nan = float("nan")
+    each = lambda asks, least: [(i, at.tolist(), score.tolist()) for i, at, score in held.best(asks, least, 1)]
+    together = each(asks.slice(1), np.array([nan, nan, 3.5]))
+    assert [t[:2] for t in together] == [(0, [0]), (1, [1]), (2, [1])]
+    assert [t[1:] for t in together] == [t[1:] for k in range(1, 4) for t in each(asks.slice(k, 1), np.array([nan]))]
+    assert each(asks.slice(1, 1), np.array([9.0])) == [] and each(asks.slice(0, 1), np.array([nan])) == []
