@@ -135,6 +135,21 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
     return left.join(hot, on).unionByName(apart.join(right.where(F.col(weight) <= least), on, how), allowMissingColumns=True)
 
 
+def joins_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, scratch: Scratch, name: str) -> Callable[[DataFrame], DataFrame]:
+    """`join_hot` of left, for tables that are joined with it again and again: what it returns takes such a table.
+
+    Hot keys are found and left is parted once, by right; a table given later has right's keys and weights, and may have
+    several rows for a key. Where all keys are hot, left stays in one and a join is one broadcast.
+    """
+    total, fewest = right.agg(F.sum(weight), F.min(weight)).first()
+    least = (total or 0) // _HOT
+    if fewest is None or fewest > least:
+        return lambda table: left.join(F.broadcast(table), on)
+    keys = F.broadcast(right.where(F.col(weight) > least).select(*on))
+    hot, others = scratch.save(left.join(keys, on), f"{name}-hot"), scratch.save(left.join(keys, on, "left_anti"), f"{name}-others")
+    return lambda table: hot.join(F.broadcast(table.where(F.col(weight) > least)), on).unionByName(others.join(table.where(F.col(weight) <= least), on))
+
+
 def _pack(rows: list[tuple], to: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), to)], schema=to)
 

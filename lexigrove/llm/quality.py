@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import Scratch, documents, join_hot
+from lexigrove.llm.common import Scratch, documents, join_hot, joins_hot
 
 _SPACES = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -108,70 +108,55 @@ def described() -> dict[str, Column]:
 
 
 # --- estimates: rows (g, ..., m0 .. m4, and the lower triangle c00, c10, c11 .. c44 of a covariance)
+#
+# A chain of columns is one select whose items name those before them: each DataFrame on the way would be analysed anew.
 
 _TRIANGLE = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
 def _factored(params: DataFrame) -> DataFrame:
     """params with the Cholesky factor l00 .. l44 of its covariance, row by row, and `logdet`."""
-    for i in range(_P):
-        for j in range(i + 1):
-            left = F.col(f"c{i}{j}")
-            for k in range(j):
-                left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(f"l{i}{j}", F.sqrt(left) if i == j else left / F.col(f"l{j}{j}"))
-    return params.withColumn("logdet", sum((F.ln(f"l{i}{i}") for i in range(1, _P)), F.ln("l00")))
+    left = {(i, j): " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]]) for i, j in _TRIANGLE}
+    factor = [f"sqrt({left[i, j]}) AS l{i}{j}" if i == j else f"({left[i, j]}) / l{j}{j} AS l{i}{j}" for i, j in _TRIANGLE]
+    return params.selectExpr("*", *factor, " + ".join(f"ln(l{i}{i})" for i in range(_P)) + " AS logdet")
 
 
 def _distanced(rows: DataFrame) -> DataFrame:
     """rows with z, m and l columns, and `d2`, the squared Mahalanobis distance."""
-    for i in range(_P):
-        left = F.col(f"z{i}") - F.col(f"m{i}")
-        for k in range(i):
-            left = left - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        rows = rows.withColumn(f"y{i}", left / F.col(f"l{i}{i}"))
-    d2 = F.col("y0") * F.col("y0")
-    for i in range(1, _P):
-        d2 = d2 + F.col(f"y{i}") * F.col(f"y{i}")
-    return rows.withColumn("d2", d2).drop(*[f"y{i}" for i in range(_P)])
+    away = [f"({' - '.join([f'z{i} - m{i}', *[f'l{i}{k} * y{k}' for k in range(i)]])}) / l{i}{i} AS y{i}" for i in range(_P)]
+    return rows.selectExpr("*", *away, " + ".join(f"y{i} * y{i}" for i in range(_P)) + " AS d2").drop(*[f"y{i}" for i in range(_P)])
 
 
 def _sums() -> list[Column]:
     """Weighted counts and sums of whole numbers: exact in any order."""
-    wide = lambda c: F.sum(c.cast("decimal(38,0)"))
-    n = F.col("n")
-    return [
-        F.sum("n").alias("n"), *[wide(n * F.col(f"z{i}")).alias(f"s{i}") for i in range(_P)],
-        *[wide(n * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _TRIANGLE],
-    ]
+    wide = lambda c, name: F.expr(f"sum(CAST({c} AS DECIMAL(38,0))) AS {name}")
+    return [F.sum("n").alias("n"), *[wide(f"n * z{i}", f"s{i}") for i in range(_P)], *[wide(f"n * z{i} * z{j}", f"q{i}{j}") for i, j in _TRIANGLE]]
 
 
 def _moments(sums: DataFrame, factor: float) -> DataFrame:
     """Centre and covariance times factor, plus the least deviations, from sums."""
-    n = F.col("n").cast("double")
-    sums = sums.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n for i in range(_P)})
-    least = float(_GRID * _GRID)
-    cov = {f"c{i}{j}": F.lit(factor) * (F.col(f"q{i}{j}").cast("double") / n - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(least if i == j else 0.0) for i, j in _TRIANGLE}
-    return sums.withColumns(cov).drop(*[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _TRIANGLE])
+    mean = [f"CAST(s{i} AS DOUBLE) / CAST(n AS DOUBLE) AS m{i}" for i in range(_P)]
+    least = lambda i, j: float(_GRID * _GRID) if i == j else 0.0
+    cov = [f"{factor!r}D * (CAST(q{i}{j} AS DOUBLE) / CAST(n AS DOUBLE) - m{i} * m{j}) + {least(i, j)!r}D AS c{i}{j}" for i, j in _TRIANGLE]
+    return sums.selectExpr("*", *mean, *cov).drop(*[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _TRIANGLE])
 
 
-def _medians(cells: DataFrame, value: Column, of: str) -> DataFrame:
-    """(g, dim, of): the lower weighted median of value in each group, from counts of its distinct whole values."""
-    counts = cells.groupBy("g", "dim", value.alias("v")).agg(F.sum("n").alias("n"))
+def _medians(counts: DataFrame, of: str) -> DataFrame:
+    """counts (g, dim, v, n, ..) with `of`: the lower weighted median of v in its group and dimension."""
     upto = Window.partitionBy("g", "dim").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("g", "dim")
     counts = counts.withColumns({"below": F.sum("n").over(upto), "all": F.sum("n").over(whole)})
-    return counts.where(F.col("below") * 2 >= F.col("all")).groupBy("g", "dim").agg(F.min("v").alias(of))
+    return counts.withColumn(of, F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("v"))).over(whole)).drop("below", "all")
 
 
-def _first(cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """The two starts of each group: median with 1.4826 median deviations on the diagonal, and mean with covariance."""
-    tall = cells.select("g", "n", F.posexplode(F.array(*[f"z{i}" for i in range(_P)])).alias("dim", "z"))
-    middle = scratch.save(_medians(tall, F.col("z"), "middle"), "middles")
-    sizes = tall.groupBy("g", "dim").agg(F.count("*").alias("cells"))
-    away = join_hot(tall, middle.join(sizes, ["g", "dim"]), ["g", "dim"], "cells")
-    spread = _medians(away, F.abs(F.col("z") - F.col("middle")), "spread")
-    both = middle.join(spread, ["g", "dim"]).groupBy("g")
+def _first(cells: DataFrame) -> DataFrame:
+    """The two starts of each group: median with 1.4826 median deviations on the diagonal, and mean with covariance.
+
+    Both medians are taken from the counts of a group's distinct whole values, so cells are read once for them.
+    """
+    tall = cells.select("g", "n", F.posexplode(F.array(*[f"z{i}" for i in range(_P)])).alias("dim", "v"))
+    middle = _medians(tall.groupBy("g", "dim", "v").agg(F.sum("n").alias("n")), "middle")
+    both = _medians(middle.groupBy("g", "dim", "middle", F.abs(F.col("v") - F.col("middle")).alias("v")).agg(F.sum("n").alias("n")), "spread").groupBy("g")
     one = lambda name, i: F.max(F.when(F.col("dim") == i, F.col(name))).cast("double")
     robust = both.agg(*[one("middle", i).alias(f"m{i}") for i in range(_P)], *[one("spread", i).alias(f"d{i}") for i in range(_P)])
     scale = lambda i: F.lit(1.4826) * F.col(f"d{i}")
@@ -181,51 +166,42 @@ def _first(cells: DataFrame, scratch: Scratch) -> DataFrame:
     return robust.select(F.lit(_STARTS[0]).alias("start"), *columns).unionByName(plain.select(F.lit(_STARTS[1]).alias("start"), *columns))
 
 
-def _sides(params: DataFrame) -> DataFrame:
-    """One row for each group with the estimates of all starts as an array."""
-    fields = ["start", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _TRIANGLE]]
-    return _factored(params).groupBy("g").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("at"))
-
-
-def _near(cells: DataFrame, sides: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each cell with d2 under each of its group's estimates."""
-    met = join_hot(cells, sides.join(sizes, "g"), ["g"], "cells").select("g", "half", "n", *[f"z{i}" for i in range(_P)], F.explode("at").alias("e"))
-    return _distanced(met.select("*", "e.*").drop("e"))
-
-
 def estimates(cells: DataFrame, scratch: Scratch, prior: float, steps: int) -> DataFrame:
-    """(g, m0 .., l00 ..) for each group g of cells (g, z0 .. z4, n); g = '' is the whole corpus.
+    """(g, rows, m0 .., l00 ..) for each group g of cells (g, z0 .. z4, n); g = '' is the whole corpus, `rows` the sum of n.
 
-    A step shuffles at most 4096 rows of sums for each group, start and task; cells stay where they are.
+    A step shuffles at most 4096 rows of sums for each group, start and task; cells stay where they are. It is one query
+    with one join of cells: estimates are saved with their factors and sizes, as the driver holds what it plans and broadcasts.
     """
-    sizes = cells.groupBy("g").agg(F.count("*").alias("cells"), F.sum("n").alias("all"))
-    sizes = scratch.save(sizes.select("g", "cells", F.floor((F.col("all") + _P + 1) / 2).cast("long").alias("half")), "sizes")
-    now = scratch.save(_first(cells, scratch), "step-0")
+    sizes = scratch.save(cells.groupBy("g").agg(F.count("*").alias("cells"), F.sum("n").alias("rows")), "sizes")
+    met = joins_hot(cells, sizes, ["g"], "cells", scratch, "cells")
+    now = scratch.save(_factored(_first(cells)).join(sizes, "g"), "step-0")
+    half = F.floor((F.col("rows") + _P + 1) / 2).cast("long")
+    kept = [F.first(c).alias(c) for c in ("cells", "rows")]
     upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _TRIANGLE]]
     for k in range(1, steps + 1):
-        near = _near(cells, _sides(now), sizes).withColumn("bin", F.least(F.lit(_BINS), F.floor(F.lit(256.0) * F.sqrt("d2"))).cast("int"))
-        binned = near.groupBy("g", "start", "bin").agg(F.first("half").alias("half"), *_sums())
-        taken = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < F.col("half"))
-        added = taken.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in sums])
-        now = scratch.save(_moments(added, _HALF).drop("n"), f"step-{k}")
-    ends = _factored(now)
+        near = _distanced(met(now)).withColumn("bin", F.least(F.lit(_BINS), F.floor(F.lit(256.0) * F.sqrt("d2"))).cast("int"))
+        binned = near.groupBy("g", "start", "bin").agg(*kept, *_sums())
+        taken = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < half)
+        added = taken.groupBy("g", "start").agg(*kept, *[F.sum(c).alias(c) for c in sums])
+        now = scratch.save(_factored(_moments(added, _HALF).drop("n")), f"step-{k}")
     best = Window.partitionBy("g").orderBy("logdet", "start")
-    raw = ends.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1).drop("place", "logdet", *[f"l{i}{j}" for i, j in _TRIANGLE])
-    raw = scratch.save(_drawn(raw.join(sizes.select("g", F.col("half").alias("n")), "g"), prior), "raw")
-    usual = _near(cells, _sides(raw), sizes).where(F.col("d2") <= F.lit(_NEAR)).groupBy("g").agg(*_sums())
+    raw = now.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1).withColumn("n", half)
+    raw = scratch.save(_factored(_drawn(raw, prior)), "raw")
+    usual = _distanced(met(raw.drop("n"))).where(F.col("d2") <= F.lit(_NEAR)).groupBy("g").agg(*kept, *_sums())
     final = scratch.save(_moments(usual, _MOST), "usual")
     lone = raw.join(final, "g", "left_anti").withColumn("n", F.lit(0).cast("long"))  # no document in the usual range: the half stays
-    return _factored(scratch.save(_drawn(final.unionByName(lone.select(final.columns)), prior), "final")).drop("logdet")
+    final = _factored(_drawn(final.unionByName(lone.select(final.columns)), prior))
+    return scratch.save(final.drop("cells", "n", "start", "logdet", *[f"c{i}{j}" for i, j in _TRIANGLE]), "final")
 
 
 def _drawn(params: DataFrame, prior: float) -> DataFrame:
-    """params (g, n, m, c) drawn towards the row of g = '' as if that had contributed `prior` documents."""
-    whole = F.broadcast(params.where("g = ''").select(*[F.col(f"m{i}").alias(f"w{i}") for i in range(_P)], *[F.col(f"c{i}{j}").alias(f"v{i}{j}") for i, j in _TRIANGLE]))  # one row
-    n = F.col("n").cast("double")
-    mix = lambda own, all_: (n * F.col(own) + F.lit(float(prior)) * F.col(all_)) / (n + F.lit(float(prior)))
-    out = {f"m{i}": mix(f"m{i}", f"w{i}") for i in range(_P)} | {f"c{i}{j}": mix(f"c{i}{j}", f"v{i}{j}") for i, j in _TRIANGLE}
-    return params.join(whole).select("g", F.lit("drawn").alias("start"), "n", *[c.alias(k) for k, c in out.items()])
+    """params (g, cells, rows, n, m, c) drawn towards the row of g = '' as if that had contributed `prior` documents."""
+    names = {f"m{i}": f"w{i}" for i in range(_P)} | {f"c{i}{j}": f"v{i}{j}" for i, j in _TRIANGLE}
+    whole = F.broadcast(params.where("g = ''").selectExpr(*[f"{own} AS {all_}" for own, all_ in names.items()]))  # one row
+    own, all_ = "CAST(n AS DOUBLE)", f"{float(prior)!r}D"
+    mixed = [f"({own} * {c} + {all_} * {w}) / ({own} + {all_}) AS {c}" for c, w in names.items()]
+    return params.join(whole).selectExpr("g", "cells", "rows", "'drawn' AS start", "n", *mixed)
 
 
 def screen_quality(
@@ -254,9 +230,8 @@ def screen_quality(
     zs = [f"z{i}" for i in range(_P)]
     cells = scratch.save(good.groupBy("g", *zs).agg(F.count("*").alias("n")), "own")
     cells = scratch.save(cells.unionByName(cells.groupBy(*zs).agg(F.sum("n").alias("n")).withColumn("g", F.lit(""))), "cells")
-    found = estimates(cells, scratch, prior, steps).drop("n", "start", *[f"c{i}{j}" for i, j in _TRIANGLE])
-    rows = good.groupBy("g").agg(F.count("*").alias("rows"))
-    judged = _distanced(join_hot(good, found.join(rows, "g"), ["g"], "rows"))
+    found = estimates(cells, scratch, prior, steps).where("g <> ''")
+    judged = _distanced(join_hot(good, found, ["g"], "rows"))
     shape = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     more = [f"c{i}" for i in range(len(carry))]
     most = chi2_quantile(1 - beyond, _P)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexigrove.llm import quality
+from lexigrove.llm import common, quality
 from tests.conftest import DATA
 from tests.llm.brute import WORD
 
@@ -117,6 +117,33 @@ def test_junk_in_a_hot_group_and_lone_groups(spark):
     assert kept == {r[0] for r in rows}
 
 
+def joins_by_table(monkeypatch):
+    """Filled by name with the joins in the plan of each scratch table, as it is saved."""
+    joins, save = {}, common.Scratch.save
+
+    def counted(self, df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return save(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "save", counted)
+    return joins
+
+
+def test_a_step_joins_once(spark, monkeypatch):
+    joins = joins_by_table(monkeypatch)
+    quality.screen_quality(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert [joins[f"step-{k}"] for k in range(1, 7)] == [1] * 6
+
+
+def test_hot_groups_beside_others(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, int(rng.integers(60, 160))), "en", "hot" if i % 3 else f"s{i % 12}") for i in range(150)]
+    joins = joins_by_table(monkeypatch)
+    monkeypatch.setattr(common, "_HOT", 10)
+    agree(quality.screen_quality(frame(spark, rows)), rows)
+    assert {"cells-hot", "cells-others"} < set(joins) and [joins[f"step-{k}"] for k in range(1, 7)] == [2] * 6
+
+
 def test_defined_cases(spark):
     rng = np.random.default_rng(7)
     same = prose(rng, 70)
