@@ -148,8 +148,11 @@ def fuse(vector: DataFrame, lexical: DataFrame, top: int = 10, k: int = 60) -> D
 
 def lexical_share(question: Column, content: Column) -> Column:
     """A stand-in for a cross-encoder: the share of the question's terms that the content has."""
-    ask = X.query_terms(question)
-    return X.divide(F.size(F.array_intersect(ask, X.index_terms(content))), F.size(ask))
+    return _share(X.query_terms(question), X.index_terms(content))
+
+
+def _share(ask: Column, held: Column) -> Column:
+    return X.divide(F.size(F.array_intersect(ask, F.coalesce(held, F.array().cast("array<string>")))), F.size(ask))
 
 
 def named(results: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,9 +164,12 @@ def named(results: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, top: int = 5, scorer: Callable[[Column, Column], Column] = lexical_share) -> DataFrame:
     """Candidates in the order of scorer(question, content), which may be a pandas UDF over a model; a score that is no
-    finite number fails."""
+    finite number fails. For `lexical_share` a question and a content are cut into terms once, not for each candidate."""
     candidates, corpus = named(candidates, corpus)
-    joined = candidates.withColumnRenamed("rank", "hybrid_rank").join(questions.select("query_id", "question"), "query_id").join(corpus.select("chunk_id", "content"), "chunk_id", "left")
+    asked, texts = questions.select("query_id", "question"), corpus.select("chunk_id", "content")
+    if scorer is lexical_share:
+        asked, texts, scorer = asked.withColumn("question", X.query_terms("question")), texts.withColumn("content", F.array_distinct(X.index_terms("content"))), _share
+    joined = candidates.withColumnRenamed("rank", "hybrid_rank").join(asked, "query_id").join(texts, "chunk_id", "left")
     score = F.coalesce(scorer(F.col("question"), F.col("content")).cast("double"), F.lit(0.0))
     checked = F.when(F.isnan(score) | (F.abs(score) == F.lit(float("inf"))), F.raise_error(F.lit("a reranker's score is not finite"))).otherwise(score)
     scored = joined.withColumn("reranker_score", F.round(checked, 6)).drop("question", "content")

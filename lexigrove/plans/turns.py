@@ -26,11 +26,11 @@ def conversation_turns(spark, d):
     found = R.bm25(search.index(spark, d), asked, 5)
     best = kept(R.rerank(found.withColumns({c: F.lit(None).cast("double") for c in ("cosine_similarity", "rrf_score")}), asked, docs, 2), "turns-best")
     gated = E.gate(E.confidence_features(best), top1=0.9, margin=0.0, cosine=None, rrf=None, supporting=1)
-    told = best.join(docs.select("chunk_id", "source", "content"), "chunk_id")
+    told = best.join(docs.select("chunk_id", "source", F.length("content").alias("length")), "chunk_id")
     citation = D.citation_id(F.col("source"), F.col("chunk_id").cast("string"))
     allowed = told.groupBy("query_id").agg(F.collect_set(citation).alias("allowed"))
     turn = F.split("query_id", ":")[1].cast("long")
-    given = F.when(turn % 5 == 2, None).when(F.length("content") % 3 == 0, F.lit("no citation")).otherwise(F.concat(F.lit("So says "), citation))
+    given = F.when(turn % 5 == 2, None).when(F.col("length") % 3 == 0, F.lit("no citation")).otherwise(F.concat(F.lit("So says "), citation))
     generated = told.where("rank = 1").select("query_id", given.alias("answer"))
     out = V.respond(planned, gated, allowed, generated, F.col("conv_id") % 7 != 0)
     return out.select("conv_id", "turn", "language", "reply_language", "intent", "rewritten", "status", "outcome", F.md5(F.coalesce("answer", F.lit(""))).alias("digest"))

@@ -79,3 +79,34 @@ def test_questions_of_a_segment_are_scored_together():
     assert [t[:2] for t in together] == [(0, [0]), (1, [1]), (2, [1])]
     assert [t[1:] for t in together] == [t[1:] for k in range(1, 4) for t in each(asks.slice(k, 1), np.array([nan]))]
     assert each(asks.slice(1, 1), np.array([9.0])) == [] and each(asks.slice(0, 1), np.array([nan])) == []
+
+
+def test_a_common_phrase_is_looked_up_not_added_up():
+    """Chunks that a question's rare phrase brings near enough are looked up in the others: sums are those of all phrases."""
+    held = lexical._Held(pa.array(np.arange(1000)), np.full(1000, 10.0), None, 10.0)
+    held.blocks(np.array([0, 1]), np.array([3, 1000]), np.r_[5, 6, 7, np.arange(1000)], np.r_[1, 2, 1, np.full(1000, 3)])
+    asks = pa.array([[{"phrase": 0, "idf": 5.0}, {"phrase": 1, "idf": 0.5}]] * 2, pa.list_(pa.struct([("phrase", pa.int64()), ("idf", pa.float64())])))
+    whole, pruned = ((at.tolist(), score.tolist()) for _, at, score in held.best(asks, np.array([np.nan, 5.0]), 3))
+    assert whole == pruned and whole[0] == [6, 5, 7] and whole[1][1] == whole[1][2] == round(5 + 0.5 * 3 * 2.2 / 4.2, 6)
+    held.share[3:] = np.nan  # of the common phrase
+    assert [(at.tolist(), score.tolist()) for _, at, score in held.best(asks.slice(1), np.array([5.0]), 3)] == [whole]
+    assert list(held.best(asks.slice(1), np.array([50.0]), 3)) == []
+
+
+def test_many_questions_meet_the_index_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Many words are sent to the index, which is not shuffled by word, and a question goes to groups of segments."""
+    monkeypatch.setattr(lexical, "_SEGMENT", 4)
+    rows = spark.range(0, 400, 1, 2).selectExpr("id as chunk_id", "concat('word', id % 50, ' common rare', id) as content", "'s' as source")
+    index = lexical.build_index(rows, f"file://{tmp_path}/index")
+    questions = spark.range(40).selectExpr("id as query_id", "concat('word', id, ' common rare', id) as question")
+    monkeypatch.setattr(lexical, "_NAMED", 2)
+    plan = lexical._wanted(index, lexical.phrases(questions), True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "place" not in plan
+    for asked in (200_000, 7):
+        monkeypatch.setattr(lexical, "_ASKED", asked)
+        found = lexical.bm25(index, questions, 3)
+        task = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+        parts = 8 if asked > 40 else 8 * 6  # of 100 segments
+        assert f", {parts})" in task.split("Exchange")[1].split("\n")[0]
+        best = {r.query_id: r.chunk_id for r in found.where("rank = 1").collect()}
+        assert best == {k: k for k in range(40)} and found.count() == 120
